@@ -74,8 +74,8 @@ _FEATURES = (
 def _codes(source: str, columns: list[str]) -> str:
     """Rank of each label among its column's distinct labels, per column."""
     return ", ".join(
-        f"codes_{c} AS (SELECT label, CAST(ROW_NUMBER() OVER (ORDER BY label COLLATE \"C\") - 1 AS INT) AS code FROM "
-        f"(SELECT DISTINCT COALESCE({c}, 'nan') AS label FROM {source}))".replace(' COLLATE "C"', "")
+        f"codes_{c} AS (SELECT label, CAST(ROW_NUMBER() OVER (ORDER BY label) - 1 AS INT) AS code FROM "
+        f"(SELECT DISTINCT COALESCE({c}, 'nan') AS label FROM {source}))"
         for c in columns
     )
 
@@ -236,6 +236,10 @@ _BASELINES = (
 _TO_BASELINES = _with(_SALES, _CLEANED, _FILLED, _BASELINES)
 
 
+def _settled(sql: str) -> str:
+    return f"CASE WHEN model = 'quantity_line' THEN ROUND({sql}, 4) ELSE {sql} END"
+
+
 def _cv(folds: int) -> str:
     """Each fold predicted by statistics taken directly from the rows of the other folds."""
     return (
@@ -304,7 +308,7 @@ def oracle_sql() -> dict[str, str]:
         "csv_rejects": _TO_SALES
         + "SELECT ROW_KEY, ORDERNUMBER, SALES, 'MSRP' AS bad_columns FROM sales WHERE ORDERNUMBER % 100 = 0",
         "predictions_sink": _TO_BASELINES
-        + "SELECT label AS Actual_Sales, ROUND(prediction, 4) AS Predicted_Sales FROM long "
+        + "SELECT label AS Actual_Sales, prediction AS Predicted_Sales FROM long "
         "WHERE model = 'product_mean' AND split = 'test'",
         "row_count": _TO_SALES + f"SELECT COUNT(*) AS n_rows, CAST({len(_SALES_COLUMNS)} AS BIGINT) AS n_columns FROM sales",
         "head_rows": _TO_SALES + "SELECT * FROM sales ORDER BY ROW_KEY LIMIT 5",
@@ -415,14 +419,14 @@ def oracle_sql() -> dict[str, str]:
         "best_model": _TO_BASELINES + "SELECT * FROM comparison ORDER BY test_r2 DESC NULLS LAST, model LIMIT 1",
         "model_bars": _TO_BASELINES + "SELECT model, test_r2, rmse FROM comparison",
         "residuals": _TO_BASELINES
-        + "SELECT model, ROW_KEY, ROUND(prediction, 4) AS prediction, ROUND(label - prediction, 4) AS residual "
+        + f"SELECT model, ROW_KEY, {_settled('prediction')} AS prediction, {_settled('label - prediction')} AS residual "
         "FROM long WHERE split = 'test'",
         "residual_histogram": _TO_BASELINES
         + ", res AS (SELECT label - prediction AS residual FROM long WHERE split = 'test' AND model = 'product_mean'), "
         + _histogram("res", "residual", 30)
         + " SELECT * FROM hist",
         "actual_vs_predicted": _TO_BASELINES
-        + "SELECT model, split, ROW_KEY, label, ROUND(prediction, 4) AS prediction FROM long",
+        + f"SELECT model, split, ROW_KEY, label, {_settled('prediction')} AS prediction FROM long",
         "scenario_estimates": _TO_SALES
         + ", s AS (SELECT ROW_KEY, QUANTITYORDERED, PRICEEACH / 10 AS PRICEEACH, MSRP / 2 AS MSRP, PRODUCTLINE, DEALSIZE "
         "FROM sales) SELECT *, QUANTITYORDERED * PRICEEACH AS ESTIMATE FROM s "

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewise import schema as S
-from linewise.functions.semantics import numeric_columns
 from linewise.operators import clean, evaluate, features, models, prepare, profile, summarise
 from linewise.operators.lookup import attach
 from linewise.plans import dashboard, scenario, study
-from linewise.session import scratch_path
+from linewise.session import materialize, scratch_path
 from linewise.sources import orders_csv, star, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,13 +49,16 @@ def baseline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.baseline_predictions(evaluate.fit_baselines(lines.where(F.col("split") == "train")), lines)
 
 
+def settled(column: str):
+    """The fitted line's values rounded, since its sums depend on task order; all others are exact."""
+    return F.when(F.col("model") == "quantity_line", F.round(column, 4)).otherwise(F.col(column)).alias(column)
+
+
 def study_rows(spark: SparkSession, sf_dir: str) -> study.Matrix:
     return study.scaled_matrix(study.study_matrix(star.sales(spark, sf_dir)))
 
 
 def study_vectors(matrix: study.Matrix) -> DataFrame:
-    from linewise.session import materialize
-
     return materialize(prepare.assemble(matrix.rows, matrix.columns, S.TARGET, [S.ROW_KEY, "split"]), "vectors")
 
 
@@ -120,7 +122,7 @@ def predictions_sink(spark, sf_dir):
     path = scratch_path(spark, "predictions")
     orders_csv.write_predictions(long, path)
     back = spark.read.option("header", True).schema("Actual_Sales double, Predicted_Sales double").csv(path)
-    return back.select("Actual_Sales", F.round("Predicted_Sales", 4).alias("Predicted_Sales"))
+    return back
 
 
 # --- profiles --------------------------------------------------------------------------------------------------
@@ -317,7 +319,7 @@ QUERIES["model_bars"] = lambda spark, sf_dir: evaluate.model_bars(comparison(spa
 @register
 def residuals(spark, sf_dir):
     out = evaluate.residuals(baseline_rows(spark, sf_dir))
-    return out.select("model", S.ROW_KEY, *[F.round(c, 4).alias(c) for c in ("prediction", "residual")])
+    return out.select("model", S.ROW_KEY, settled("prediction"), settled("residual"))
 
 
 @register
@@ -329,7 +331,7 @@ def residual_histogram(spark, sf_dir):
 @register
 def actual_vs_predicted(spark, sf_dir):
     return baseline_rows(spark, sf_dir).select(
-        "model", "split", S.ROW_KEY, "label", F.round("prediction", 4).alias("prediction")
+        "model", "split", S.ROW_KEY, "label", settled("prediction")
     )
 
 

@@ -45,13 +45,13 @@ def exact_quantiles(
     """Linearly interpolated quantiles, {(column, probability): value}; None for columns without values."""
     if not columns:
         return {}
-    values = df.select(*[number(f.name, f.dataType).cast("double").alias(f.name) for f in df.schema if f.name in columns])
+    doubles = df.select(*[number(f.name, f.dataType).cast("double").alias(f.name) for f in df.schema if f.name in columns])
+    values = doubles.unpivot([], doubles.columns, "column", "x").where(F.col("x").isNotNull())
 
-    totals, found = _octave_pass(values, columns, probabilities)
+    totals, found = _octave_pass(values, probabilities)
     large = [r for r in found if r.low < r.high and r.rows > small_bucket]
     found = [r for r in found if r not in large] + _linear_pass(values, large)
-    single = [r for r in found if r.low == r.high]
-    at_rank = {(r.column, rank): r.low for r in single for rank, _ in r.ranks}
+    at_rank = {(r.column, rank): r.low for r in found if r.low == r.high for rank, _ in r.ranks}
     at_rank.update(_value_pass(values, [r for r in found if r.low < r.high]))
 
     result: dict[tuple[str, float], float | None] = {}
@@ -69,47 +69,38 @@ def exact_quantiles(
 def _octave_bucket(x: Column) -> Column:
     """Order-preserving bucket of any double: sign, then 1,024 slices per power of two."""
     offset = 1_100_000.0  # above 1,074 octaves of 1,024 slices, so magnitudes stay positive
-    slice_ = F.least(F.floor(F.log2(F.abs(x)) * SLICES_PER_OCTAVE).cast("double"), F.lit(offset))
+    slice_ = F.floor(F.log2(F.abs(x)) * SLICES_PER_OCTAVE).cast("double")
     finite = F.when(F.abs(x) == float("inf"), F.lit(offset)).otherwise(slice_)
     return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (finite + offset))
 
 
-def _count_by_bucket(values: DataFrame, cells: dict[str, Column]) -> DataFrame:
-    """(name, bucket, n, low, high, before, total) from cells that are structs of bucket and value, or NULL."""
-    counted = (
-        values.select(*[cell.alias(name) for name, cell in cells.items()])
-        .unpivot([], list(cells), "name", "cell")
-        .where(F.col("cell").isNotNull())
-        .groupBy("name", F.col("cell.b").alias("bucket"))
-        .agg(F.count("*").alias("n"), F.min("cell.x").alias("low"), F.max("cell.x").alias("high"))
+def _ranked(values: DataFrame, key: str, bucket: Column) -> DataFrame:
+    """Rows per (key, bucket), with the number of rows in lower buckets of the key and in the whole key."""
+    counted = values.groupBy(key, bucket.alias("bucket")).agg(
+        F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")
     )
-    in_order = Window.partitionBy("name").orderBy("bucket")
+    in_order = Window.partitionBy(key).orderBy("bucket")
     return counted.withColumn("before", F.sum("n").over(in_order) - F.col("n")).withColumn(
-        "total", F.sum("n").over(Window.partitionBy("name"))
+        "total", F.sum("n").over(Window.partitionBy(key))
     )
 
 
-def _cell(x: Column, bucket: Column) -> Column:
-    return F.when(x.isNotNull(), F.struct(bucket.cast("double").alias("b"), x.alias("x")))
+_HOLDS_RANK = "before <= rank AND rank < before + n"
 
 
-def _octave_pass(
-    values: DataFrame, columns: list[str], probabilities: list[float]
-) -> tuple[dict[str, int], list[_Range]]:
-    cells = {f"c{i}": _cell(F.col(c), _octave_bucket(F.col(c))) for i, c in enumerate(columns)}
+def _octave_pass(values: DataFrame, probabilities: list[float]) -> tuple[dict[str, int], list[_Range]]:
     picked = (
-        _count_by_bucket(values, cells)
+        _ranked(values, "column", _octave_bucket(F.col("x")))
         .select("*", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p"))
         .withColumn("position", (F.col("total") - 1) * F.col("p"))
         .select("*", F.explode(F.array(F.floor("position"), F.ceil("position"))).alias("rank"))
-        .where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
-        .select("name", "low", "high", "n", "before", "total", "rank")
+        .where(_HOLDS_RANK)
+        .select("column", "low", "high", "n", "before", "total", "rank")
         .distinct()
         .collect()
     )
-    names = dict(zip(cells, columns))
-    totals = {names[row.name]: row.total for row in picked}
-    return totals, _ranges((names[r.name], r.low, r.high, r.n, r.rank, r.rank - r.before) for r in picked)
+    totals = {row["column"]: row["total"] for row in picked}
+    return totals, _ranges((r["column"], r["low"], r["high"], r["n"], r["rank"], r["rank"] - r["before"]) for r in picked)
 
 
 def _ranges(rows) -> list[_Range]:
@@ -119,49 +110,41 @@ def _ranges(rows) -> list[_Range]:
     return [_Range(*key, ranks=tuple(sorted(ranks))) for key, ranks in grouped.items()]
 
 
-def _inside(r: _Range) -> Column:
-    x = F.col(r.column)
-    return F.when(x.between(r.low, r.high), x)
+def _narrow(values: DataFrame, ranges: list[_Range], bucket: Column):
+    """The buckets, within each range, that hold its wanted ranks: (range, bucket row, rank in the whole column).
 
-
-def _pick(counted: DataFrame, ranges: dict[str, _Range]):
-    """The buckets that hold the wanted ranks of each range."""
-    wanted = [
-        F.when(F.col("name") == name, F.array(*[F.lit(inner) for _, inner in r.ranks])) for name, r in ranges.items()
+    The ranges, at most two per asked quantile, are broadcast; `bucket` may use their `range_low`, `range_high`.
+    """
+    if not ranges:
+        return []
+    rows = [
+        F.struct(
+            F.lit(i).alias("range"), F.lit(r.column).alias("column"), F.lit(r.low).alias("range_low"),
+            F.lit(r.high).alias("range_high"), F.array(*[F.lit(inner) for _, inner in r.ranks]).alias("wanted"),
+        )
+        for i, r in enumerate(ranges)
     ]
-    return (
-        counted.select("*", F.explode(F.coalesce(*wanted)).alias("rank"))
-        .where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
-        .select("name", "low", "high", "n", "before", "rank")
+    table = values.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    inside = F.col("x").between(F.col("range_low"), F.col("range_high"))
+    placed = values.join(F.broadcast(table.drop("wanted")), "column").where(inside)
+    picked = (
+        _ranked(placed, "range", bucket)
+        .join(F.broadcast(table.select("range", F.explode("wanted").alias("rank"))), "range")
+        .where(_HOLDS_RANK)
         .collect()
     )
+    whole = [{inner: rank for rank, inner in r.ranks} for r in ranges]
+    return [(ranges[row["range"]], row, whole[row["range"]][row["rank"]]) for row in picked]
 
 
 def _linear_pass(values: DataFrame, ranges: list[_Range]) -> list[_Range]:
-    if not ranges:
-        return []
-    named = {f"r{i}": r for i, r in enumerate(ranges)}
-    cells = {}
-    for name, r in named.items():
-        x = _inside(r)
-        slice_ = F.least(F.floor((x - r.low) / (r.high - r.low) * LINEAR_SLICES), F.lit(LINEAR_SLICES - 1))
-        cells[name] = _cell(x, slice_)
-    rows = []
-    for row in _pick(_count_by_bucket(values, cells), named):
-        source = named[row.name]
-        whole = {inner: rank for rank, inner in source.ranks}[row.rank]
-        rows.append((source.column, row.low, row.high, row.n, whole, row.rank - row.before))
-    return _ranges(rows)
+    share = (F.col("x") - F.col("range_low")) / (F.col("range_high") - F.col("range_low"))
+    slice_ = F.least(F.floor(share * LINEAR_SLICES), F.lit(LINEAR_SLICES - 1))
+    return _ranges(
+        (source.column, row["low"], row["high"], row["n"], rank, row["rank"] - row["before"])
+        for source, row, rank in _narrow(values, ranges, slice_)
+    )
 
 
 def _value_pass(values: DataFrame, ranges: list[_Range]) -> dict[tuple[str, int], float]:
-    if not ranges:
-        return {}
-    named = {f"r{i}": r for i, r in enumerate(ranges)}
-    cells = {name: _cell(_inside(r), _inside(r)) for name, r in named.items()}
-    found = {}
-    for row in _pick(_count_by_bucket(values, cells), named):
-        source = named[row.name]
-        whole = {inner: rank for rank, inner in source.ranks}[row.rank]
-        found[source.column, whole] = row.low
-    return found
+    return {(source.column, rank): row["low"] for source, row, rank in _narrow(values, ranges, F.col("x"))}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewise.schema import ROW_KEY
-from linewise.session import materialize
+from linewise.session import materialize_measured
 
 # A lookup table is broadcast only when it is measured to be smaller than this.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -15,6 +15,12 @@ HOT_KEYS = 1024
 SPREAD = 4096
 
 
+def measures(lookup: DataFrame, keys: list[str], rows: str) -> dict[str, Column]:
+    """Aggregates that `attach` needs to know about a lookup table."""
+    key_bytes = sum((F.octet_length(F.col(k).cast("string")) for k in keys), F.lit(0))
+    return {"size": F.sum(key_bytes + 16 * len(lookup.columns)), "lines": F.sum(rows)}
+
+
 def attach(
     df: DataFrame,
     lookup: DataFrame,
@@ -22,23 +28,23 @@ def attach(
     rows: str,
     spread: str = ROW_KEY,
     broadcast_bytes: int = BROADCAST_BYTES,
-    fitted: bool = False,
+    measured: dict | None = None,
 ) -> DataFrame:
     """`df` with the lookup's columns; rows without a key or without a match get NULLs.
 
     `lookup` has one row per key and, in column `rows`, how many order lines carry that key. It is written
-    once (unless `fitted`: already written) and measured. A small one is broadcast. Otherwise the few hot keys,
-    known from `rows` and bounded in number, are broadcast, and only the remaining lines are exchanged by key;
-    lines with a hot key or no key are spread by the hash of the `spread` column, so no task gets a hot key.
+    and measured once (unless `measured` is given: it is written already). A small one is broadcast. Otherwise
+    the few hot keys, known from `rows` and bounded in number, are broadcast, and only the remaining lines are
+    exchanged by key; lines with a hot key or no key are spread by the hash of the `spread` column, so no task
+    gets a hot key.
     """
-    lookup = lookup if fitted else materialize(lookup, "lookup")
+    if measured is None:
+        lookup, measured = materialize_measured(lookup, "lookup", **measures(lookup, keys, rows))
     payload = [c for c in lookup.columns if c not in keys]
-    key_bytes = sum((F.octet_length(F.col(k).cast("string")) for k in keys), F.lit(0))
-    size = lookup.agg(F.sum(key_bytes + 16 * (len(keys) + len(payload))).alias("bytes"), F.sum(rows).alias("rows")).first()
-    if size["bytes"] is None or size["bytes"] <= broadcast_bytes:
+    if (measured["size"] or 0) <= broadcast_bytes:
         return df.join(F.broadcast(lookup), keys, "left").select(*df.columns, *payload)
 
-    is_hot = F.col(rows) > size["rows"] // HOT_KEYS
+    is_hot = F.col(rows) > measured["lines"] // HOT_KEYS
     hot = lookup.where(is_hot).select(*keys, F.struct(*payload).alias("_hot"))
     cold = lookup.where(~is_hot).select(
         F.struct(*keys).alias("_key"), F.struct(*payload).alias("_cold")

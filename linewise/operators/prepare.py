@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewise.functions.semantics import hash_bucket, label_text, number, safe_div
-from linewise.operators.lookup import attach
+from linewise.operators.lookup import attach, measures
 from linewise.schema import ROW_KEY
 from linewise.session import materialize
 
@@ -47,12 +47,13 @@ def fit_codes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def encode(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
     """Categories replaced by their fitted codes; a label not seen when fitting gives NULL."""
+    lookups = codes.select("column_name", F.col("label").alias("_label"), F.col("code").alias("_code"), F.col("n").alias("_n"))
+    sizes = lookups.groupBy("column_name").agg(*[m.alias(k) for k, m in measures(lookups, ["_label"], "_n").items()])
+    measured = {row["column_name"]: row.asDict() for row in sizes.collect()}  # one row per column
     for c in columns:
-        lookup = codes.where(F.col("column_name") == c).select(
-            F.col("label").alias("_label"), F.col("code").alias("_code"), F.col("n").alias("_n")
-        )
+        lookup = lookups.where(F.col("column_name") == c).drop("column_name")
         marked = df.withColumn("_label", label_text(c))
-        coded = attach(marked, lookup, ["_label"], rows="_n", fitted=True)
+        coded = attach(marked, lookup, ["_label"], rows="_n", measured=measured.get(c, {"size": 0, "lines": 0}))
         df = coded.select(*[F.col("_code").alias(c) if name == c else F.col(name) for name in df.columns])
     return df
 

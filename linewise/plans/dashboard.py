@@ -42,7 +42,7 @@ def guarded_features(df: DataFrame) -> DataFrame:
 
 def dashboard_features(df: DataFrame) -> DataFrame:
     """Guarded features, then medians for every numeric NULL, bad dates included."""
-    return clean.median_fill(guarded_features(materialize(df, "lines")))
+    return clean.materialize_filled(guarded_features(materialize(df, "lines")), "features")
 
 
 def drop_untrainable(df: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from linewise import schema as S
 from linewise.operators import clean, features, prepare
 from linewise.operators.lookup import attach
-from linewise.session import materialize
 
 
 def cleaned(df: DataFrame) -> DataFrame:
@@ -24,13 +23,14 @@ def filled(df: DataFrame, leak_free: bool = False) -> DataFrame:
 
     Written once: medians, statistics and features each scan it, reading only the columns they need.
     """
-    base = materialize(cleaned(df), "cleaned")
-    return clean.median_fill(base, fit_on=_fit_rows(base, leak_free))
+    return clean.materialize_filled(cleaned(df), "cleaned", lambda rows: _fit_rows(rows, leak_free))
 
 
 def _fit_rows(df: DataFrame, leak_free: bool) -> DataFrame:
     """Rows that fitted values may come from: all of them, or the train part only."""
-    return prepare.with_split(df).where(F.col("split") == "train").drop("split") if leak_free else df
+    if not leak_free:
+        return df
+    return prepare.with_split(df).where(F.col("split") == "train").select(*df.columns)
 
 
 def with_statistics(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
@@ -81,12 +81,16 @@ class Matrix:
 def study_matrix(df: DataFrame, leak_free: bool = False) -> Matrix:
     """Encoded, filled and split feature matrix, not yet scaled."""
     columns = [*S.CATEGORICAL_FEATURES, *numeric_features(leak_free)]
-    selected = materialize(prepare.with_split(feature_select(study_features(df, leak_free), leak_free)), "features")
-    fit_rows = selected.where(F.col("split") == "train") if leak_free else selected
-    codes = prepare.fit_codes(fit_rows, S.CATEGORICAL_FEATURES)
+    selected = clean.materialize_filled(
+        prepare.with_split(feature_select(study_features(df, leak_free), leak_free)),
+        "features",
+        lambda rows: _fit_rows(rows, leak_free),
+    )
+    codes = prepare.fit_codes(_fit_rows(selected, leak_free), S.CATEGORICAL_FEATURES)
     encoded = prepare.encode(selected, codes, S.CATEGORICAL_FEATURES)
-    fit_encoded = encoded.where(F.col("split") == "train") if leak_free else encoded
-    return Matrix(clean.median_fill(encoded, columns, fit_on=fit_encoded), columns, codes)
+    if leak_free:  # only then can a label be unknown
+        encoded = clean.median_fill(encoded, S.CATEGORICAL_FEATURES, fit_on=_fit_rows(encoded, leak_free))
+    return Matrix(encoded, columns, codes)
 
 
 def scaled_matrix(matrix: Matrix) -> Matrix:

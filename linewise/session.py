@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_folders: dict[str, str] = {}
 
@@ -64,3 +64,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """`materialize`, with aggregates taken while the rows pass by instead of in another scan.
+
+    A task that ran twice may be counted twice, so use measures for which that is harmless:
+    flags, extremes, or sizes that only choose between two exact ways.
+    """
+    seen = Observation(label)
+    table = materialize(df.observe(seen, *[m.alias(name) for name, m in measures.items()]), label)
+    return table, seen.get
