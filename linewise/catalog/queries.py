@@ -11,7 +11,7 @@ from linewise import schema as S
 from linewise.operators import clean, evaluate, features, models, prepare, profile, summarise
 from linewise.operators.lookup import attach
 from linewise.plans import dashboard, scenario, study
-from linewise.session import materialize, scratch_path
+from linewise.session import scratch_path
 from linewise.sources import orders_csv, star, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,15 +58,11 @@ def study_rows(spark: SparkSession, sf_dir: str) -> study.Matrix:
     return study.scaled_matrix(study.study_matrix(star.sales(spark, sf_dir)))
 
 
-def study_vectors(matrix: study.Matrix) -> DataFrame:
-    return materialize(prepare.assemble(matrix.rows, matrix.columns, S.TARGET, [S.ROW_KEY, "split"]), "vectors")
-
-
 def learner_metrics(learners: dict[str, models.Learner]) -> Query:
     """Metrics by split of learners on the study's matrix."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        vectors = study_vectors(study_rows(spark, sf_dir))
+        vectors = study.vectors(study_rows(spark, sf_dir))
         train = vectors.where(F.col("split") == "train")
         fitted = {name: models.fit(learner, train) for name, learner in learners.items()}
         return evaluate.metrics(evaluate.predictions(fitted, vectors))
@@ -359,3 +355,21 @@ def feature_importance(spark, sf_dir):
     lines = dashboard.dashboard_features(dashboard_lines(spark, sf_dir))
     trained = dashboard.train(lines, kind="Gradient Boosting")
     return models.importances(trained.model, trained.columns, 10)
+
+
+@register
+def boosted_tuned(spark, sf_dir):
+    """Grid search on all train rows; a short grid, since the full one takes 41 fits of 100 trees and more."""
+    train = study.vectors(study_rows(spark, sf_dir)).where(F.col("split") == "train")
+    grid = {"trees": [10], "depth": [3, 5], "rate": [0.1, 0.3]}
+    _, _, scores = models.grid_search(models.BOOSTED, train, grid, folds=3, fold_column="fold", parallelism=2)
+    return scores
+
+
+@register
+def scenario_model(spark, sf_dir):
+    """What-if grid scored by a line fitted to all order lines."""
+    lines = study.filled(star.sales(spark, sf_dir))
+    grid = scenario.scenario_grid(
+        lines, quantities=[10, 50, 100, 200], prices=[10, 100, 500], list_prices=[110, 500])
+    return scenario.score(grid, scenario.fit_what_if(lines, models.OLS))

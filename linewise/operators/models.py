@@ -16,8 +16,8 @@ from linewise.operators.evaluate import r_squared
 SEED = 42
 # Finer than the default 32 bins: closer to exact split search, and room for codes up to 128 classes.
 MAX_BINS = 128
-# Memory for one level's split statistics; more of it means fewer passes over the rows.
-TREE_MEMORY_MB = 1024
+# Memory of one task for split statistics, as MLlib defaults it: a session with many slots per executor must hold all tasks.
+TREE_MEMORY_MB = 256
 
 
 @dataclass(frozen=True)
@@ -80,18 +80,25 @@ def grid_points(grid: dict[str, list]) -> list[dict]:
 
 
 def grid_search(
-    base: Learner, train: DataFrame, grid: dict[str, list] = TUNING_GRID, folds: int = 5, parallelism: int = 1
+    base: Learner,
+    train: DataFrame,
+    grid: dict[str, list] = TUNING_GRID,
+    folds: int = 5,
+    fold_column: str = "fold",
+    parallelism: int = 1,
 ) -> tuple[Model, Learner, DataFrame]:
     """Refitted best model, its settings, and (point, settings, mean_r2, rank) of every point.
 
-    `train` has `features`, `label` and `fold`. Fits run as separate Spark jobs, `parallelism` at a time;
-    a point's score is the mean of its folds' R². The first point wins a tie.
+    `train` has `features`, `label` and a fold number, of which the remainder by `folds` counts. Fits run as
+    separate Spark jobs, `parallelism` at a time; a point's score is the mean of its folds' R². The first
+    point wins a tie.
     """
     points = grid_points(grid)
 
     def score(task: tuple[int, int]) -> tuple[int, float]:
         point, fold = task
-        inside, outside = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
+        held_out = F.col(fold_column) % folds == fold
+        inside, outside = train.where(~held_out), train.where(held_out)
         scored = fit(base.using(**points[point]), inside).transform(outside)
         return point, scored.agg(r_squared().alias("r2")).first()["r2"]
 

@@ -45,7 +45,7 @@ def fit_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     return materialize(codes, "codes")
 
 
-def encode(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
+def encode(df: DataFrame, codes: DataFrame, columns: list[str], spread: str = ROW_KEY) -> DataFrame:
     """Categories replaced by their fitted codes; a label not seen when fitting gives NULL."""
     lookups = codes.select("column_name", F.col("label").alias("_label"), F.col("code").alias("_code"), F.col("n").alias("_n"))
     sizes = lookups.groupBy("column_name").agg(*[m.alias(k) for k, m in measures(lookups, ["_label"], "_n").items()])
@@ -53,7 +53,8 @@ def encode(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         lookup = lookups.where(F.col("column_name") == c).drop("column_name")
         marked = df.withColumn("_label", label_text(c))
-        coded = attach(marked, lookup, ["_label"], rows="_n", measured=measured.get(c, {"size": 0, "lines": 0}))
+        size = measured.get(c, {"size": 0, "lines": 0})
+        coded = attach(marked, lookup, ["_label"], rows="_n", spread=spread, measured=size)
         df = coded.select(*[F.col("_code").alias(c) if name == c else F.col(name) for name in df.columns])
     return df
 

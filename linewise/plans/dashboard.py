@@ -12,7 +12,7 @@ from linewise import schema as S
 from linewise.functions.semantics import numeric_columns, text_columns
 from linewise.operators import clean, evaluate, features, models, prepare
 from linewise.operators.lookup import attach
-from linewise.session import materialize
+from linewise.session import materialize, spread_rows
 
 # Learner by name; any other name means gradient boosting.
 LEARNERS = {"XGBoost": models.BOOSTED_DASHBOARD, "Random Forest": models.RANDOM_FOREST}
@@ -61,10 +61,10 @@ def train(df: DataFrame, target: str = S.TARGET, kind: str = "XGBoost", key: str
     """Every remaining text column encoded, no scaling, one learner, scored on the test part."""
     rows = materialize(prepare.with_split(drop_untrainable(df), key), "dashboard")
     texts = [c for c in text_columns(rows) if c not in (key, "split")]
-    encoded = prepare.encode(rows, prepare.fit_codes(rows, texts), texts) if texts else rows
+    encoded = prepare.encode(rows, prepare.fit_codes(rows, texts), texts, key) if texts else rows
     columns = [c for c in [*texts, *numeric_columns(rows)] if c not in (target, key)]
     columns = [c for c in rows.columns if c in columns]
-    vectors = materialize(prepare.assemble(encoded, columns, target, [key, "split"]), "vectors")
+    vectors = spread_rows(materialize(prepare.assemble(encoded, columns, target, [key, "split"]), "vectors"), key)
     model = models.fit(LEARNERS.get(kind, FALLBACK), vectors.where(F.col("split") == "train"))
     scored = evaluate.predictions({kind: model}, vectors.where(F.col("split") == "test"), key)
     return Trained(model, columns, evaluate.metrics(scored), scored)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Model
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewise.operators import prepare
 from linewise.operators.features import quantity_times_price
+from linewise.operators.models import Learner, fit
+from linewise.schema import ROW_KEY, TARGET
+from linewise.session import materialize, spread_rows
 
 # Allowed inputs of a scenario.
 BOUNDS = {"QUANTITYORDERED": (10, 200), "PRICEEACH": (10.0, 500.0), "MSRP": (10.0, 500.0)}
@@ -36,6 +43,34 @@ def estimate(scenarios: DataFrame) -> DataFrame:
     return scenarios.where(in_bounds()).withColumn("ESTIMATE", quantity_times_price())
 
 
-def score(vectors: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Expected revenue by a fitted model, for scenarios prepared like its training rows."""
-    return model.transform(vectors).select(*keep, F.col("prediction").alias("ESTIMATE"))
+@dataclass(frozen=True)
+class WhatIf:
+    """A model over a scenario's own inputs, and the category codes it was fitted with."""
+
+    model: Model
+    codes: DataFrame
+
+
+CATEGORIES = ["PRODUCTLINE", "DEALSIZE"]
+
+
+def _vectors(df: DataFrame, codes: DataFrame, keep: list[str], spread: str) -> DataFrame:
+    marked = df.withColumns({f"_{c}": F.col(c) for c in CATEGORIES})  # the texts stay next to their codes
+    encoded = prepare.encode(marked, codes, CATEGORIES, spread)
+    # a choice never seen in the lines cannot be estimated
+    known = encoded.na.drop(subset=[*BOUNDS, *CATEGORIES])
+    vectors = VectorAssembler(inputCols=[*BOUNDS, *CATEGORIES], outputCol="features").transform(known)
+    return vectors.withColumns({c: F.col(f"_{c}") for c in CATEGORIES}).select(*keep, "features")
+
+
+def fit_what_if(lines: DataFrame, learner: Learner, target: str = TARGET) -> WhatIf:
+    codes = prepare.fit_codes(lines, CATEGORIES)
+    rows = _vectors(lines, codes, [ROW_KEY, F.col(target).alias("label")], ROW_KEY)
+    return WhatIf(fit(learner, spread_rows(materialize(rows, "vectors"), ROW_KEY)), codes)
+
+
+def score(scenarios: DataFrame, what_if: WhatIf, spread: str = "QUANTITYORDERED") -> DataFrame:
+    """Expected revenue, by the fitted model, of the scenarios within bounds."""
+    inputs = scenarios.columns
+    vectors = _vectors(scenarios.where(in_bounds()), what_if.codes, inputs, spread)
+    return what_if.model.transform(vectors).select(*inputs, F.col("prediction").alias("ESTIMATE"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linewise import schema as S
 from linewise.operators import clean, features, prepare
 from linewise.operators.lookup import attach
+from linewise.session import materialize, spread_rows
 
 
 def cleaned(df: DataFrame) -> DataFrame:
@@ -98,3 +99,10 @@ def scaled_matrix(matrix: Matrix) -> Matrix:
     return Matrix(
         prepare.standardise(matrix.rows, matrix.columns, fit_on=matrix.part("train")), matrix.columns, matrix.codes
     )
+
+
+def vectors(matrix: Matrix) -> DataFrame:
+    """(row key, split, fold, features, label), written once for the learners' many passes."""
+    keyed = prepare.with_fold(matrix.rows)
+    assembled = prepare.assemble(keyed, matrix.columns, S.TARGET, [S.ROW_KEY, "split", "fold"])
+    return spread_rows(materialize(assembled, "vectors"), S.ROW_KEY)
