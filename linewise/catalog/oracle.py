@@ -22,7 +22,7 @@ _FILLED = "filled AS (SELECT * REPLACE (COALESCE(MSRP, (SELECT median(MSRP) FROM
 
 
 def _total(c: str) -> str:
-    return f"CAST(COALESCE(SUM(CAST({c} AS DECIMAL(18,4))), 0) AS DOUBLE)"
+    return f"CAST(COALESCE(SUM(CAST({c} AS DECIMAL(38,10))), 0) AS DOUBLE)"
 
 
 def _mean(c: str) -> str:

@@ -31,6 +31,7 @@ def over(name: str, build: Callable[[DataFrame], DataFrame], source: Callable[..
 # --- shared inputs ---------------------------------------------------------------------------------------------
 
 VALUES = [S.ROW_KEY, "QUANTITYORDERED", "PRICEEACH", "SALES", "MSRP"]
+BASELINE_COLUMNS = [*VALUES, "PRODUCTLINE", "CUSTOMERNAME"]
 
 
 def dashboard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def dashboard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned, filled lines with their split."""
-    return prepare.with_split(study.filled(star.sales(spark, sf_dir)))
+    return prepare.with_split(study.filled(star.sales(spark, sf_dir), columns=BASELINE_COLUMNS))
 
 
 def baseline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +151,8 @@ over("drop_strict", lambda df: clean.drop_strict(df, S.UNUSED_ADDRESS_COLUMNS))
 over("drop_lenient", dashboard.drop_untrainable)
 over("rename_address", lambda df: clean.rename(df, S.ADDRESS_RENAME).select(S.ROW_KEY, "ADDRESS"))
 over("drop_null_postal", lambda df: clean.drop_null(df, S.REQUIRED_COLUMNS).select(S.ROW_KEY, "POSTALCODE", "SALES"))
-over("median_fill", lambda df: study.filled(df).select(*VALUES))
-over("feature_select", lambda df: study.feature_select(study.study_features(df)))
+over("median_fill", lambda df: study.filled(df, columns=VALUES))
+over("feature_select", lambda df: study.feature_select(study.study_features(df, columns=S.FEATURE_SOURCES)))
 
 
 @register
@@ -211,8 +212,8 @@ def option_lists(spark, sf_dir):
 
 # --- rankings --------------------------------------------------------------------------------------------------
 
-over("top_orders", lambda df: summarise.top_n(
-    study.filled(df), "SALES", 10, ["ORDERNUMBER", "CUSTOMERNAME", "SALES", "QUANTITYORDERED"]))
+TOP_COLUMNS = ["ORDERNUMBER", "CUSTOMERNAME", "SALES", "QUANTITYORDERED"]
+over("top_orders", lambda df: summarise.top_n(study.filled(df, columns=[S.ROW_KEY, *TOP_COLUMNS]), "SALES", 10, TOP_COLUMNS))
 over("top_customers", lambda df: summarise.top_n(
     features.customer_stats(df), "CUSTOMER_TOTAL_SALES", 10,
     ["CUSTOMERNAME", "CUSTOMER_TOTAL_SALES", "CUSTOMER_ORDER_COUNT"], tie=["CUSTOMERNAME"]))
@@ -369,7 +370,7 @@ def boosted_tuned(spark, sf_dir):
 @register
 def scenario_model(spark, sf_dir):
     """What-if grid scored by a line fitted to all order lines."""
-    lines = study.filled(star.sales(spark, sf_dir))
+    lines = study.filled(star.sales(spark, sf_dir), columns=[*VALUES, *scenario.CATEGORIES])
     grid = scenario.scenario_grid(
         lines, quantities=[10, 50, 100, 200], prices=[10, 100, 500], list_prices=[110, 500])
     return scenario.score(grid, scenario.fit_what_if(lines, models.OLS))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-AMOUNT = "decimal(18,4)"
+# Amounts are summed as decimals of ten places: exact, and the same whatever order tasks finish in.
+AMOUNT = "decimal(38,10)"
 
 
 def safe_div(a: Column, b: Column) -> Column:

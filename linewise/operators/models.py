@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewise.operators.evaluate import r_squared
+from linewise.session import ensure_checkpoint_folder
 
 SEED = 42
 # Finer than the default 32 bins: closer to exact split search, and room for codes up to 128 classes.
@@ -72,6 +73,7 @@ def estimator(learner: Learner, train: DataFrame):
 
 
 def fit(learner: Learner, train: DataFrame) -> Model:
+    ensure_checkpoint_folder(train.sparkSession)  # boosting cuts its lineage every ten trees
     return estimator(learner, train).fit(train)
 
 

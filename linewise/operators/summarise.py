@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linewise.functions.semantics import exact_mean, exact_sum, number, safe_div
 from linewise.schema import ROW_KEY
+from linewise.session import materialize
 
 
 def _grouped(df: DataFrame, keys: list[str]):
@@ -28,10 +29,13 @@ def mean_by(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
 
 
 def share_by(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Sum of `value` per key and its share of the sum over all keys."""
-    sums = _grouped(df, [key]).agg(exact_sum(value).alias("total"))
-    whole = sums.agg(exact_sum("total").alias("whole")).scalar()
-    return sums.select(key, "total", safe_div(F.col("total"), whole).alias("share"))
+    """Sum of `value` per key and its share of the sum over all keys.
+
+    The sums are written, so the whole is their sum and the lines are scanned once.
+    """
+    sums = materialize(_grouped(df, [key]).agg(exact_sum(value).alias("total")), "sums")
+    whole = sums.agg(exact_sum("total").alias("whole")).first()["whole"]
+    return sums.select(key, "total", safe_div(F.col("total"), F.lit(whole)).alias("share"))
 
 
 def kpis(df: DataFrame) -> DataFrame:
@@ -54,17 +58,23 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.corr(x, y).alias("correlation"))
 
 
-def _bounds(df: DataFrame, value: str) -> Column:
-    """Scalar struct (low, high); a single value gets half a unit on each side."""
-    x = number(value)
-    low, high = F.min(x), F.max(x)
-    pad = F.when(low == high, 0.5).otherwise(0.0)
-    return df.agg(F.struct((low - pad).alias("low"), (high + pad).alias("high")).alias("bounds")).scalar()
+def fit_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Lowest and highest value per column, from one scan; a single value gets half a unit on each side."""
+    ends = [f(number(c)).cast("double").alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)]
+    row = df.agg(*ends).first()
+    out = {}
+    for c in columns:
+        low, high = row[f"min_{c}"], row[f"max_{c}"]
+        out[c] = (low - 0.5, high + 0.5) if low is not None and low == high else (low, high)
+    return out
 
 
-def _bin(x: Column, low: Column, high: Column, bins: int) -> Column:
+def bin_of(x: Column, bounds: tuple[float, float], bins: int) -> Column:
     """Equal-width bin; the last one is closed on the right. Edges are low + i * width, and a value that
     rounding put on the wrong side of its edge is moved by one."""
+    if bounds[0] is None:
+        return F.lit(None).cast("int")
+    low, high = F.lit(bounds[0]), F.lit(bounds[1])
     width = (high - low) / bins
     first = F.least(F.floor((x - low) * (bins / (high - low))), F.lit(bins - 1))
     moved = F.when(x < low + first * width, first - 1).when(
@@ -73,29 +83,21 @@ def _bin(x: Column, low: Column, high: Column, bins: int) -> Column:
     return F.coalesce(moved, first).cast("int")
 
 
-def with_bin(df: DataFrame, value: str, bins: int, name: str) -> DataFrame:
-    """Adds the bin of `value` over its own range, as `name`, and the range, as `name`_range."""
-    bounds = f"{name}_range"
-    ranged = df.withColumn(bounds, _bounds(df, value))
-    edges = F.col(bounds)
-    return ranged.withColumn(name, _bin(number(value), edges["low"], edges["high"], bins))
-
-
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """(bin, low, high, n) for every bin, empty ones too."""
-    values = df.select(value).where(number(value).isNotNull())
-    counts = with_bin(values, value, bins, "bin").groupBy("bin").agg(F.count("*").alias("n"))
-    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), _bounds(values, value).alias("range"))
-    width = (F.col("range.high") - F.col("range.low")) / bins
-    edge = F.col("range.low") + F.col("bin") * width
-    return frame.join(counts, "bin", "left").select(
-        "bin",
-        edge.alias("low"),
-        F.when(F.col("bin") == bins - 1, F.col("range.high"))
-        .otherwise(F.col("range.low") + (F.col("bin") + 1) * width)
-        .alias("high"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+    values = df.select(number(value).alias("x")).where(F.col("x").isNotNull())
+    bounds = fit_bounds(values, ["x"])["x"]
+    counts = values.groupBy(bin_of(F.col("x"), bounds, bins).alias("bin")).agg(F.count("*").alias("n"))
+    low, high = (F.lit(b).cast("double") for b in bounds)
+    width = (high - low) / bins
+    frame = df.sparkSession.range(bins).select(
+        F.col("id").cast("int").alias("bin"),
+        (low + F.col("id") * width).alias("low"),
+        F.when(F.col("id") == bins - 1, high).otherwise(low + (F.col("id") + 1) * width).alias("high"),
     )
+    # one row per bin
+    filled = frame.join(F.broadcast(counts), "bin", "left")
+    return filled.select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def point_set(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -105,9 +107,10 @@ def point_set(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def grid_counts(df: DataFrame, x: str, y: str, bins: int = 50, by: list[str] | None = None) -> DataFrame:
     """Scatter chart of any size: rows per cell of a bins x bins grid, optionally per further key."""
-    points = df.select(x, y, *(by or [])).where(number(x).isNotNull() & number(y).isNotNull())
-    placed = with_bin(with_bin(points, x, bins, "x_bin"), y, bins, "y_bin")
-    return placed.groupBy("x_bin", "y_bin", *(by or [])).agg(F.count("*").alias("n"))
+    points = df.select(number(x).alias("x"), number(y).alias("y"), *(by or [])).na.drop(subset=["x", "y"])
+    bounds = fit_bounds(points, ["x", "y"])
+    cells = [bin_of(F.col(c), bounds[c], bins).alias(f"{c}_bin") for c in ("x", "y")]
+    return points.groupBy(*cells, *(by or [])).agg(F.count("*").alias("n"))
 
 
 def top_n(df: DataFrame, order: str, n: int, columns: list[str], tie: list[str] | None = None) -> DataFrame:

@@ -40,9 +40,14 @@ def guarded_features(df: DataFrame) -> DataFrame:
     return out
 
 
-def dashboard_features(df: DataFrame) -> DataFrame:
-    """Guarded features, then medians for every numeric NULL, bad dates included."""
-    return clean.materialize_filled(guarded_features(materialize(df, "lines")), "features")
+def dashboard_features(df: DataFrame, rewrite: bool = True) -> DataFrame:
+    """Guarded features, then medians for every numeric NULL, bad dates included.
+
+    The lines are scanned three times; `rewrite=False` saves writing them first where they are a flat
+    columnar table already.
+    """
+    lines = materialize(df, "lines") if rewrite else df
+    return clean.materialize_filled(guarded_features(lines), "features")
 
 
 def drop_untrainable(df: DataFrame) -> DataFrame:

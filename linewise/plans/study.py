@@ -19,12 +19,14 @@ def cleaned(df: DataFrame) -> DataFrame:
     return clean.drop_null(clean.rename(kept, S.ADDRESS_RENAME), S.REQUIRED_COLUMNS)
 
 
-def filled(df: DataFrame, leak_free: bool = False) -> DataFrame:
-    """Cleaned lines with numeric NULLs replaced by medians.
+def filled(df: DataFrame, leak_free: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """Cleaned lines with numeric NULLs replaced by medians; only `columns`, if given.
 
     Written once: medians, statistics and features each scan it, reading only the columns they need.
     """
-    return clean.materialize_filled(cleaned(df), "cleaned", lambda rows: _fit_rows(rows, leak_free))
+    lines = cleaned(df)
+    lines = lines if columns is None else lines.select(*columns)
+    return clean.materialize_filled(lines, "cleaned", lambda rows: _fit_rows(rows, leak_free))
 
 
 def _fit_rows(df: DataFrame, leak_free: bool) -> DataFrame:
@@ -43,12 +45,12 @@ def with_statistics(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame
     return out.drop(features.GROUP_ROWS)
 
 
-def study_features(df: DataFrame, leak_free: bool = False) -> DataFrame:
+def study_features(df: DataFrame, leak_free: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Cleaned, filled lines with price, calendar, customer, product and interaction columns.
 
     `leak_free` fits medians and statistics on the train part only and leaves out features made from the target.
     """
-    base = filled(df, leak_free)
+    base = filled(df, leak_free, columns)
     out = features.price_features(base)
     if leak_free:
         out = out.drop(*S.TARGET_DERIVED_FEATURES)
@@ -83,7 +85,7 @@ def study_matrix(df: DataFrame, leak_free: bool = False) -> Matrix:
     """Encoded, filled and split feature matrix, not yet scaled."""
     columns = [*S.CATEGORICAL_FEATURES, *numeric_features(leak_free)]
     selected = clean.materialize_filled(
-        prepare.with_split(feature_select(study_features(df, leak_free), leak_free)),
+        prepare.with_split(feature_select(study_features(df, leak_free, S.FEATURE_SOURCES), leak_free)),
         "features",
         lambda rows: _fit_rows(rows, leak_free),
     )

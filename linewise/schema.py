@@ -34,6 +34,12 @@ NUMERIC_FEATURES = [
 TARGET = "SALES"
 ROW_KEY = "ROW_KEY"
 
+# Cleaned columns that the feature matrix is computed from.
+FEATURE_SOURCES = [
+    ROW_KEY, *CATEGORICAL_FEATURES, "QUANTITYORDERED", "PRICEEACH", "MSRP", "ORDERLINENUMBER", "QTR_ID", "MONTH_ID",
+    "YEAR_ID", "ORDERDATE", "ORDERNUMBER", "CUSTOMERNAME", TARGET,
+]
+
 # Features computed from the target itself; left out of a leak-free study.
 TARGET_DERIVED_FEATURES = ["PROFIT_MARGIN", "REVENUE_PER_UNIT"]
 

@@ -49,6 +49,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def ensure_checkpoint_folder(spark: SparkSession) -> None:
+    """Let iterative learners checkpoint; a folder the cluster has set is kept."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch_folder(spark))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path under the scratch folder that no earlier call has returned."""
     return f"{scratch_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
