@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linewise import schema as S
 from linewise.functions.semantics import numeric_columns, text_columns
-from linewise.operators import clean, evaluate, features, models, prepare
+from linewise.operators import clean, evaluate, features, models, prepare, summarise
 from linewise.operators.lookup import attach
 from linewise.session import materialize, spread_rows
 
@@ -50,6 +50,23 @@ def dashboard_features(df: DataFrame, rewrite: bool = True) -> DataFrame:
     return clean.materialize_filled(guarded_features(lines), "features")
 
 
+def report(df: DataFrame) -> dict[str, DataFrame]:
+    """Key figures, and the data of every chart that the columns allow."""
+    frames = {"kpis": summarise.kpis(df)}
+    if _has(df, "PRODUCTLINE"):
+        frames["sales_by_productline"] = summarise.total_by(df, ["PRODUCTLINE"], "SALES", "total_sales")
+    if _has(df, "ORDERDATE"):
+        frames["sales_by_orderdate"] = summarise.total_by(df, ["ORDERDATE"], "SALES", "total_sales")
+    if _has(df, "DEALSIZE"):
+        frames["dealsize_share"] = summarise.share_by(df, "DEALSIZE", "SALES")
+    by = ["STATUS"] if _has(df, "STATUS") else []
+    frames["qty_sales_grid"] = summarise.grid_counts(df, "QUANTITYORDERED", "SALES", by=by)
+    for column in ("PRODUCTLINE", "DEALSIZE"):
+        if _has(df, column):
+            frames[f"options_{column}"] = summarise.options(df, column)
+    return frames
+
+
 def drop_untrainable(df: DataFrame) -> DataFrame:
     return clean.drop_lenient(df, S.DASHBOARD_DROP)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewise import schema as S
-from linewise.operators import clean, features, prepare
+from linewise.operators import clean, evaluate, features, models, prepare, profile, summarise
 from linewise.operators.lookup import attach
 from linewise.session import materialize, spread_rows
 
@@ -108,3 +109,68 @@ def vectors(matrix: Matrix) -> DataFrame:
     keyed = prepare.with_fold(matrix.rows)
     assembled = prepare.assemble(keyed, matrix.columns, S.TARGET, [S.ROW_KEY, "split", "fold"])
     return spread_rows(materialize(assembled, "vectors"), S.ROW_KEY)
+
+
+def explore(df: DataFrame) -> dict[str, DataFrame]:
+    """Profiles of the raw lines, and the data of the study's charts over the cleaned, filled ones."""
+    lines = filled(df)
+    return {
+        "row_count": profile.row_count(df),
+        "head": profile.head_rows(df),
+        "non_null": profile.non_null_profile(df),
+        "describe": profile.describe_numeric(df),
+        "nulls": profile.null_counts(df),
+        "distinct": profile.distinct_counts(df),
+        "nulls_cleaned": profile.null_counts(cleaned(df)),
+        "top_orders": summarise.top_n(lines, "SALES", 10, ["ORDERNUMBER", "CUSTOMERNAME", "SALES", "QUANTITYORDERED"]),
+        "sales_histogram": summarise.histogram(lines, "SALES", 50),
+        "sales_by_productline": summarise.total_by(lines, ["PRODUCTLINE"], "SALES", "total_sales", descending=True),
+        "avg_sales_by_year": summarise.mean_by(lines, ["YEAR_ID"], "SALES", "avg_sales"),
+        "qty_sales_grid": summarise.grid_counts(lines, "QUANTITYORDERED", "SALES"),
+        "sales_by_status": summarise.total_by(lines, ["STATUS"], "SALES", "total_sales", descending=True),
+        "avg_sales_by_quarter": summarise.mean_by(lines, ["QTR_ID"], "SALES", "avg_sales"),
+    }
+
+
+# Names of the compared learners; the tuned one joins them under TUNED.
+COMPARED = {
+    "Linear Regression": models.OLS,
+    "Ridge Regression": models.RIDGE,
+    "Random Forest": models.RANDOM_FOREST,
+    "Gradient Boosting": models.GBT,
+}
+TUNED = "XGBoost"
+
+
+@dataclass(frozen=True)
+class Comparison:
+    """Fitted models and everything reported from their predictions."""
+
+    models: dict[str, Model]
+    search: DataFrame
+    predictions: DataFrame
+    metrics: DataFrame
+    table: DataFrame
+    best: DataFrame
+    importances: DataFrame
+
+
+def compare_learners(
+    matrix: Matrix,
+    learners: dict[str, models.Learner] | None = None,
+    grid: dict[str, list] = models.TUNING_GRID,
+    folds: int = prepare.FOLDS,
+    parallelism: int = 1,
+) -> Comparison:
+    """Tune the boosted trees, fit the other learners, and compare all on the same scaled rows."""
+    rows = vectors(scaled_matrix(matrix))
+    train = rows.where(F.col("split") == "train")
+    tuned, _, search = models.grid_search(models.BOOSTED, train, grid, folds, parallelism=parallelism)
+    fitted = {name: models.fit(learner, train) for name, learner in (learners or COMPARED).items()}
+    fitted[TUNED] = tuned
+    # written once: every model scores every row, and all reports start from these rows
+    predictions = materialize(evaluate.predictions(fitted, rows), "predictions")
+    metrics = evaluate.metrics(predictions)
+    table = evaluate.compare(metrics)
+    ranked = models.importances(tuned, matrix.columns, 15)
+    return Comparison(fitted, search, predictions, metrics, table, evaluate.best_model(table), ranked)

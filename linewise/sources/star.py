@@ -66,6 +66,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     buyers = table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     orders = table("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-    lines = spread_rows(table("lineitem"), "l_orderkey").join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    lineitem = spread_rows(table("lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = lineitem.join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(*[F.expr(sql).alias(name) for name, sql in STAR_COLUMNS.items()])

@@ -193,3 +193,32 @@ def test_scenarios(spark, lines):
     scored = scenario.score(table.union(table.withColumn("PRODUCTLINE", F.lit("never seen"))), what_if)
     assert scored.columns == [*table.columns, "ESTIMATE"] and scored.count() == 2
     assert set(r["DEALSIZE"] for r in scored.collect()) == {"Small"}
+
+
+# --- whole runs ---
+
+
+def test_whole_study_from_csv(spark, lines, tmp_path):
+    """Raw CSV to compared learners, with few and small trees."""
+    from linewise.sources.orders_csv import read_orders_csv
+
+    path = str(tmp_path / "lines")
+    lines.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    loaded = read_orders_csv(spark, path)
+    learners = {"Linear Regression": models.OLS, "Random Forest": models.RANDOM_FOREST.using(trees=3, depth=3)}
+    grid = {"trees": [2, 4], "depth": [2], "rate": [0.3]}
+    result = study.compare_learners(study.study_matrix(loaded), learners, grid, folds=2, parallelism=2)
+    table = {r["model"]: r for r in result.table.collect()}
+    assert set(table) == {*learners, study.TUNED}
+    assert result.best.first()["model"] == max(table, key=lambda m: table[m]["test_r2"]) == "Linear Regression"
+    assert result.importances.count() == 15 and result.search.count() == 2
+    assert result.predictions.count() == 3 * 5812
+
+
+def test_reports_hold_what_the_columns_allow(spark, lines):
+    frames = study.explore(lines)
+    assert len(frames) == 14 and all(f.count() > 0 for f in frames.values())
+    full = dashboard.report(lines)
+    assert len(full) == 7 and full["qty_sales_grid"].columns == ["x_bin", "y_bin", "STATUS", "n"]
+    few = dashboard.report(lines.select("QUANTITYORDERED", "SALES"))
+    assert set(few) == {"kpis", "qty_sales_grid"} and few["kpis"].first()["unique_customers"] is None
