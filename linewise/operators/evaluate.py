@@ -30,7 +30,8 @@ def predictions(models: dict[str, Model], rows: DataFrame, key: str = ROW_KEY) -
 
 def r_squared() -> Column:
     """R² over (label, prediction); a constant label scores 1 when met exactly, else 0."""
-    error = F.sum(F.pow(F.col("label") - F.col("prediction"), 2))
+    miss = F.col("label") - F.col("prediction")
+    error = F.sum(miss * miss)
     spread = F.var_pop("label") * F.count("label")
     constant = F.when(error == 0, 1.0).otherwise(0.0)
     return F.when(spread == 0, constant).otherwise(1 - safe_div(error, spread))
@@ -41,7 +42,7 @@ def metrics(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     miss = F.col("label") - F.col("prediction")
     return long.groupBy(*(by or ["model", "split"])).agg(
         r_squared().alias("r2"),
-        F.sqrt(F.avg(F.pow(miss, 2))).alias("rmse"),
+        F.sqrt(F.avg(miss * miss)).alias("rmse"),
         F.avg(F.abs(miss)).alias("mae"),
         F.count("*").alias("n"),
     )
@@ -141,20 +142,23 @@ def baseline_predictions(fitted: Baselines, df: DataFrame) -> DataFrame:
 def _other_folds(df: DataFrame, key: str | None, name: str, folds: int) -> DataFrame:
     """(key, fold) -> mean target over the key's rows in all other folds, from one grouping by key and fold.
 
-    A key has at most `folds` rows after the grouping; each is turned into sums over the remaining ones.
+    After that grouping a key has at most `folds` rows; they are combined into the sums over the other folds.
     """
     keys = [] if key is None else [key]
     rows = df if key is None else df.where(F.col(key).isNotNull())
+    sums = rows.groupBy(*keys, "fold").agg(
+        F.sum(F.col(TARGET).cast(AMOUNT)).alias("total"), F.count(TARGET).alias("n"), F.count("*").alias("here")
+    )
     per_fold = [
         F.struct(
             F.lit(f).alias("fold"),
-            F.sum(F.when(F.col("fold") != f, F.col(TARGET).cast(AMOUNT))).alias("total"),
-            F.count(F.when(F.col("fold") != f, F.col(TARGET))).alias("n"),
-            F.count_if(F.col("fold") == f).alias("here"),
+            F.sum(F.when(F.col("fold") != f, F.col("total"))).alias("total"),
+            F.coalesce(F.sum(F.when(F.col("fold") != f, F.col("n"))), F.lit(0)).alias("n"),
+            F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("here"))), F.lit(0)).alias("here"),
         )
         for f in range(folds)
     ]
-    wide = rows.groupBy(*keys).agg(*[p.alias(f"f{i}") for i, p in enumerate(per_fold)])
+    wide = sums.groupBy(*keys).agg(*[p.alias(f"f{i}") for i, p in enumerate(per_fold)])
     long = wide.select(*keys, F.inline(F.array(*[F.col(f"f{i}") for i in range(folds)])))
     mean = safe_div(F.col("total").cast("double"), F.col("n").cast("double"))
     return long.select(*keys, "fold", mean.alias(name), F.col("here").alias(f"{name}_n"))
