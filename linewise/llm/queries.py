@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linewise.llm import bpe_count, decontaminate, simhash
+from linewise.llm import bpe_count, decontaminate, pii, simhash
 from linewise.llm.common import documents, table
 
 
@@ -33,8 +33,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_private(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
+    "op10_pii": op10_pii,
 }
