@@ -137,17 +137,16 @@ def revealing_terms(docs: DataFrame, support: int = 3, likelihood: float = 0.5,
     words = words.groupBy("value", "term", "key").agg(F.max("copies").alias("copies"), F.min("context").alias("context"))
     evidence = words.groupBy("value", "term").agg(F.count_distinct("context").alias("contexts"), F.sum("copies").alias("together"))
     candidates = materialize(evidence.where(F.col("contexts") >= support).select("value", "term", "together"), "pii-candidates")
-    held = docs.select(_text_key().alias("key"), F.explode(_words(F.col("text"))).alias("term"))
-    held = held.join(candidates.select("term").distinct(), "term", "left_semi").groupBy("key", "term").agg(F.count("*").alias("n"))
-    held = materialize(held, "pii-terms")
-    often = held.groupBy("term").agg(F.sum("n").alias("documents"))
+    # counted before they meet the candidates: a task sends each of its words once, however common
+    often = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
     values = near.groupBy("value", "key").agg(F.max("copies").alias("copies")).groupBy("value").agg(F.sum("copies").alias("times"))
     total = docs.agg(F.count("*").alias("total"))
     given = F.col("together") / F.col("documents")
     judged = candidates.join(often, "term").join(values, "value").join(F.broadcast(total))  # one row
     terms = judged.where((given >= likelihood) & (F.log2(given * F.col("total") / F.col("times")) >= bits)).select("term").distinct()
     terms = materialize(terms, "pii-revealing")
-    texts = held.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("terms"))
+    held = docs.select(_text_key().alias("key"), F.explode(_words(F.col("text"))).alias("term")).join(terms, "term")
+    texts = held.groupBy("key").agg(F.collect_set("term").alias("terms"))
     return terms, materialize(texts, "pii-texts")
 
 
