@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewise.llm import bpe_count, decontaminate, nearest, pii, quality, repair, simhash
+from linewise.llm import bpe_count, decontaminate, nearest, packing, pii, quality, repair, simhash
 from linewise.llm.common import documents, table
 
 
@@ -47,6 +47,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.encode_to_files(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_private(documents(spark, sf_dir)))
 
@@ -58,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
+    "op8_packing": op8_packing,
     "op10_pii": op10_pii,
 }
