@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewise.llm import bpe_count, decontaminate, nearest, packing, pii, quality, repair, simhash
+from linewise.llm import bpe_count, brown, decontaminate, nearest, packing, pii, quality, repair, simhash
 from linewise.llm.common import documents, table
 
 
@@ -39,6 +39,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_nearest": op3_nearest,
     "op4_simhash": op4_simhash,
+    "op5_brown": op5_brown,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
