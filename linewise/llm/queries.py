@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewise.llm import bpe_count, brown, decontaminate, nearest, packing, pii, quality, repair, simhash
+from linewise.llm import bpe_count, brown, decontaminate, nearest, packing, pii, quality, repair, simhash, substrings
 from linewise.llm.common import documents, table
 
 
@@ -55,6 +55,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_private(documents(spark, sf_dir)))
 
@@ -68,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op9_substrings": op9_substrings,
     "op10_pii": op10_pii,
 }
