@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,6 +32,12 @@ def remainder(doc_id: Column | str, divisor: int) -> Column:
                       F.lit(0).cast("long"))
 
 
+def with_free_names(docs: DataFrame, taken: set[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`work` of `docs`, whose own columns with names in `taken` go by other names meanwhile."""
+    aside = {c: f"own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in taken}
+    return work(docs.withColumnsRenamed(aside)).withColumnsRenamed({v: k for k, v in aside.items()})
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; NULL is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import texts_of
+from linewise.llm.common import texts_of, with_free_names
 from linewise.llm.fm_index import FMIndex
 from linewise.session import materialize
 
@@ -205,16 +205,25 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """`docs` with the hit words cut out of their texts (and n_chars, if there, counted anew); other texts stay as they are."""
-    names = docs.columns
+    """`docs` with the hit words cut out of their texts (and n_chars, if there, counted anew); other texts stay as they are.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, texts = batch.column("spans").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            new = [cut_words(t, [(x["first"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans)]
-            column = pa.array(new, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([column if c == "text" else batch.column(c) for c in names], names=names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    kept = find_phrases(docs, benchmark, window, keep_text=True).mapInArrow(cut, schema)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else kept
+    Cut and judged as find_phrases says. All columns and rows stay."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        names = rows.columns
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans, texts = batch.column("spans").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
+                new = [cut_words(t, [(x["first"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans)]
+                columns = {"text": pa.array(new, pa.binary()).cast(pa.string())}
+                yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in [*names, "spans"]], names=[*names, "spans"])
+
+        found = find_phrases(rows, benchmark, window, keep_text=True)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in {*names, "spans"})
+        left = found.select(*names, "spans").mapInArrow(cut, schema)
+        if "n_chars" in names:
+            left = left.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(rows.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        return left.select(*names)
+
+    return with_free_names(docs, {"n_words", "spans", "items"}, work)

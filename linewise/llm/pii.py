@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewise.llm.common import with_free_names
 from linewise.session import materialize
 
 # The base patterns, for Java. Where a pattern would try every start in a run of like characters, it here
@@ -182,7 +183,12 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame, labels: dict[str, str] | None = None, **thresholds) -> DataFrame:
-    """`docs` with each stretch covered by spans generalised to the label of its first span, or removed (label ""); n_chars, if there, is counted anew."""
+    """`docs` with each stretch covered by spans generalised to the label of its first span, or removed (label "");
+    n_chars, if there, is counted anew. Texts without spans, NULL ones too, and all other columns stay as they are."""
+    return with_free_names(docs, {"key", "terms", "spans"}, lambda rows: _mask(rows, labels, thresholds))
+
+
+def _mask(docs: DataFrame, labels: dict[str, str] | None, thresholds: dict) -> DataFrame:
     labels = {kind: f"[{kind.upper()}]" for kind in KINDS} | (labels or {})
     names = docs.columns
     found = find_private(docs, **thresholds).withColumn("spans", F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(a["kind"] - b["kind"])))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import remainder, texts_of
+from linewise.llm.common import remainder, texts_of, with_free_names
 
 #: Bytes of a block; a chunk is two neighbouring blocks, so chunks overlap by half and cover the whole text.
 BLOCK = 128
@@ -32,7 +32,7 @@ class Settings:
     filters: int = 32
     embedding: int = 8
     hidden: int = 24
-    epochs: int = 8
+    steps: int = 600
     batch: int = 32
     rate: float = 0.004
     seed: int = 7
@@ -152,13 +152,14 @@ def train(texts: list[bytes], labels: list[int], share: float, settings: Setting
     # one more of the rarer label until both weigh the same
     rows = [np.flatnonzero(y == v) for v in (0, 1)]
     size, step = max(map(len, rows)), 0
-    total = s.epochs * -(-2 * size // s.batch)
-    for _ in range(s.epochs):
+    while step < s.steps:
         order = np.concatenate([np.resize(rng.permutation(r), size) for r in rows])
         order = order[rng.permutation(len(order))]
         for at in range(0, len(order), s.batch):
+            if step == s.steps:
+                break
             some, step = order[at : at + s.batch], step + 1
-            rate = s.rate * (1 - (step - 1) / total)
+            rate = s.rate * (1 - (step - 1) / s.steps)
             for k, g in net.gradients([texts[i] for i in some], y[some]).items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
@@ -203,6 +204,12 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     return docs.mapInArrow(run, f"{kinds}, score double")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings | None = None) -> DataFrame:
+    """The rows of `docs` that score `threshold` or more, with a network learnt from them."""
+    net = learn(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels, settings)
+    return with_free_names(docs, {"score"}, lambda rows: score(rows, net).where(F.col("score") >= threshold).drop("score"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of `docs` (doc_id, text).
 

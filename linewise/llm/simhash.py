@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import connected, texts_of
+from linewise.llm.common import connected, texts_of, with_free_names
 from linewise.session import materialize
 
 #: Fixed value: a word after lower-casing A-Z, over UTF-8 bytes.
@@ -42,15 +42,15 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """`docs` (whose columns include text) with the column fp, a signed 64-bit fingerprint, instead of text."""
-    names = [c for c in docs.columns if c != "text"]
+    """`docs` (whose columns include text) with the column fp, a signed 64-bit fingerprint."""
+    names = docs.columns
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(x, shingle) for x in texts_of(batch.column("text"))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp.view(np.int64))], names=[*names, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(mark, f"{kinds}, fp bigint")
 
 
@@ -120,19 +120,36 @@ def links(fps: DataFrame, distance: int, total: int) -> DataFrame:
     return sent.groupBy("prefix").applyInArrow(pair, "a bigint, b bigint")
 
 
+def _components(marked: DataFrame, distance: int, first) -> DataFrame:
+    """(fp, root, first) for each fingerprint of `marked`: its component, and the least `first` (a column over `marked`) among its rows.
+
+    Rows with equal fingerprints meet in one grouped row before any link is sought, so copies are never paired."""
+    classes = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")), "simhash-classes")
+    roots = connected(links(classes.select("fp"), distance, classes.count()), "simhash-links")
+    joined = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return joined.withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The columns of `docs` but text, with fingerprint (hex) and component_id, the smallest doc_id reachable over links.
+    """doc_id, fingerprint (hex) and component_id, the smallest doc_id reachable over links, for each row of `docs` (doc_id, text).
 
-    Documents with equal fingerprints meet in one grouped row before any link is sought, so copies are never paired.
     NULL, empty and wordless texts have fingerprint zero and are linked like any other. NULL ids take the id of their
-    component; a component of NULL ids only has component_id NULL. Repeated rows stay. `docs` must not have columns
-    named fp, fingerprint or component_id.
+    component; a component of NULL ids only has component_id NULL. Repeated rows stay.
     """
-    marked = materialize(fingerprints(docs, shingle), "simhash")
-    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = connected(links(classes.select("fp"), distance, classes.count()), "simhash-links")
-    joined = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    marked = materialize(fingerprints(docs.select("doc_id", "text"), shingle).drop("text"), "simhash")
+    joined = _components(marked, distance, F.col("doc_id"))
+    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     of = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    found = marked.join(of, "fp")
-    return found.select(*[c for c in docs.columns if c != "text"], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """`docs` with one row of each component: that of the smallest doc_id (a NULL id is larger than all; of equal rows, any one)."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        marked = materialize(fingerprints(rows, shingle).withColumn("row", F.monotonically_increasing_id()), "simhash")
+        first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+        best = _components(marked.select("doc_id", "fp", "row"), distance, first).groupBy("root").agg(F.min("first").alias("first"))
+        return marked.join(best.select(F.col("first.row").alias("row")), "row", "left_semi").drop("row", "fp")
+
+    return with_free_names(docs, {"row", "fp"}, work)

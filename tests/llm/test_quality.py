@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.1"
 
 
 def small():
-    return quality.Settings(rows=80, filters=6, embedding=3, hidden=4, epochs=1, batch=8)
+    return quality.Settings(rows=80, filters=6, embedding=3, hidden=4, steps=10, batch=8)
 
 
 def test_gradients_equal_differences():
@@ -53,7 +53,7 @@ def test_scores_do_not_depend_on_neighbours_or_slices(monkeypatch):
 def test_end_of_long_text_counts():
     texts = [prose(i, 300).encode() for i in range(60)]
     bad = [t + b" " + b"SPAM!! " * 20 for t in texts]
-    net = quality.train(texts[:40] + bad[:40], [1] * 40 + [0] * 40, 0.5, quality.Settings(epochs=12, filters=8, hidden=8))
+    net = quality.train(texts[:40] + bad[:40], [1] * 40 + [0] * 40, 0.5, quality.Settings(steps=60, filters=8, hidden=8))
     clean = (prose(1000, 20_000)).encode()
     assert net.score([clean])[0] > 0.5 > net.score([clean + b" " + b"SPAM!! " * 20])[0]
 

@@ -93,6 +93,15 @@ def test_ball_hashing_finds_every_pair(spark, monkeypatch):
 
 def test_empty_table_and_clashing_columns(spark):
     assert simhash.near_duplicates(frame(spark, []).select("doc_id", "text")).count() == 0
-    extra = frame(spark, odd_rows()).withColumnsRenamed({"lang": "root", "source": "least", "n_chars": "node"})
-    got = simhash.near_duplicates(extra)
-    assert got.count() == len(odd_rows()) and {"root", "least", "node"} <= set(got.columns)
+    extra = frame(spark, odd_rows()).withColumnsRenamed({"lang": "root", "source": "fp", "n_chars": "row"})
+    assert simhash.near_duplicates(extra).columns == ["doc_id", "fingerprint", "component_id"]
+    kept = simhash.keep_first(extra)
+    assert kept.columns == extra.columns and kept.select("fp").distinct().count() == 1
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = odd_rows() + [(None, prose(9, 30)), (None, None), (1, prose(1, 60))]
+    found = [tuple(r) for r in simhash.near_duplicates(frame(spark, rows)).collect()]
+    kept = simhash.keep_first(frame(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({c for _, _, c in found if c is not None})
+    assert [r["text"] for r in kept if r["doc_id"] is None] == [prose(9, 30)]
