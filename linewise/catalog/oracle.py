@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from linewise import schema as S
-from linewise.operators import prepare
-from linewise.plans.scenario import BOUNDS
 from linewise.sources import synthetic
 from linewise.sources.star import STAR_COLUMNS
 
@@ -29,11 +27,11 @@ def _mean(c: str) -> str:
     return f"{_total(c)} / NULLIF(COUNT({c}), 0)"
 
 
-def _bucket(key: str, m: int) -> str:
-    return f"CAST(('0x' || substr(md5({key}), 1, 8))::BIGINT % {m} AS INT)"
-
-
-_SPLIT = f"CASE WHEN {_bucket('ROW_KEY', 10)} < 8 THEN 'train' ELSE 'test' END"
+# The split by the first eight digits of the key's md5, tenths 8 and 9 being the test part; the fold by the next eight.
+_SPLIT = "CASE WHEN ('0x' || left(md5(ROW_KEY), 8))::BIGINT % 10 IN (8, 9) THEN 'test' ELSE 'train' END"
+_FOLD = "CAST(('0x' || md5(ROW_KEY)[9:16])::BIGINT % 5 AS INT)"
+# What a scenario may hold, and columns that cleaning leaves out, stated here apart from the engine.
+BOUNDS = {"QUANTITYORDERED": (10, 200), "PRICEEACH": (10, 500), "MSRP": (10, 500)}
 
 _CUSTOMER = (
     f"SELECT CUSTOMERNAME, COUNT(ORDERNUMBER) AS CUSTOMER_ORDER_COUNT, {_total('SALES')} AS CUSTOMER_TOTAL_SALES, "
@@ -228,10 +226,8 @@ _BASELINES = (
     "measured AS (SELECT model, split, 1 - SUM((label - prediction) ** 2) / regr_syy(label, label) AS r2, "
     "SQRT(AVG((label - prediction) ** 2)) AS rmse, AVG(ABS(label - prediction)) AS mae, COUNT(*) AS n "
     "FROM long GROUP BY model, split), "
-    "comparison AS (SELECT model, ROUND(MAX(CASE WHEN split = 'train' THEN r2 END), 4) AS train_r2, "
-    "ROUND(MAX(CASE WHEN split = 'test' THEN r2 END), 4) AS test_r2, "
-    "ROUND(MAX(CASE WHEN split = 'test' THEN rmse END), 4) AS rmse, "
-    "ROUND(MAX(CASE WHEN split = 'test' THEN mae END), 4) AS mae FROM measured GROUP BY model)"
+    "comparison AS (SELECT tr.model, tr.r2 AS train_r2, te.r2 AS test_r2, te.rmse, te.mae FROM measured tr "
+    "JOIN measured te ON tr.model = te.model AND tr.split = 'train' AND te.split = 'test')"
 )
 _TO_BASELINES = _with(_SALES, _CLEANED, _FILLED, _BASELINES)
 
@@ -244,7 +240,7 @@ def _cv(folds: int) -> str:
     """Each fold predicted by statistics taken directly from the rows of the other folds."""
     return (
         _with(_SALES, _CLEANED, _FILLED)
-        + f", train AS (SELECT *, {_bucket('ROW_KEY', folds)} AS fold FROM filled WHERE {_SPLIT} = 'train'), "
+        + f", train AS (SELECT *, {_FOLD} AS fold FROM filled WHERE {_SPLIT} = 'train'), "
         f"f AS (SELECT CAST(i AS INT) AS i FROM range({folds}) AS t(i)), "
         f"overall AS (SELECT i, {_mean('SALES')} AS m, regr_slope(SALES, QUANTITYORDERED) AS slope, "
         "regr_intercept(SALES, QUANTITYORDERED) AS intercept FROM train JOIN f ON fold <> i GROUP BY i), "
@@ -272,7 +268,8 @@ def _grid() -> str:
     q, p, m = BOUNDS["QUANTITYORDERED"], BOUNDS["PRICEEACH"], BOUNDS["MSRP"]
     return (
         _TO_SALES + "SELECT o.PRODUCTLINE, o.DEALSIZE, q.v AS QUANTITYORDERED, p.v AS PRICEEACH, m.v AS MSRP, "
-        "q.v * p.v AS ESTIMATE FROM (SELECT DISTINCT PRODUCTLINE, DEALSIZE FROM sales) o, "
+        "q.v * p.v AS ESTIMATE FROM (SELECT PRODUCTLINE, DEALSIZE FROM (SELECT DISTINCT PRODUCTLINE FROM sales WHERE PRODUCTLINE IS NOT NULL), "
+        "(SELECT DISTINCT DEALSIZE FROM sales WHERE DEALSIZE IS NOT NULL)) o, "
         f"{values([5, 10, 50, 100, 200, 250])} q, {values([5, 10, 100, 500, 600])} p, {values([110, 501])} m "
         f"WHERE q.v BETWEEN {q[0]} AND {q[1]} AND p.v BETWEEN {p[0]} AND {p[1]} AND m.v BETWEEN {m[0]} AND {m[1]}"
     )
@@ -298,6 +295,27 @@ def _encoded(columns: list[str]) -> str:
     )
 
 
+# Normal equations of two centred features
+_TWO_SLOPES = (
+    ", m AS (SELECT covar_pop(QUANTITYORDERED, QUANTITYORDERED) AS aa, covar_pop(PRICEEACH, PRICEEACH) AS bb, "
+    "covar_pop(QUANTITYORDERED, PRICEEACH) AS ab, covar_pop(SALES, QUANTITYORDERED) AS ya, covar_pop(SALES, PRICEEACH) AS yb, "
+    "AVG(QUANTITYORDERED) AS a, AVG(PRICEEACH) AS b, AVG(SALES) AS y FROM train), "
+    "w AS (SELECT (ya * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS wb, a, b, y FROM m) "
+    "SELECT 'QUANTITYORDERED' AS term, ROUND(wa, 4) AS value FROM w UNION ALL SELECT 'PRICEEACH', ROUND(wb, 4) FROM w "
+    "UNION ALL SELECT 'intercept', ROUND(y - wa * a - wb * b, 4) FROM w"
+)
+# The threshold on whole quantities that leaves the least squared error, and the means on both sides of it
+_STUMP = (
+    ", q AS (SELECT QUANTITYORDERED AS quantity, COUNT(*) AS n, SUM(SALES) AS s FROM train GROUP BY 1), "
+    "cut AS (SELECT t.quantity AS t, SUM(CASE WHEN q.quantity <= t.quantity THEN q.n END) AS nl, "
+    "SUM(CASE WHEN q.quantity <= t.quantity THEN q.s END) AS sl, SUM(CASE WHEN q.quantity > t.quantity THEN q.n END) AS nr, "
+    "SUM(CASE WHEN q.quantity > t.quantity THEN q.s END) AS sr FROM q t, q GROUP BY 1), "
+    "best AS (SELECT * FROM cut WHERE nr > 0 ORDER BY sl * sl / nl + sr * sr / nr DESC LIMIT 1) "
+    "SELECT quantity, n, ROUND(CASE WHEN quantity <= t THEN sl / nl ELSE sr / nr END, 4) AS prediction, "
+    "CAST(1.0 AS DOUBLE) AS importance FROM q, best"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     stats = ", ".join(_CUSTOMER_COLUMNS)
     return {
@@ -307,6 +325,9 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT ROW_KEY, ORDERNUMBER, CUSTOMERNAME, POSTALCODE, QUANTITYORDERED, SALES, MSRP, STATUS FROM sales",
         "csv_rejects": _TO_SALES
         + "SELECT ROW_KEY, ORDERNUMBER, SALES, 'MSRP' AS bad_columns FROM sales WHERE ORDERNUMBER % 100 = 0",
+        "csv_malformed": _TO_SALES
+        + ", r AS (SELECT ORDERNUMBER % 100 AS kind, ROW_KEY || ',' || ORDERNUMBER AS start, CAST(QUANTITYORDERED AS INT) AS q FROM sales) "
+        "SELECT CASE WHEN kind = 1 THEN start || ',' || q || ',surplus' ELSE start END AS record, '_CELLS' AS bad_columns FROM r WHERE kind IN (1, 2)",
         "predictions_sink": _TO_BASELINES
         + "SELECT label AS Actual_Sales, prediction AS Predicted_Sales FROM long "
         "WHERE model = 'product_mean' AND split = 'test'",
@@ -341,6 +362,28 @@ def oracle_sql() -> dict[str, str]:
         "sales_by_productline": _TO_SALES + f"SELECT PRODUCTLINE, {_total('SALES')} AS total_sales FROM sales GROUP BY 1 ORDER BY 2 DESC",
         "avg_sales_by_year": _TO_SALES + f"SELECT YEAR_ID, {_mean('SALES')} AS avg_sales FROM sales GROUP BY 1 ORDER BY 1",
         "avg_sales_by_quarter": _TO_SALES + f"SELECT QTR_ID, {_mean('SALES')} AS avg_sales FROM sales GROUP BY 1 ORDER BY 1",
+        **{f"{name}_cleaned": _TO_FILLED + sql for name, sql in {
+            "sales_by_productline": f"SELECT PRODUCTLINE, {_total('SALES')} AS total_sales FROM filled GROUP BY 1",
+            "avg_sales_by_year": f"SELECT YEAR_ID, {_mean('SALES')} AS avg_sales FROM filled GROUP BY 1",
+            "avg_sales_by_quarter": f"SELECT QTR_ID, {_mean('SALES')} AS avg_sales FROM filled GROUP BY 1",
+            "sales_by_status": f"SELECT STATUS, {_total('SALES')} AS total_sales FROM filled GROUP BY 1",
+        }.items()},
+        "sales_histogram_cleaned": _with(_SALES, _CLEANED, _FILLED, _histogram("filled", "SALES", 50)) + "SELECT * FROM hist",
+        "kpis_app": _TO_DATED
+        + f"SELECT {_total('SALES')} AS total_revenue, ROUND({_total('SALES')} / 1e6, 2) AS revenue_millions, "
+        f"{_mean('SALES')} AS mean_line_value, COUNT(*) AS line_count, COUNT(DISTINCT CUSTOMERNAME) AS unique_customers FROM dated",
+        "sales_by_productline_app": _TO_DATED + f"SELECT PRODUCTLINE, {_total('SALES')} AS total_sales FROM dated GROUP BY 1",
+        "sales_by_orderdate_app": _TO_DATED
+        + f"SELECT ORDERDATE, {_total('SALES')} AS total_sales FROM dated WHERE ORDERDATE IS NOT NULL GROUP BY 1",
+        "dealsize_share_app": _TO_DATED
+        + f"SELECT DEALSIZE, {_total('SALES')} AS total, {_total('SALES')} / (SELECT {_total('SALES')} FROM dated) AS share FROM dated GROUP BY 1",
+        "ols_two_features": _TO_BASELINES + _TWO_SLOPES,
+        "ridge_one_feature": _TO_BASELINES
+        + ", r AS (SELECT regr_sxy(SALES, QUANTITYORDERED) / (regr_sxx(SALES, QUANTITYORDERED) + 1000) AS b, AVG(SALES) AS y, "
+        "AVG(QUANTITYORDERED) AS x FROM train) SELECT 'QUANTITYORDERED' AS term, ROUND(b, 4) AS value FROM r "
+        "UNION ALL SELECT 'intercept', ROUND(y - b * x, 4) FROM r",
+        "forest_stump": _TO_BASELINES + _STUMP,
+        "boosted_stump": _TO_BASELINES + _STUMP,
         "sales_by_status": _TO_SALES + f"SELECT STATUS, {_total('SALES')} AS total_sales FROM sales GROUP BY 1 ORDER BY 2 DESC",
         "sales_by_orderdate": _TO_SALES + f"SELECT ORDERDATE, {_total('SALES')} AS total_sales FROM sales GROUP BY 1 ORDER BY 1",
         "kpis": _TO_SALES
@@ -378,7 +421,7 @@ def oracle_sql() -> dict[str, str]:
         "interaction_features": _TO_SALES + "SELECT ROW_KEY, QUANTITYORDERED * PRICEEACH AS QTY_PRICE_INTERACTION FROM sales",
         "status_msrp": _TO_SALES + f"SELECT ROW_KEY, {_STATUS_MSRP} AS STATUS_MSRP_RATIO FROM sales",
         "parse_dates_coerce": _TO_DATED + "SELECT ROW_KEY, ORDERDATE FROM dated",
-        "parse_dates_strict": _TO_DATED + "SELECT ROW_KEY, ORDERDATE FROM dated WHERE ORDERNUMBER % 100 <> 0",
+        "parse_dates_strict": _TO_SALES + "SELECT ROW_KEY, CAST(ORDERDATE AS TIMESTAMP) AS ORDERDATE FROM sales",
         "temporal_features": _TO_SALES
         + f"SELECT ROW_KEY, {_DOW} AS DAY_OF_WEEK, {_DOM} AS DAY_OF_MONTH, {_WEEK} AS WEEK_OF_YEAR FROM sales",
         "date_parts_app": _TO_DATED
@@ -400,7 +443,7 @@ def oracle_sql() -> dict[str, str]:
         "split_ratio": _TO_SALES
         + f", s AS (SELECT {_SPLIT} AS split FROM sales) SELECT COUNT(*) FILTER (split = 'train') AS n_train, "
         "COUNT(*) FILTER (split = 'test') AS n_test, n_train / n_test AS ratio FROM s",
-        "fold_assign": _TO_SALES + f"SELECT ROW_KEY, {_bucket('ROW_KEY', prepare.FOLDS)} AS fold FROM sales",
+        "fold_assign": _TO_SALES + f"SELECT ROW_KEY, {_FOLD} AS fold FROM sales",
         "standard_scale": _TO_BASELINES
         + "SELECT ROW_KEY, "
         + ", ".join(
@@ -410,14 +453,17 @@ def oracle_sql() -> dict[str, str]:
         + " FROM lines",
         "ols_one_feature": _TO_BASELINES
         + "SELECT ROUND(slope, 6) AS slope, ROUND(intercept, 4) AS intercept, (SELECT COUNT(*) FROM train) AS n FROM overall",
-        "cv_baselines": _cv(prepare.FOLDS),
+        "cv_baselines": _cv(5),
         "metrics_by_split": _TO_BASELINES
         + "SELECT model, split, ROUND(r2, 8) AS r2, ROUND(rmse, 4) AS rmse, ROUND(mae, 4) AS mae, n FROM measured",
         "accuracy_pct": _TO_BASELINES
         + "SELECT model, ROUND(LEAST(100.0, r2 * 100 + 0.5), 6) AS accuracy_pct FROM measured WHERE split = 'test'",
-        "comparison_table": _TO_BASELINES + "SELECT * FROM comparison",
-        "best_model": _TO_BASELINES + "SELECT * FROM comparison ORDER BY test_r2 DESC NULLS LAST, model LIMIT 1",
-        "model_bars": _TO_BASELINES + "SELECT model, test_r2, rmse FROM comparison",
+        "comparison_table": _TO_BASELINES
+        + "SELECT model, ROUND(train_r2, 4) AS train_r2, ROUND(test_r2, 4) AS test_r2, ROUND(rmse, 4) AS rmse, ROUND(mae, 4) AS mae FROM comparison",
+        "best_model": _TO_BASELINES
+        + "SELECT model, ROUND(train_r2, 8) AS train_r2, ROUND(test_r2, 8) AS test_r2, ROUND(rmse, 8) AS rmse, ROUND(mae, 8) AS mae "
+        "FROM comparison WHERE test_r2 = (SELECT MAX(test_r2) FROM comparison)",
+        "model_bars": _TO_BASELINES + "SELECT model, ROUND(test_r2, 8) AS test_r2, ROUND(rmse, 8) AS rmse FROM comparison",
         "residuals": _TO_BASELINES
         + f"SELECT model, ROW_KEY, {_settled('prediction')} AS prediction, {_settled('label - prediction')} AS residual "
         "FROM long WHERE split = 'test'",

@@ -25,13 +25,18 @@ def number(col: str, data_type: T.DataType | None = None) -> Column:
 
 
 def exact_sum(col: str) -> Column:
-    """Sum of an amount as DECIMAL, so the result does not depend on task order; 0.0 for no values."""
-    return F.coalesce(F.sum(F.col(col).cast(AMOUNT)), F.lit(0).cast(AMOUNT)).cast("double")
+    """Sum of an amount as DECIMAL, so the result does not depend on task order; 0.0 for no values.
+
+    NaN is a missing value; an infinite value makes the sum infinite (NaN if both signs occur)."""
+    size = F.abs(F.col(col).cast("double"))
+    finite = F.sum(F.when(size < float("inf"), F.col(col).cast(AMOUNT)))
+    endless = F.sum(F.when(size == float("inf"), F.col(col).cast("double")))
+    return F.coalesce(endless, F.coalesce(finite, F.lit(0).cast(AMOUNT)).cast("double"))
 
 
 def exact_mean(col: str) -> Column:
-    """Mean from `exact_sum`; NULL for no values."""
-    return safe_div(exact_sum(col), F.count(col).cast("double"))
+    """Mean from `exact_sum` over the values that it sums; NULL for no values."""
+    return safe_div(exact_sum(col), F.count(F.when(~F.isnan(F.col(col).cast("double")), F.col(col))).cast("double"))
 
 
 def label_text(col: str) -> Column:
@@ -39,10 +44,12 @@ def label_text(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(MISSING_LABEL))
 
 
-def hash_bucket(key: str, buckets: int) -> Column:
-    """Bucket 0..buckets-1 from the row key alone: same on any partitioning, retry or engine."""
-    head = F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(head, F.lit(buckets)).cast("int")
+def hash_bucket(key: str, buckets: int, first: int = 1) -> Column:
+    """Bucket 0..buckets-1 from the row key alone: same on any partitioning, retry or engine.
+
+    Eight hexadecimal digits of the key's md5 from the `first` decide; buckets from other digits are independent."""
+    digits = F.conv(F.substring(F.md5(F.col(key).cast("binary")), first, 8), 16, 10).cast("bigint")
+    return F.pmod(digits, F.lit(buckets)).cast("int")
 
 
 def uniform(seed: int, name: str, key: Column) -> Column:

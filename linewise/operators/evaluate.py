@@ -28,11 +28,13 @@ def predictions(models: dict[str, Model], rows: DataFrame, key: str = ROW_KEY) -
     return reduce(DataFrame.unionByName, scored)
 
 
-def r_squared() -> Column:
+def r_squared(prediction: str = "prediction") -> Column:
     """R² over (label, prediction); a constant label scores 1 when met exactly, else 0."""
-    miss = F.col("label") - F.col("prediction")
+    miss = F.col("label") - F.col(prediction)
     error = F.sum(miss * miss)
-    spread = F.var_pop("label") * F.count("label")
+    # a row counts on both sides or on neither
+    label = F.when(F.col(prediction).isNotNull(), F.col("label"))
+    spread = F.var_pop(label) * F.count(label)
     constant = F.when(error == 0, 1.0).otherwise(0.0)
     return F.when(spread == 0, constant).otherwise(1 - safe_div(error, spread))
 
@@ -53,11 +55,14 @@ def accuracy_pct(measured: DataFrame) -> DataFrame:
     return measured.where(F.col("split") == "test").select("model", shown.alias("accuracy_pct"))
 
 
-def compare(measured: DataFrame, digits: int = 4) -> DataFrame:
-    """One row per model: train and test R², test errors."""
+SCORES = ["train_r2", "test_r2", "rmse", "mae"]
+
+
+def compare(measured: DataFrame) -> DataFrame:
+    """One row per model: train and test R², test errors, not rounded."""
 
     def of(split: str, name: str) -> Column:
-        return F.round(F.max(F.when(F.col("split") == split, F.col(name))), digits)
+        return F.max(F.when(F.col("split") == split, F.col(name)))
 
     return measured.groupBy("model").agg(
         of("train", "r2").alias("train_r2"),
@@ -67,9 +72,15 @@ def compare(measured: DataFrame, digits: int = 4) -> DataFrame:
     )
 
 
-def best_model(table: DataFrame) -> DataFrame:
-    """The row with the highest test R²; ties by name."""
-    return table.orderBy(F.desc_nulls_last("test_r2"), "model").limit(1)
+def shown(table: DataFrame, digits: int = 4) -> DataFrame:
+    """A comparison as it is printed; rank before rounding."""
+    return table.withColumns({c: F.round(c, digits) for c in SCORES if c in table.columns})
+
+
+def best_model(table: DataFrame, order: list[str]) -> DataFrame:
+    """The row with the highest test R² as measured; of equal ones the first in `order`, the order of the models."""
+    place = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model"))
+    return table.orderBy(F.desc_nulls_last("test_r2"), place, "model").limit(1)
 
 
 def model_bars(table: DataFrame) -> DataFrame:
@@ -111,10 +122,12 @@ def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def fit_baselines(train: DataFrame) -> Baselines:
-    mean = train.agg(exact_mean(TARGET).alias("m")).first()["m"]
-    line = fit_line(train, "QUANTITYORDERED", TARGET).first()
+    x = "QUANTITYORDERED"
+    line = train.agg(
+        exact_mean(TARGET).alias("mean"), F.regr_slope(TARGET, x).alias("slope"), F.regr_intercept(TARGET, x).alias("intercept")
+    ).first()
     return Baselines(
-        mean, line["slope"], line["intercept"],
+        line["mean"], line["slope"], line["intercept"],
         _group_means(train, "PRODUCTLINE", "_product"), _group_means(train, "CUSTOMERNAME", "_customer"),
     )
 
@@ -125,20 +138,47 @@ def _long(df: DataFrame, models: dict[str, Column], keep: list[str]) -> DataFram
     return df.select(*keep, F.col(TARGET).alias("label"), F.inline(F.array(*pairs)))
 
 
-def baseline_predictions(fitted: Baselines, df: DataFrame) -> DataFrame:
-    """Long predictions over rows with `split`; customers unknown to the train part get the overall mean."""
-    known = attach(df, fitted.by_product, ["PRODUCTLINE"], rows="_product_n")
-    known = attach(known, fitted.by_customer, ["CUSTOMERNAME"], rows="_customer_n")
-    models = {
-        "quantity_x_price": quantity_times_price(),
-        "train_mean": F.lit(fitted.mean),
-        "product_mean": F.coalesce("_product", F.lit(fitted.mean)),
-        "customer_mean": F.coalesce("_customer", F.lit(fitted.mean)),
-        "quantity_line": F.col("QUANTITYORDERED") * fitted.slope + fitted.intercept,
+BASELINES = ["quantity_x_price", "train_mean", "product_mean", "customer_mean", "quantity_line"]
+
+
+def _baseline_columns(fitted: Baselines, df: DataFrame, asked: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """The asked baselines' predictions as columns; a lookup is joined only for a baseline that needs it."""
+    if "product_mean" in asked:
+        df = attach(df, fitted.by_product, ["PRODUCTLINE"], rows="_product_n")
+    if "customer_mean" in asked:
+        df = attach(df, fitted.by_customer, ["CUSTOMERNAME"], rows="_customer_n")
+    made = {
+        "quantity_x_price": lambda: quantity_times_price(),
+        "train_mean": lambda: F.lit(fitted.mean),
+        "product_mean": lambda: F.coalesce("_product", F.lit(fitted.mean)),
+        "customer_mean": lambda: F.coalesce("_customer", F.lit(fitted.mean)),
+        "quantity_line": lambda: F.col("QUANTITYORDERED") * fitted.slope + fitted.intercept,
     }
+    return df, {m: made[m]() for m in asked}
+
+
+def baseline_predictions(fitted: Baselines, df: DataFrame, asked: list[str] | None = None) -> DataFrame:
+    """Long predictions of the asked baselines (default: all) over rows with `split`; customers unknown to the train part
+    get the overall mean."""
+    known, models = _baseline_columns(fitted, df, asked or BASELINES)
     return _long(known, models, ["split", ROW_KEY]).select("model", "split", ROW_KEY, "label", "prediction")
 
 
+def baseline_metrics(fitted: Baselines, df: DataFrame) -> DataFrame:
+    """`metrics` of all baselines: one wide aggregate row per split, turned into a row per model afterwards."""
+    known, models = _baseline_columns(fitted, df, BASELINES)
+    wide = known.select("split", F.col(TARGET).alias("label"), *[p.cast("double").alias(m) for m, p in models.items()])
+
+    def measured(m: str) -> Column:
+        miss = F.col("label") - F.col(m)
+        return F.struct(
+            F.lit(m).alias("model"), r_squared(m).alias("r2"), F.sqrt(F.avg(miss * miss)).alias("rmse"),
+            F.avg(F.abs(miss)).alias("mae"), F.count("*").alias("n"))
+
+    rows = wide.groupBy("split").agg(*[measured(m).alias(m) for m in models])
+    return rows.select("split", F.inline(F.array(*models))).select("model", "split", "r2", "rmse", "mae", "n")
+
+
 def _other_folds(df: DataFrame, key: str | None, name: str, folds: int) -> DataFrame:
     """(key, fold) -> mean target over the key's rows in all other folds, from one grouping by key and fold.
 

@@ -7,6 +7,7 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from linewise.session import ensure_checkpoint_folder
 SEED = 42
 # Finer than the default 32 bins: closer to exact split search, and room for codes up to 128 classes.
 MAX_BINS = 128
+# Parts of a learner's rows. Not taken from the cluster's size, for trees depend on it: raise it with the data.
+PARTITIONS = 16
 # Memory of one task for split statistics, as MLlib defaults it: a session with many slots per executor must hold all tasks.
 TREE_MEMORY_MB = 256
 
@@ -66,17 +69,35 @@ def estimator(learner: Learner, train: DataFrame):
         featureSubsetStrategy=columns, subsamplingRate=p.get("row_share", 1.0),
     )
     if learner.kind == "forest":
-        return RandomForestRegressor(numTrees=p["trees"], **common)
+        return RandomForestRegressor(numTrees=p["trees"], bootstrap=p.get("bootstrap", True), **common)
     if learner.kind == "boosted":
         return GBTRegressor(maxIter=p["trees"], stepSize=p["rate"], **common)
     raise ValueError(f"unknown learner {learner.kind!r}")
 
 
+def dealt(rows: DataFrame, key: str, partitions: int = PARTITIONS) -> DataFrame:
+    """`rows` in `partitions` parts by the hash of `key`, in its order: MLlib draws its split candidates part by part, so
+    trees are the same on any cluster as long as this number is."""
+    return rows.repartition(partitions, key).sortWithinPartitions(key)
+
+
 def fit(learner: Learner, train: DataFrame) -> Model:
     ensure_checkpoint_folder(train.sparkSession)  # boosting cuts its lineage every ten trees
     return estimator(learner, train).fit(train)
 
 
+def load_model(spark: SparkSession, path: str) -> Model:
+    """A saved model of any of the learners' kinds."""
+    return DefaultParamsReader.loadParamsInstance(path, spark)
+
+
+def prefix_scores(model: Model, rows: DataFrame, trees: list[int]) -> list[float]:
+    """R² over `rows` of a boosted model's first so many trees, from one pass."""
+    errors = model.evaluateEachIteration(rows, "squared")
+    spread = rows.agg(F.var_pop("label")).first()[0]
+    return [1 - errors[n - 1] / spread if spread else float(errors[n - 1] == 0) for n in trees]
+
+
 def grid_points(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
@@ -91,22 +112,32 @@ def grid_search(
 ) -> tuple[Model, Learner, DataFrame]:
     """Refitted best model, its settings, and (point, settings, mean_r2, rank) of every point.
 
-    `train` has `features`, `label` and a fold number, of which the remainder by `folds` counts. Fits run as
-    separate Spark jobs, `parallelism` at a time; a point's score is the mean of its folds' R². The first
-    point wins a tie.
+    `train` has `features`, `label` and a fold number from 0 to folds - 1 (`prepare.with_fold` with the same number).
+    Fits run as separate Spark jobs, `parallelism` at a time; a point's score is the mean of its folds' R². The first
+    point wins a tie. Boosting adds one tree after the other, so points that differ in their number of trees only are
+    prefixes of the longest: it is fitted once for all of them.
     """
     points = grid_points(grid)
-
-    def score(task: tuple[int, int]) -> tuple[int, float]:
-        point, fold = task
-        held_out = F.col(fold_column) % folds == fold
+    alike: dict[tuple, list[int]] = {}
+    for i, point in enumerate(points):
+        settings = base.using(**point).params
+        rest = tuple(sorted((k, v) for k, v in settings.items() if k != "trees" or base.kind != "boosted"))
+        alike.setdefault(rest, []).append(i)
+
+    def score(task: tuple[list[int], int]) -> list[tuple[int, float]]:
+        group, fold = task
+        held_out = F.col(fold_column) == fold
         inside, outside = train.where(~held_out), train.where(held_out)
-        scored = fit(base.using(**points[point]), inside).transform(outside)
-        return point, scored.agg(r_squared().alias("r2")).first()["r2"]
-
-    tasks = [(point, fold) for point in range(len(points)) for fold in range(folds)]
+        if len(group) == 1:
+            scored = fit(base.using(**points[group[0]]), inside).transform(outside)
+            return [(group[0], scored.agg(r_squared().alias("r2")).first()["r2"])]
+        trees = {i: base.using(**points[i]).params["trees"] for i in group}
+        longest = fit(base.using(**points[max(group, key=trees.get)]), inside)
+        return list(zip(group, prefix_scores(longest, outside, [trees[i] for i in group])))
+
+    tasks = [(group, fold) for group in alike.values() for fold in range(folds)]
     with ThreadPool(parallelism) as pool:
-        scores = pool.map(score, tasks, chunksize=1)
+        scores = [pair for found in pool.map(score, tasks, chunksize=1) for pair in found]
     means = [sum(s for i, s in scores if i == point) / folds for point in range(len(points))]
     order = sorted(range(len(points)), key=lambda i: (-means[i], i))
     best = base.using(**points[order[0]])

@@ -45,7 +45,7 @@ def fit_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     return materialize(codes, "codes")
 
 
-def encode(df: DataFrame, codes: DataFrame, columns: list[str], spread: str = ROW_KEY) -> DataFrame:
+def encode(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
     """Categories replaced by their fitted codes; a label not seen when fitting gives NULL."""
     lookups = codes.select("column_name", F.col("label").alias("_label"), F.col("code").alias("_code"), F.col("n").alias("_n"))
     sizes = lookups.groupBy("column_name").agg(*[m.alias(k) for k, m in measures(lookups, ["_label"], "_n").items()])
@@ -54,7 +54,7 @@ def encode(df: DataFrame, codes: DataFrame, columns: list[str], spread: str = RO
         lookup = lookups.where(F.col("column_name") == c).drop("column_name")
         marked = df.withColumn("_label", label_text(c))
         size = measured.get(c, {"size": 0, "lines": 0})
-        coded = attach(marked, lookup, ["_label"], rows="_n", spread=spread, measured=size)
+        coded = attach(marked, lookup, ["_label"], rows="_n", measured=size)
         df = coded.select(*[F.col("_code").alias(c) if name == c else F.col(name) for name in df.columns])
     return df
 
@@ -77,7 +77,8 @@ def split_ratio(df: DataFrame) -> DataFrame:
 
 
 def with_fold(df: DataFrame, k: int = FOLDS, key: str = ROW_KEY) -> DataFrame:
-    return df.withColumn("fold", hash_bucket(key, k))
+    """Adds `fold`, 0..k-1, from other digits of the key's hash than the split: folds of the train part are of equal size."""
+    return df.withColumn("fold", hash_bucket(key, k, first=9))
 
 
 def fit_scale(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:

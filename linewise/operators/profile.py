@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linewise.functions.quantiles import exact_quantiles
 from linewise.functions.semantics import number, numeric_columns
 from linewise.schema import ROW_KEY
+from linewise.session import materialize
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -50,7 +52,10 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     """
     if approx:
         return _per_column(df, lambda f: F.approx_count_distinct(number(f.name, f.dataType)), "n_distinct")
-    cells = df.select(*[number(f.name, f.dataType).cast("string").alias(f.name) for f in df.schema])
+    # adding zero makes -0.0 and 0.0 one value
+    fractions = (T.DoubleType, T.FloatType)
+    values = [number(f.name, f.dataType) + F.lit(0.0) if isinstance(f.dataType, fractions) else F.col(f.name) for f in df.schema]
+    cells = df.select(*[v.cast("string").alias(c) for v, c in zip(values, df.columns)])
     return (
         cells.unpivot([], df.columns, "column_name", "cell")
         .distinct()
@@ -62,6 +67,7 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column."""
     columns = numeric_columns(df) if columns is None else columns
+    df = materialize(df.select(*columns), "numbers")  # three passes follow
     types = {f.name: f.dataType for f in df.schema}
     quartile = exact_quantiles(df, columns, QUARTILES)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linewise.functions.semantics import exact_mean, exact_sum, number, safe_div
 from linewise.schema import ROW_KEY
-from linewise.session import materialize
+from linewise.session import materialize, materialize_measured
 
 
 def _grouped(df: DataFrame, keys: list[str]):
@@ -59,15 +59,16 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.corr(x, y).alias("correlation"))
 
 
-def fit_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
-    """Lowest and highest value per column, from one scan; a single value gets half a unit on each side."""
-    ends = [f(number(c)).cast("double").alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)]
-    row = df.agg(*ends).first()
+def written_with_bounds(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """`df` written, with the lowest and highest value per column seen on the way; a single value gets half a unit on
+    each side."""
+    ends = {f"{f.__name__}_{c}": f(number(c)).cast("double") for c in columns for f in (F.min, F.max)}
+    table, row = materialize_measured(df, "values", **ends)
     out = {}
     for c in columns:
         low, high = row[f"min_{c}"], row[f"max_{c}"]
         out[c] = (low - 0.5, high + 0.5) if low is not None and low == high else (low, high)
-    return out
+    return table, out
 
 
 def bin_of(x: Column, bounds: tuple[float, float], bins: int) -> Column:
@@ -87,7 +88,8 @@ def bin_of(x: Column, bounds: tuple[float, float], bins: int) -> Column:
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """(bin, low, high, n) for every bin, empty ones too."""
     values = df.select(number(value).alias("x")).where(F.col("x").isNotNull())
-    bounds = fit_bounds(values, ["x"])["x"]
+    values, found = written_with_bounds(values, ["x"])
+    bounds = found["x"]
     counts = values.groupBy(bin_of(F.col("x"), bounds, bins).alias("bin")).agg(F.count("*").alias("n"))
     low, high = (F.lit(b).cast("double") for b in bounds)
     width = (high - low) / bins
@@ -109,7 +111,7 @@ def point_set(df: DataFrame, columns: list[str]) -> DataFrame:
 def grid_counts(df: DataFrame, x: str, y: str, bins: int = 50, by: list[str] | None = None) -> DataFrame:
     """Scatter chart of any size: rows per cell of a bins x bins grid, optionally per further key."""
     points = df.select(number(x).alias("x"), number(y).alias("y"), *(by or [])).na.drop(subset=["x", "y"])
-    bounds = fit_bounds(points, ["x", "y"])
+    points, bounds = written_with_bounds(points, ["x", "y"])
     cells = [bin_of(F.col(c), bounds[c], bins).alias(f"{c}_bin") for c in ("x", "y")]
     return points.groupBy(*cells, *(by or [])).agg(F.count("*").alias("n"))
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewise import schema as S
 from linewise.functions.semantics import numeric_columns, text_columns
 from linewise.operators import clean, evaluate, features, models, prepare, summarise
 from linewise.operators.lookup import attach
-from linewise.session import materialize, spread_rows
+from linewise.session import materialize
 
 # Learner by name; any other name means gradient boosting.
 LEARNERS = {"XGBoost": models.BOOSTED_DASHBOARD, "Random Forest": models.RANDOM_FOREST}
@@ -31,10 +32,10 @@ def guarded_features(df: DataFrame) -> DataFrame:
         out = features.date_parts(out, "ORDERDATE", ["YEAR", "MONTH", "DAY_OF_WEEK", "QUARTER"])
     if _has(df, "CUSTOMERNAME", "SALES"):
         stats = features.customer_stats_dashboard(df)
-        out = attach(out, stats, ["CUSTOMERNAME"], features.GROUP_ROWS, spread=df.columns[0]).drop(features.GROUP_ROWS)
+        out = attach(out, stats, ["CUSTOMERNAME"], features.GROUP_ROWS).drop(features.GROUP_ROWS)
     if _has(df, "PRODUCTLINE", "SALES"):
         stats = features.product_stats_dashboard(df)
-        out = attach(out, stats, ["PRODUCTLINE"], features.GROUP_ROWS, spread=df.columns[0]).drop(features.GROUP_ROWS)
+        out = attach(out, stats, ["PRODUCTLINE"], features.GROUP_ROWS).drop(features.GROUP_ROWS)
     if _has(df, "QUANTITYORDERED", "PRICEEACH"):
         out = out.withColumn("THEORETICAL_REV", features.quantity_times_price())
     return out
@@ -77,16 +78,46 @@ class Trained:
     columns: list[str]
     metrics: DataFrame
     predictions: DataFrame
+    texts: list[str]
+    codes: DataFrame | None
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """`rows` of engineered lines (with or without a target) and their `prediction`; a line with a category never seen
+        or a missing number is left out."""
+        kept = rows.withColumns({f"_{c}": F.col(c) for c in rows.columns})
+        coded = prepare.encode(kept, self.codes, self.texts) if self.texts else kept
+        ready = coded.na.drop(subset=self.columns)
+        vectors = VectorAssembler(inputCols=self.columns, outputCol="features").transform(ready)
+        return self.model.transform(vectors).select(*[F.col(f"_{c}").alias(c) for c in rows.columns], "prediction")
+
+    def save(self, path: str) -> None:
+        """Model, codes and columns in one folder, all that `score` needs."""
+        spark = self.predictions.sparkSession
+        self.model.write().overwrite().save(f"{path}/model")
+        if self.codes is not None:
+            self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+        names = [("column", i, c) for i, c in enumerate(self.columns)] + [("text", i, c) for i, c in enumerate(self.texts)]
+        spark.createDataFrame(names, "kind string, place int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+        self.predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Trained:
+        names = spark.read.parquet(f"{path}/columns").orderBy("place").collect()
+        columns, texts = ([r["name"] for r in names if r["kind"] == kind] for kind in ("column", "text"))
+        scored = spark.read.parquet(f"{path}/predictions")
+        codes = spark.read.parquet(f"{path}/codes") if texts else None
+        return cls(models.load_model(spark, f"{path}/model"), columns, evaluate.metrics(scored), scored, texts, codes)
 
 
 def train(df: DataFrame, target: str = S.TARGET, kind: str = "XGBoost", key: str = S.ROW_KEY) -> Trained:
     """Every remaining text column encoded, no scaling, one learner, scored on the test part."""
     rows = materialize(prepare.with_split(drop_untrainable(df), key), "dashboard")
     texts = [c for c in text_columns(rows) if c not in (key, "split")]
-    encoded = prepare.encode(rows, prepare.fit_codes(rows, texts), texts, key) if texts else rows
+    codes = prepare.fit_codes(rows, texts) if texts else None
+    encoded = prepare.encode(rows, codes, texts) if texts else rows
     columns = [c for c in [*texts, *numeric_columns(rows)] if c not in (target, key)]
     columns = [c for c in rows.columns if c in columns]
-    vectors = spread_rows(materialize(prepare.assemble(encoded, columns, target, [key, "split"]), "vectors"), key)
+    vectors = models.dealt(materialize(prepare.assemble(encoded, columns, target, [key, "split"]), "vectors"), key)
     model = models.fit(LEARNERS.get(kind, FALLBACK), vectors.where(F.col("split") == "train"))
     scored = evaluate.predictions({kind: model}, vectors.where(F.col("split") == "test"), key)
-    return Trained(model, columns, evaluate.metrics(scored), scored)
+    return Trained(model, columns, evaluate.metrics(scored), scored, texts, codes)

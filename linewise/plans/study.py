@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linewise import schema as S
 from linewise.operators import clean, evaluate, features, models, prepare, profile, summarise
 from linewise.operators.lookup import attach
-from linewise.session import materialize, spread_rows
+from linewise.session import materialize
 
 
 def cleaned(df: DataFrame) -> DataFrame:
@@ -30,6 +30,12 @@ def filled(df: DataFrame, leak_free: bool = False, columns: list[str] | None = N
     return clean.materialize_filled(lines, "cleaned", lambda rows: _fit_rows(rows, leak_free))
 
 
+def filled_lazily(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Some cleaned columns (and the row key) for a single pass: medians are sought only if a scan finds NULLs among
+    their numbers, and nothing is written."""
+    return clean.median_fill(cleaned(df).select(S.ROW_KEY, *[c for c in columns if c != S.ROW_KEY]))
+
+
 def _fit_rows(df: DataFrame, leak_free: bool) -> DataFrame:
     """Rows that fitted values may come from: all of them, or the train part only."""
     if not leak_free:
@@ -104,11 +110,11 @@ def scaled_matrix(matrix: Matrix) -> Matrix:
     )
 
 
-def vectors(matrix: Matrix) -> DataFrame:
-    """(row key, split, fold, features, label), written once for the learners' many passes."""
-    keyed = prepare.with_fold(matrix.rows)
+def vectors(matrix: Matrix, folds: int = prepare.FOLDS, partitions: int = models.PARTITIONS) -> DataFrame:
+    """(row key, split, fold, features, label), written once for the learners' many passes, in `partitions` parts."""
+    keyed = prepare.with_fold(matrix.rows, folds)
     assembled = prepare.assemble(keyed, matrix.columns, S.TARGET, [S.ROW_KEY, "split", "fold"])
-    return spread_rows(materialize(assembled, "vectors"), S.ROW_KEY)
+    return models.dealt(materialize(assembled, "vectors"), S.ROW_KEY, partitions)
 
 
 def explore(df: DataFrame) -> dict[str, DataFrame]:
@@ -122,7 +128,7 @@ def explore(df: DataFrame) -> dict[str, DataFrame]:
         "nulls": profile.null_counts(df),
         "distinct": profile.distinct_counts(df),
         "nulls_cleaned": profile.null_counts(cleaned(df)),
-        "top_orders": summarise.top_n(lines, "SALES", 10, ["ORDERNUMBER", "CUSTOMERNAME", "SALES", "QUANTITYORDERED"]),
+        "top_orders": summarise.top_n(lines, "SALES", 10, S.TOP_COLUMNS),
         "sales_histogram": summarise.histogram(lines, "SALES", 50),
         "sales_by_productline": summarise.total_by(lines, ["PRODUCTLINE"], "SALES", "total_sales", descending=True),
         "avg_sales_by_year": summarise.mean_by(lines, ["YEAR_ID"], "SALES", "avg_sales"),
@@ -163,7 +169,7 @@ def compare_learners(
     parallelism: int = 1,
 ) -> Comparison:
     """Tune the boosted trees, fit the other learners, and compare all on the same scaled rows."""
-    rows = vectors(scaled_matrix(matrix))
+    rows = vectors(scaled_matrix(matrix), folds)
     train = rows.where(F.col("split") == "train")
     tuned, _, search = models.grid_search(models.BOOSTED, train, grid, folds, parallelism=parallelism)
     fitted = {name: models.fit(learner, train) for name, learner in (learners or COMPARED).items()}
@@ -173,4 +179,5 @@ def compare_learners(
     metrics = evaluate.metrics(predictions)
     table = evaluate.compare(metrics)
     ranked = models.importances(tuned, matrix.columns, 15)
-    return Comparison(fitted, search, predictions, metrics, table, evaluate.best_model(table), ranked)
+    best = evaluate.best_model(table, list(fitted))
+    return Comparison(fitted, search, predictions, metrics, table, best, ranked)

@@ -31,6 +31,8 @@ NUMERIC_FEATURES = [
     "PRODUCTLINE_AVG_SALES", "PRODUCTLINE_TOTAL_SALES", "PRODUCTLINE_AVG_QTY",
     "QTY_PRICE_INTERACTION", "STATUS_MSRP_RATIO",
 ]
+# Columns of the list of largest orders.
+TOP_COLUMNS = ["ORDERNUMBER", "CUSTOMERNAME", "SALES", "QUANTITYORDERED"]
 TARGET = "SALES"
 ROW_KEY = "ROW_KEY"
 

@@ -81,13 +81,3 @@ def materialize_measured(df: DataFrame, label: str, **measures: Column) -> tuple
     seen = Observation(label)
     table = materialize(df.observe(seen, *[m.alias(name) for name, m in measures.items()]), label)
     return table, seen.get
-
-
-def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
-    """A scan with at least one partition per task slot; `keys` together should tell rows apart.
-
-    A small file is one split, so one task would do all the work that follows. Large tables have far more
-    splits than slots and pass through unchanged, without an exchange.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, *keys)

@@ -10,6 +10,9 @@ from linewise.functions.semantics import null_tokens
 from linewise.schema import NULL_TOKENS, ORDER_LINE_TYPES
 
 REJECT_REASON = "_BAD_COLUMNS"
+RAW_RECORD = "_RECORD"
+# Stands among the bad columns for a record with too many or too few cells.
+BAD_SHAPE = "_CELLS"
 
 
 def normalise_header(df: DataFrame) -> DataFrame:
@@ -24,34 +27,39 @@ def read_orders_csv(
     mode: str = "strict",
     encoding: str = "ISO-8859-1",
     tidy_header: bool = True,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header row; columns are found by name, in any order.
 
     Every cell is read as text, so no pass over the data infers types. Known columns are then cast:
     `strict` fails on a bad cell, `keep` makes it NULL and lists its column in `_BAD_COLUMNS`
-    (see `split_rejects`). Files of one load must agree on their header. `multi_line` allows line
-    breaks inside quotes, at the price of files that cannot be split between tasks.
+    (see `split_rejects`). A record with more or fewer cells than the header fails too, or has `_CELLS` among its bad
+    columns; `_RECORD` then holds its raw text. This also holds if only some columns are asked for. Files of one load
+    must agree on their header. `multi_line` allows line breaks inside quotes, at the price of files that cannot be split
+    between tasks: turn it off only for files that are known to have none.
     """
     if mode not in ("strict", "keep"):
         raise ValueError(f"mode must be 'strict' or 'keep', not {mode!r}")
     types = ORDER_LINE_TYPES if types is None else types
-    raw = (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    text = null_tokens(normalise_header(raw) if tidy_header else raw, NULL_TOKENS)
+
+    def reader():
+        return spark.read.options(header=True, encoding=encoding, escape='"', enforceSchema=False, multiLine=multi_line)
+
+    header = reader().csv(path).columns
+    cells = T.StructType([T.StructField(name, T.StringType()) for name in header])
     if mode == "strict":
+        raw = reader().options(mode="FAILFAST", columnPruning=False).schema(cells).csv(path)
+        text = null_tokens(normalise_header(raw) if tidy_header else raw, NULL_TOKENS)
         return text.select(*[_cast(c, types.get(c), strict=True).alias(c) for c in text.columns])
-    typed = [c for c in text.columns if c in types]
+    raw = reader().options(columnPruning=False, columnNameOfCorruptRecord=RAW_RECORD).schema(cells.add(RAW_RECORD, T.StringType())).csv(path)
+    record, raw = F.col(RAW_RECORD), normalise_header(raw) if tidy_header else raw
+    cleared = [c for c in raw.columns if c != RAW_RECORD]
+    text = raw.select(*[F.when(~F.col(c).isin(NULL_TOKENS), F.col(c)).alias(c) for c in cleared], RAW_RECORD)
+    typed = [c for c in cleared if c in types]
     bad = [F.when(F.col(c).isNotNull() & _cast(c, types[c], strict=False).isNull(), F.lit(c)) for c in typed]
-    reasons = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
+    reasons = F.array_compact(F.array(F.when(record.isNotNull(), F.lit(BAD_SHAPE)), *bad))
     return text.select(
-        *[_cast(c, types.get(c), strict=False).alias(c) for c in text.columns], reasons.alias(REJECT_REASON)
+        *[_cast(c, types.get(c), strict=False).alias(c) for c in cleared], reasons.alias(REJECT_REASON), RAW_RECORD
     )
 
 
@@ -66,8 +74,8 @@ def _cast(name: str, data_type: T.DataType | None, strict: bool) -> Column:
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected rows with their bad columns) of a `keep` load."""
-    good = df.where(F.size(REJECT_REASON) == 0).drop(REJECT_REASON)
+    """(good rows, rejected rows with their bad columns and, if their cells don't fit the header, raw text) of a `keep` load."""
+    good = df.where(F.size(REJECT_REASON) == 0).drop(REJECT_REASON, RAW_RECORD)
     return good, df.where(F.size(REJECT_REASON) > 0)
 
 

@@ -9,10 +9,12 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
+from linewise.catalog.oracle import oracle_sql  # noqa: E402
+from linewise.catalog.queries import QUERIES  # noqa: E402
 from tools.compare import TABLES, compare  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-TWINS = entry.oracle_sql()
+TWINS = oracle_sql()
 # Iterative learners have no SQL form; tests/test_plans.py checks them against closed forms and floors.
 ROWS_ONLY = {"ols", "ridge", "random_forest", "gbt", "boosted_tuned", "feature_importance", "scenario_model"}
 
@@ -26,18 +28,19 @@ def con():
 
 
 def test_only_learners_lack_a_twin():
-    assert set(entry.queries()) - set(TWINS) == ROWS_ONLY and not set(TWINS) - set(entry.queries())
+    assert set(QUERIES) - set(TWINS) == ROWS_ONLY and not set(TWINS) - set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(TWINS) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(TWINS))
 def test_query_equals_its_twin(spark, con, name):
-    status, n, _, note = compare(spark, con, SF, name, entry.queries()[name], TWINS[name])
+    status, n, _, note = compare(spark, con, SF, name, QUERIES[name], TWINS[name])
     assert status == "equal" and n > 0, note
 
 
 @pytest.mark.parametrize("name", ["ols", "ridge", "scenario_model"])
 def test_learner_queries_run(spark, name):
-    assert entry.queries()[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_flagship(spark):

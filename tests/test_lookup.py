@@ -57,6 +57,22 @@ def test_hot_and_missing_keys_are_spread(spark, lines):
     assert sum(sizes) == 30_000 and max(sizes) < 10_000
 
 
+def test_many_middling_keys_and_a_constant_first_column(spark):
+    """Keys just below a thousandth of the lines, and lines without a key behind a constant first column, are spread."""
+    key = F.when(F.col("id") % 2 == 0, F.concat(F.lit("m"), (F.col("id") % 1200).cast("string"))).when(F.col("id") % 3 == 0, "hot")
+    lines = spark.range(60_000).select(F.lit(1).alias("constant"), key.alias("key"), F.col("id").alias("v"))
+    previous, threshold = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = attach(lines, stats(lines), ["key"], rows="rows", broadcast_bytes=0)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", previous)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum(sizes) == 60_000 and max(sizes) < 2 * 60_000 / 4
+
+
 def test_unmatched_and_empty(spark, lines):
     nothing = stats(lines).where("1 = 0")
     out = attach(lines, nothing, ["key"], rows="rows")

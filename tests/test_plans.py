@@ -134,6 +134,12 @@ def test_constant_label(spark):
     assert {r["model"]: r["r2"] for r in evaluate.metrics(long).collect()} == {"exact": 1.0, "off": 0.0}
 
 
+def test_rows_without_prediction_count_on_neither_side(spark):
+    rows = [(1.0, 1.5), (2.0, 1.5), (3.0, 3.5), (50.0, None)]
+    df = spark.createDataFrame(rows, "label double, prediction double")
+    assert math.isclose(df.agg(evaluate.r_squared().alias("r2")).first()["r2"], 1 - 0.75 / 2)
+
+
 def test_trees_beat_the_mean_and_repeat(linear):
     _, _, vectors = linear
     train, test = vectors.where("split = 'train'"), vectors.where("split = 'test'")
@@ -147,7 +153,7 @@ def test_trees_beat_the_mean_and_repeat(linear):
 
 def test_grid_search_scores_every_point(linear):
     _, _, vectors = linear
-    folded = study.prepare.with_fold(vectors)
+    folded = study.prepare.with_fold(vectors, 2)
     model, best, table = models.grid_search(
         models.BOOSTED, folded, {"trees": [2, 8], "depth": [2], "rate": [0.3]}, folds=2, parallelism=2)
     rows = table.orderBy("rank").collect()
@@ -156,12 +162,39 @@ def test_grid_search_scores_every_point(linear):
     assert len(models.grid_points(models.TUNING_GRID)) == 8 and len(models.grid_points(models.WIDE_GRID)) == 243
 
 
+def test_prefixes_of_the_longest_equal_separate_fits(linear):
+    _, _, vectors = linear
+    folded = study.prepare.with_fold(vectors, 10).cache()
+    grid = {"trees": [2, 5], "depth": [1, 2], "rate": [0.3]}
+    _, _, table = models.grid_search(models.BOOSTED, folded, grid, folds=2, parallelism=2)
+    got = {r["settings"]: r["mean_r2"] for r in table.collect()}
+    for point in models.grid_points(grid):
+        scores = []
+        for fold in (0, 1):
+            model = models.fit(models.BOOSTED.using(**point), folded.where(F.col("fold") != fold))
+            rows = model.transform(folded.where(F.col("fold") == fold))
+            scores.append(rows.agg(evaluate.r_squared().alias("r2")).first()["r2"])
+        assert math.isclose(got[str(point)], sum(scores) / 2, rel_tol=1e-9)
+    _, _, ten = models.grid_search(models.BOOSTED, folded, {"trees": [1], "depth": [1], "rate": [0.3]}, folds=10, parallelism=4)
+    assert ten.first()["mean_r2"] is not None
+
+
+def test_trees_do_not_depend_on_the_input_s_partitions(linear):
+    _, _, vectors = linear
+    train = vectors.where("split = 'train'")
+    trees = [models.fit(models.GBT.using(trees=3, depth=3), models.dealt(train.repartition(n), "ROW_KEY")).toDebugString.split("\n", 1)[1] for n in (1, 5)]
+    assert trees[0] == trees[1]
+
+
 def test_comparison_and_best(spark):
-    rows = [("b", "train", 0.9, 1.0, 1.0), ("b", "test", 0.80001, 2.0, 1.5), ("a", "train", 0.7, 3.0, 1.0), ("a", "test", 0.80001, 4.0, 2.0)]
+    rows = [("b", "train", 0.9, 1.0, 1.0), ("b", "test", 0.80004, 2.0, 1.5), ("a", "train", 0.7, 3.0, 1.0), ("a", "test", 0.80001, 4.0, 2.0)]
     measured = spark.createDataFrame(rows, "model string, split string, r2 double, rmse double, mae double")
     table = evaluate.compare(measured)
-    assert {tuple(r) for r in table.collect()} == {("b", 0.9, 0.8, 2.0, 1.5), ("a", 0.7, 0.8, 4.0, 2.0)}
-    assert evaluate.best_model(table).first()["model"] == "a"
+    assert {tuple(r) for r in table.collect()} == {("b", 0.9, 0.80004, 2.0, 1.5), ("a", 0.7, 0.80001, 4.0, 2.0)}
+    assert {tuple(r) for r in evaluate.shown(table).collect()} == {("b", 0.9, 0.8, 2.0, 1.5), ("a", 0.7, 0.8, 4.0, 2.0)}
+    assert evaluate.best_model(table, ["a", "b"]).first()["model"] == "b"  # the fifth place decides
+    tied = evaluate.shown(table)
+    assert [evaluate.best_model(tied, order).first()["model"] for order in (["a", "b"], ["b", "a"])] == ["a", "b"]
     shown = spark.createDataFrame([("x", "test", 0.81), ("y", "test", 0.999)], "model string, split string, r2 double")
     assert {r[0]: round(r[1], 6) for r in evaluate.accuracy_pct(shown).collect()} == {"x": 81.5, "y": 100.0}
 
@@ -195,6 +228,33 @@ def test_scenarios(spark, lines):
     assert set(r["DEALSIZE"] for r in scored.collect()) == {"Small"}
 
 
+def test_grid_offers_pairs_that_never_occur_together(spark):
+    df = spark.createDataFrame([("A", "Small"), ("B", "Large"), (None, "Small")], "PRODUCTLINE string, DEALSIZE string")
+    grid = scenario.scenario_grid(df, [10], [20], [30])
+    assert {(r["PRODUCTLINE"], r["DEALSIZE"]) for r in grid.collect()} == {(a, b) for a in "AB" for b in ("Small", "Large")}
+
+
+def test_saved_models_score_raw_rows(spark, lines, tmp_path):
+    what_if = scenario.fit_what_if(lines.na.drop(subset=["MSRP"]), models.GBT.using(trees=2, depth=2))
+    what_if.save(str(tmp_path / "what-if"))
+    grid = scenario.scenario_grid(lines, [10, 50], [100], [110])
+    before = scenario.score(grid, what_if)
+    after = scenario.score(grid, scenario.WhatIf.load(spark, str(tmp_path / "what-if")))
+    assert before.count() > 0 and before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty()
+    rows = dashboard.drop_untrainable(dashboard.dashboard_features(lines))
+    for kind in ("Random Forest", "Gradient Boosting"):
+        try:
+            dashboard.LEARNERS["Random Forest"], kept = models.RANDOM_FOREST.using(trees=2, depth=2), dashboard.LEARNERS["Random Forest"]
+            trained = dashboard.train(rows.limit(2000), kind=kind)
+        finally:
+            dashboard.LEARNERS["Random Forest"] = kept
+        trained.save(str(tmp_path / kind))
+        raw = rows.limit(100).drop("SALES") if "SALES" not in trained.columns else rows.limit(100)
+        one, two = trained.score(raw), dashboard.Trained.load(spark, str(tmp_path / kind)).score(raw)
+        assert one.count() > 0 and one.exceptAll(two).isEmpty() and {*raw.columns, "prediction"} == set(one.columns)
+        break  # boosting a hundred trees is run by the registered query
+
+
 # --- whole runs ---
 
 

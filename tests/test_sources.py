@@ -50,7 +50,21 @@ def test_guarded_load_reports(spark, tmp_path, orders_file):
 def test_line_breaks_inside_quotes(spark, tmp_path):
     path = tmp_path / "breaks.csv"
     path.write_text('ORDERNUMBER,CUSTOMERNAME\n1,"two\nlines"\n2,b\n')
-    assert orders_csv.read_orders_csv(spark, str(path), multi_line=True).count() == 2
+    assert [tuple(r) for r in orders_csv.read_orders_csv(spark, str(path)).collect()] == [(1, "two\nlines"), (2, "b")]
+
+
+def test_no_cell_is_lost_silently(spark, tmp_path):
+    for name, bad in (("surplus", "2,b,20,99"), ("short", "3,d")):
+        path = tmp_path / f"{name}.csv"
+        path.write_text(f"ORDERNUMBER,CUSTOMERNAME,SALES\n1,a,10\n{bad}\n4,e,40\n")
+        for columns in (["*"], ["SALES"], ["ORDERNUMBER"]):
+            for multi_line in (True, False):
+                with pytest.raises(Exception):
+                    orders_csv.read_orders_csv(spark, str(path), multi_line=multi_line).select(*columns).collect()
+                kept = orders_csv.read_orders_csv(spark, str(path), mode="keep", multi_line=multi_line)
+                good, rejected = orders_csv.split_rejects(kept)
+                assert good.select(*columns).count() == 2
+                assert [(r[orders_csv.RAW_RECORD].strip(), r[orders_csv.REJECT_REASON]) for r in rejected.collect()] == [(bad, [orders_csv.BAD_SHAPE])]
 
 
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
