@@ -23,7 +23,9 @@ LONG = 64
 #: Distinct words that a task holds while counting.
 HELD = 400_000
 #: Ids of which a task counts the pairs at once.
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 3_000_000
+#: Ids that a task scores at once (a longer text alone).
+SCORED_AT_ONCE = 500_000
 #: Parts of the pair table; each is one row. A part has at most 2 x (exchanged words)**2 / BLOCKS pairs.
 BLOCKS = 256
 #: Classes of the words that are not exchanged: by what the word looks like.
@@ -298,6 +300,19 @@ def model(v: Vocabulary, classes: np.ndarray, table: np.ndarray, s: Settings) ->
     return Model(of, follow, emit, base, seen)
 
 
+def _scores(m: Model, rows: pa.RecordBatch, ids: list[np.ndarray]) -> pa.RecordBatch:
+    sizes = np.array([len(x) for x in ids], np.int64)
+    flat, starts = np.concatenate(ids), np.cumsum(sizes) - sizes
+    now = m.classes[flat]
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[starts] = m.classes[-1]  # an end stands before the first word
+    total = lambda x: pa.array(np.add.reduceat(x, starts))
+    sums = [total(m.seen[flat]), total(m.base[flat]), total(m.follow[before, now] + m.emit[flat])]
+    names = ["doc_id", "train", "row"]
+    return pa.RecordBatch.from_arrays([*map(rows.column, names), pa.array(sizes), *sums], names=[*names, "n_tokens", "n_seen", "base", "own"])
+
+
 def score(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of `docs` (doc_id, text).
 
@@ -324,18 +339,13 @@ def score(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
         m = weights.value
         for batch in batches:
             ids = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            if not len(ids):
-                continue
-            flat, starts = np.concatenate(ids), np.cumsum(sizes) - sizes
-            now = m.classes[flat]
-            before = np.empty_like(now)
-            before[1:] = now[:-1]
-            before[starts] = m.classes[-1]  # an end stands before the first word
-            total = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("train"), batch.column("row"), pa.array(sizes), pa.array(total(m.seen[flat])), pa.array(total(m.base[flat])),
-                 pa.array(total(m.follow[before, now] + m.emit[flat]))], names=["doc_id", "train", "row", "n_tokens", "n_seen", "base", "own"])
+            at = 0
+            while at < len(ids):
+                end, size = at + 1, len(ids[at])
+                while end < len(ids) and size + len(ids[end]) <= SCORED_AT_ONCE:
+                    size, end = size + len(ids[end]), end + 1
+                yield _scores(m, batch.slice(at, end - at), ids[at:end])
+                at = end
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = encoded.select("doc_id", "train", "row", "ids").mapInArrow(run, f"doc_id {kind}, train boolean, row bigint, n_tokens bigint, n_seen bigint, base double, own double")
