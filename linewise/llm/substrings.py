@@ -17,11 +17,11 @@ from linewise.llm.common import texts_of
 from linewise.session import materialize
 
 #: Bytes of text that a shard holds (a longer text has a shard of its own), and that are hashed at once.
-SHARD_BYTES, AT_ONCE = 8 << 20, 1 << 20
+SHARD_BYTES, AT_ONCE = 4 << 20, 1 << 19
 #: Anchor hashes that one task compares, on average.
-BUCKET = 1_500_000
-#: Segments that are ordered at once.
-ORDERED = 1_000_000
+BUCKET = 1_000_000
+#: Segments that are ordered at once, and that are cut out at once.
+ORDERED, CUT = 500_000, 8_192
 #: Bytes that an anchor's hash covers.
 CORE = 24
 _ODD = 0x9E3779B97F4A7C15
@@ -135,19 +135,18 @@ class Columns:
         return out
 
 
-def earlier_strings(matrix: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, column) of every string of `width` bytes that also begins, in the same column, in a segment of a smaller `least`."""
-    segments, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def earlier_strings(matrix: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+    """A line for each segment: whether the string of `width` bytes from each column on also begins, in the same column,
+    in a segment of a smaller `least`."""
+    found = np.zeros((len(matrix), matrix.shape[1] - width + 1), bool)
     for column, order, common in Columns(matrix).rounds(width):
-        if column + width > matrix.shape[1]:
+        if column >= found.shape[1]:
             continue
         first = np.flatnonzero(common < width)
         smallest = np.minimum.reduceat(least[order], first)
         group = np.cumsum(common < width) - 1
-        found = order[smallest[group] < least[order]]
-        segments.append(found)
-        columns.append(np.full(len(found), column))
-    return np.concatenate(segments), np.concatenate(columns)
+        found[order, column] = smallest[group] < least[order]
+    return found
 
 
 def _packed(x: np.ndarray, kind: str) -> bytes:
@@ -198,8 +197,8 @@ class _Shard:
         return np.searchsorted(self.ends, places, side="right")
 
     def anchors(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        last = np.repeat(self.ends, self.ends - self.begins)
-        return anchors(self.symbols, last, width)
+        small = np.uint32 if len(self.symbols) < 1 << 32 else np.int64
+        return anchors(self.symbols, np.repeat(self.ends.astype(small), self.ends - self.begins), width)
 
 
 def _rows(table) -> Iterator[dict]:
@@ -279,8 +278,8 @@ def _segments(shards: DataFrame, shared: DataFrame, width: int, buckets: int) ->
             matrix = np.zeros((len(places), across), np.uint8)
             column = np.arange(across)
             mark, weights = np.empty(len(places), np.uint64), np.random.default_rng(5).integers(0, 1 << 63, across + 2, np.uint64) * np.uint64(2) + np.uint64(1)
-            for a in range(0, len(places), 65_536):
-                some = slice(a, a + 65_536)
+            for a in range(0, len(places), CUT):
+                some = slice(a, a + CUT)
                 there = places[some, None] - before + column[None, :]
                 inside = (there >= first[some, None]) & (there < end[some, None])
                 matrix[some] = np.where(inside, shard.symbols[np.clip(there, 0, len(shard.symbols) - 1)], 0)
@@ -292,8 +291,8 @@ def _segments(shards: DataFrame, shared: DataFrame, width: int, buckets: int) ->
             head = np.concatenate([[True], mark[order][1:] != mark[order][:-1]])
             like = order[np.flatnonzero(head)][np.cumsum(head) - 1]
             equal = np.zeros(len(places), bool)
-            for a in range(0, len(places), 65_536):
-                some, other = order[a : a + 65_536], like[a : a + 65_536]
+            for a in range(0, len(places), CUT):
+                some, other = order[a : a + CUT], like[a : a + CUT]
                 equal[some] = (matrix[some] == matrix[other]).all(axis=1) & (left[some] == left[other]) & (size[some] == size[other]) & (own[some] == own[other])
             of = np.arange(len(places))
             of[order] = np.where(equal[order], like, order)
@@ -337,19 +336,17 @@ def _earlier(segments: DataFrame, width: int) -> DataFrame:
         # parts by the anchor's bytes hold all segments that can share a string
         core = _core_hashes(np.zeros(CORE, np.uint8)) if not len(matrix) else _matrix_cores(matrix[:, width - CORE : width])
         parts = -(-len(matrix) // ORDERED)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for part in range(parts):
-            some = np.flatnonzero(core % np.uint64(parts) == part) if parts > 1 else np.arange(len(matrix))
+        hit = np.zeros((len(matrix), across - width + 3), np.int8)  # with a border on both sides
+        if parts == 1:
+            hit[:, 1:-1] = earlier_strings(matrix, least, width)
+        for part in range(parts if parts > 1 else 0):
+            some = np.flatnonzero(core % np.uint64(parts) == part)
             if len(some):
-                segment, column = earlier_strings(matrix[some], least[some], width)
-                found.append((some[segment], column))
-        segment, column = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((column, segment))
-        segment, column = segment[order], column[order]
-        new = np.concatenate([[True], (segment[1:] != segment[:-1]) | (column[1:] != column[:-1] + 1)])[: len(segment)]
-        first = np.flatnonzero(new)
-        final = np.concatenate([first[1:], [len(segment)]])[: len(first)] - 1
-        who, runs, names = owner[segment[first]], np.stack([column[first], column[final]]), number[segment[first]]
+                hit[some, 1:-1] = earlier_strings(matrix[some], least[some], width)
+        edge = np.diff(hit, axis=1)
+        segment, first = np.nonzero(edge > 0)
+        runs = np.stack([first, np.nonzero(edge < 0)[1] - 1])
+        who, names = owner[segment], number[segment]
         cuts = [np.flatnonzero(who == i) for i in np.unique(who)]
         return pa.table({"shard": pa.array([rows[int(who[c[0]])]["shard"] for c in cuts], pa.int64()), "numbers": pa.array([_packed(names[c], "<u4") for c in cuts], pa.binary()),
                          "ranges": pa.array([_packed(runs[:, c], "u1") for c in cuts], pa.binary())})
