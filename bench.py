@@ -17,7 +17,8 @@ HEADLINE = [
     "qty_sales_corr", "top_orders", "top_customers", "customer_stats", "join_customer_stats", "join_product_stats",
     "date_parts_app", "features_notebook", "features_app", "label_encode", "train_test_split", "standard_scale",
     "median_fill_features", "cv_baselines", "metrics_by_split", "comparison_table", "residual_histogram",
-    "scenario_estimates", "ols", "ridge",
+    "scenario_estimates", "ols", "ridge", "describe_features", "label_encode_all", "actual_vs_predicted", "predictions_sink",
+    "csv_roundtrip", "csv_malformed", "kpis_app", "sales_histogram_cleaned", "forest_stump",
 ]
 
 

@@ -12,7 +12,7 @@ from linewise import schema as S
 from linewise.operators import clean, evaluate, features, models, prepare, profile, summarise
 from linewise.operators.lookup import attach
 from linewise.plans import dashboard, scenario, study
-from linewise.session import scratch_path
+from linewise.session import materialize, scratch_path
 from linewise.sources import orders_csv, star, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,6 +439,29 @@ QUERIES["forest_stump"] = stump(models.Learner("forest", {"trees": 1, "depth": 1
 QUERIES["boosted_stump"] = stump(models.Learner("boosted", {"trees": 1, "depth": 1, "rate": 0.1}))
 
 
+@register
+def learner_comparison(spark, sf_dir):
+    """The study's untuned learners at full size, ranked by what they score on the test part."""
+    measured = learner_metrics(study.COMPARED)(spark, sf_dir)
+    table = materialize(evaluate.compare(measured), "comparison")
+    best = evaluate.best_model(table, list(study.COMPARED)).select("model", F.lit(True).alias("best"))
+    # one row per learner
+    return evaluate.shown(table).join(F.broadcast(best), "model", "left").na.fill({"best": False})
+
+
+def dashboard_learner(kind: str) -> Query:
+    """Test metrics of one of the dashboard's learners, by its name there."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return dashboard.train(dashboard.dashboard_features(dashboard_lines(spark, sf_dir)), kind=kind).metrics
+
+    return query
+
+
+QUERIES["dashboard_boosted"] = dashboard_learner("XGBoost")
+QUERIES["dashboard_forest"] = dashboard_learner("Random Forest")
+
+
 @register
 def feature_importance(spark, sf_dir):
     """The dashboard's gradient boosting and its ten leading features."""

@@ -104,10 +104,10 @@ def study_matrix(df: DataFrame, leak_free: bool = False) -> Matrix:
 
 
 def scaled_matrix(matrix: Matrix) -> Matrix:
-    """Features standardised with the train part's mean and deviation."""
-    return Matrix(
-        prepare.standardise(matrix.rows, matrix.columns, fit_on=matrix.part("train")), matrix.columns, matrix.codes
-    )
+    """Features standardised with the train part's mean and deviation. The encoded rows are written first, so that fitting
+    and scaling don't each join the codes."""
+    written = Matrix(materialize(matrix.rows, "encoded"), matrix.columns, matrix.codes)
+    return Matrix(prepare.standardise(written.rows, matrix.columns, fit_on=written.part("train")), matrix.columns, matrix.codes)
 
 
 def vectors(matrix: Matrix, folds: int = prepare.FOLDS, partitions: int = models.PARTITIONS) -> DataFrame:

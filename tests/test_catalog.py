@@ -11,12 +11,16 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
 from linewise.catalog.oracle import oracle_sql  # noqa: E402
 from linewise.catalog.queries import QUERIES  # noqa: E402
+from linewise.operators import models  # noqa: E402
 from tools.compare import TABLES, compare  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 TWINS = oracle_sql()
 # Iterative learners have no SQL form; tests/test_plans.py checks them against closed forms and floors.
-ROWS_ONLY = {"ols", "ridge", "random_forest", "gbt", "boosted_tuned", "feature_importance", "scenario_model"}
+ROWS_ONLY = {
+    "ols", "ridge", "random_forest", "gbt", "boosted_tuned", "feature_importance", "scenario_model", "learner_comparison",
+    "dashboard_boosted", "dashboard_forest",
+}
 
 
 @pytest.fixture(scope="module")
@@ -38,9 +42,26 @@ def test_query_equals_its_twin(spark, con, name):
     assert status == "equal" and n > 0, note
 
 
-@pytest.mark.parametrize("name", ["ols", "ridge", "scenario_model"])
-def test_learner_queries_run(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+@pytest.fixture
+def small_learners(monkeypatch):
+    """Every learner with three trees at most: whether the query runs through is the question here."""
+    fit = models.fit
+
+    def quick(learner, train):
+        cut = {k: min(v, 3) for k, v in learner.params.items() if k in ("trees", "depth")}
+        return fit(learner.using(**cut), train)
+
+    monkeypatch.setattr(models, "fit", quick)
+
+
+@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
+def test_learner_queries_run(spark, name, small_learners):
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows
+    if name == "learner_comparison":
+        assert [r["best"] for r in rows].count(True) == 1 and len(rows) == 4
+    if name == "boosted_tuned":
+        assert len(rows) == 4 and sorted(r["rank"] for r in rows) == [1, 2, 3, 4]
 
 
 def test_flagship(spark):
