@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import remainder, texts_of
+from linewise.llm.common import in_small_batches, remainder, texts_of
 from linewise.session import materialize
 
 #: Fixed value: a word after lower-casing A-Z, over UTF-8 bytes.
@@ -326,7 +326,7 @@ def score(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     texts are the end alone. Repeated rows are scored (and counted) one by one.
     """
     s, spark = settings or Settings(), docs.sparkSession
-    rows = docs.select("doc_id", (remainder("doc_id", 5) != 1).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = in_small_batches(docs).select("doc_id", (remainder("doc_id", 5) != 1).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     counted = materialize(count_words(rows.where("train").select("text")), "brown-words")
     v = vocabulary(counted, s)
     shared = spark.sparkContext.broadcast(v)

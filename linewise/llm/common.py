@@ -26,6 +26,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """`df`, after bounding what a Python worker of its session is handed at once, so that long texts don't fill its memory."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
+        now = int(conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df
+
+
 def remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of the id as text, modulo `divisor`; a NULL id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % divisor,

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import texts_of, with_free_names
+from linewise.llm.common import in_small_batches, texts_of, with_free_names
 from linewise.llm.fm_index import FMIndex
 from linewise.session import materialize
 
@@ -181,7 +181,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_t
     items = items.where("item is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    rows = docs.withColumns({"n_words": F.lit(0).cast("bigint"), "spans": F.lit(None).cast("array<struct<first: bigint, end: bigint>>"),
+    rows = in_small_batches(docs).withColumns({"n_words": F.lit(0).cast("bigint"), "spans": F.lit(None).cast("array<struct<first: bigint, end: bigint>>"),
                              "items": F.lit(None).cast("array<string>")})
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()  # BLOCK_BYTES at a time

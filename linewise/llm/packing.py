@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linewise.llm.common import in_small_batches
 from linewise.llm.tokens import encoder
 from linewise.session import materialize
 
@@ -30,6 +31,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
+        tool.forget()
         wide = "<u2" if max(tool.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
@@ -37,8 +39,9 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 blobs = [np.append(x, np.uint32(end_id)).astype(wide).tobytes() for x in tool(texts[at : at + 512])]
                 rows = batch.slice(at, len(blobs))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(blobs, pa.binary()), pa.array([int(wide[2])] * len(blobs), pa.int32())], names=["doc_id", "ids", "width"])
+        tool.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, width int")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, width int")
 
 
 def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import remainder, texts_of, with_free_names
+from linewise.llm.common import in_small_batches, remainder, texts_of, with_free_names
 
 #: Bytes of a block; a chunk is two neighbouring blocks, so chunks overlap by half and cover the whole text.
 BLOCK = 128
@@ -18,8 +18,8 @@ BLOCK = 128
 WIDTH, STRIDE = 8, 2
 #: Symbol after a text's last byte.
 PAD = 256
-#: Blocks convolved at once.
-SLICE = 1024
+#: Blocks convolved at once, and bytes of texts scored at once (a longer text alone).
+SLICE, SCORED_BYTES = 1024, 1 << 20
 
 
 @dataclass
@@ -42,7 +42,7 @@ def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts in one array, each padded to whole blocks (by WIDTH at least), and the first block of each."""
     sizes = np.array([-(-(len(x) + WIDTH) // BLOCK) for x in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    symbols = np.full(first[-1] * BLOCK + WIDTH, PAD, np.int64)
+    symbols = np.full(first[-1] * BLOCK + WIDTH, PAD, np.uint16)
     for at, x in zip(first * BLOCK, texts):
         symbols[at : at + len(x)] = np.frombuffer(x, np.uint8)
     return symbols, first
@@ -197,11 +197,18 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            scores = np.concatenate([np.zeros(0), *(shared.value.score(texts[i : i + 256]) for i in range(0, len(texts), 256))])
+            scores, at = [np.zeros(0)], 0
+            while at < len(texts):
+                end, size = at + 1, len(texts[at])
+                while end < len(texts) and size + len(texts[end]) <= SCORED_BYTES:
+                    size, end = size + len(texts[end]), end + 1
+                scores.append(shared.value.score(texts[at:end]))
+                at = end
+            scores = np.concatenate(scores)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return in_small_batches(docs).mapInArrow(run, f"{kinds}, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings | None = None) -> DataFrame:

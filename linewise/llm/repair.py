@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewise.llm.common import in_small_batches
 from linewise.llm.tokens import encoder
 from linewise.session import scratch_path
 
@@ -156,7 +157,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
     about SHARD_IDS ids. NULL texts are empty: their ids are `end_id` alone. NULL ids come first; rows of equal id come
     by the hash of their text, then the text.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = in_small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -186,6 +187,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
                     size += len(found) + 1
         if ids:
             yield flush()
+        tool.forget()
 
     rows.mapInArrow(encode, FORMAT.format(id=kind)).write.parquet(path)
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import texts_of
+from linewise.llm.common import in_small_batches, texts_of
 from linewise.session import materialize
 
 #: Bytes of text that a shard holds (a longer text has a shard of its own), and that are hashed at once.
@@ -180,7 +180,7 @@ def _shards(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "shard bigint, ids array<bigint>, sizes binary, texts binary, n_bytes bigint")
+    return in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "shard bigint, ids array<bigint>, sizes binary, texts binary, n_bytes bigint")
 
 
 class _Shard:

@@ -6,6 +6,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -47,6 +48,10 @@ class Encoder:
         self.vocabulary = self.library.get_vocab_size()
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Frees what a task has remembered; the worker lives on."""
+        self.known = {}
+
     def _chunks(self, text: str) -> list[str] | None:
         if not (self.led or self.dropped) or any(x in text for x in self.specials):
             return None
@@ -57,14 +62,14 @@ class Encoder:
         return text.encode().lower().decode().replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, wanted: set[str]) -> None:
         known = self.known
         new = wanted.difference(known)
         if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = wanted
+            self.forget()
+            known, new = self.known, wanted
         stems: dict[str, tuple[str, str]] = {}
         for chunk in new:
             stem = chunk.rstrip(_TAIL)
