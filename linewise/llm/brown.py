@@ -30,7 +30,7 @@ SCORED_AT_ONCE = 500_000
 BLOCKS = 256
 #: Classes of the words that are not exchanged: by what the word looks like.
 SHAPES = 8
-_DIGIT, _WIDE, _MARK = re.compile(rb"[0-9]"), re.compile(rb"[\x80-\xff]"), re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]$")
+_DIGIT = re.compile(rb"[0-9]")
 
 
 @dataclass
@@ -46,7 +46,13 @@ class Settings:
 
 
 def shape(word: bytes) -> int:
-    return 4 * bool(_DIGIT.search(word)) + 2 * bool(_WIDE.search(word)) + bool(_MARK.search(word))
+    """4 for a digit in it, 2 for a byte beyond ASCII, 1 for an ASCII mark at its end."""
+    if word.isalpha():
+        return 0
+    mark = word[-1] < 128 and not word[-1:].isalnum()
+    if mark and word[:-1].isalpha():
+        return 1
+    return 4 * bool(_DIGIT.search(word)) + 2 * (not word.isascii()) + mark
 
 
 def key(word: bytes) -> bytes:
