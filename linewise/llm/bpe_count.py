@@ -98,6 +98,13 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
+def counter(path: str) -> Counter:
+    """One counter for each file in a Python worker."""
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether there are over `limit` tokens, for each row of `docs` (doc_id, text).
 
@@ -106,12 +113,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = Counter(path)
-        counter = _counters[path]
+        tokens_of = counter(path)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            tokens = [counter(x) for x in texts]
+            tokens = [tokens_of(x) for x in texts]
             sizes = [len(x.encode()) for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],

@@ -70,6 +70,20 @@ def test_other_widths(spark, width):
     check(spark, [r for r in rows() if r[1] is None or len(r[1]) < 2000][:120], width)
 
 
+def test_anchors_do_not_depend_on_where_stretches_end(monkeypatch):
+    texts = [t.encode() for _, t in rows() if t] + [b"", b"z" * 49, b"z" * 50, b"ab" * 100]
+    symbols = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    last = np.repeat(ends, [len(t) for t in texts])
+    places, hashes = substrings.anchors(symbols, last, 50)
+    monkeypatch.setattr(substrings, "AT_ONCE", 777)
+    again = substrings.anchors(symbols, last, 50)
+    assert (places == again[0]).all() and (hashes == again[1]).all()
+    # every string of 50 bytes within one text holds an anchor's core
+    starts = np.flatnonzero(np.arange(len(symbols)) + 50 <= last)
+    assert (np.searchsorted(places, starts + 27) > np.searchsorted(places, starts)).all()
+
+
 def test_columns_order_and_common_prefixes():
     rng = np.random.default_rng(0)
     matrix = rng.integers(0, 3, (200, 30)).astype(np.uint16)
