@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewise.llm.common import in_small_batches, texts_of
-from linewise.session import materialize
+from linewise.session import materialize, scratch_path
 
 #: Bytes of text that a shard holds (a longer text has a shard of its own), and that are hashed at once.
 SHARD_BYTES, AT_ONCE = 4 << 20, 1 << 19
@@ -22,6 +22,8 @@ SHARD_BYTES, AT_ONCE = 4 << 20, 1 << 19
 BUCKET = 1_000_000
 #: Segments that are ordered at once, and that are cut out at once.
 ORDERED, CUT = 500_000, 8_192
+#: How hard blobs are compressed: texts travel to their verdicts and back.
+LEVEL = 6
 #: Bytes that an anchor's hash covers.
 CORE = 24
 _ODD = 0x9E3779B97F4A7C15
@@ -150,7 +152,7 @@ def earlier_strings(matrix: np.ndarray, least: np.ndarray, width: int) -> np.nda
 
 
 def _packed(x: np.ndarray, kind: str) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, kind).tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(x, kind).tobytes())
 
 
 def _unpacked(blob: bytes, kind: str) -> np.ndarray:
@@ -183,6 +185,20 @@ def _shards(docs: DataFrame) -> DataFrame:
     return in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "shard bigint, ids array<bigint>, sizes binary, texts binary, n_bytes bigint")
 
 
+_SHARD = ["shard", "ids", "sizes", "texts", "n_bytes"]
+
+
+def _written_by_shard(shards: DataFrame) -> DataFrame:
+    """`shards` as a table in the shared folder, bucketed by shard: what is said about shards comes to their texts, which
+    aren't exchanged again."""
+    spark = shards.sparkSession
+    path = scratch_path(spark, "substrings-shards")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards.write.format("parquet").option("path", path).bucketBy(partitions, "shard").saveAsTable(name)
+    return spark.table(name)
+
+
 class _Shard:
     def __init__(self, row: dict):
         self.ids = row["ids"]
@@ -196,9 +212,10 @@ class _Shard:
     def document_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, places, side="right")
 
-    def anchors(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self, width: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         small = np.uint32 if len(self.symbols) < 1 << 32 else np.int64
-        return anchors(self.symbols, np.repeat(self.ends.astype(small), self.ends - self.begins), width)
+        places, hashes = anchors(self.symbols, np.repeat(self.ends.astype(small), self.ends - self.begins), width)
+        return places, _codes(hashes, buckets)
 
 
 def _rows(table) -> Iterator[dict]:
@@ -207,49 +224,58 @@ def _rows(table) -> Iterator[dict]:
             yield {name: batch.column(name)[at].as_py() for name in batch.schema.names}
 
 
-def _shared_hashes(shards: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(shard, hashes): anchors of a shard that begin in two documents or more of the whole table."""
+def _shared_anchors(shards: DataFrame, width: int, buckets: int) -> DataFrame:
+    """(shard, bucket, shared): a bit for each of the shard's different anchors of a bucket, in order of their codes:
+    whether the anchor is found in two documents or more of the whole table."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             shard = _Shard(row)
-            places, hashes = shard.anchors(width)
+            places, codes = shard.anchors(width, buckets)
             docs = shard.document_of(places)
-            order = np.argsort(hashes, kind="stable")
-            hashes, docs = hashes[order], docs[order]
-            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+            order = np.argsort(codes, kind="stable")
+            codes, docs = codes[order], docs[order]
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)])
             if not len(first):
                 continue
             many = np.maximum.reduceat(docs, first) > np.minimum.reduceat(docs, first)
-            hashes = hashes[first]
-            bucket = _bucket(hashes, buckets)
+            codes = codes[first]
+            bucket, low = codes >> 32, codes & 0xFFFFFFFF
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            part = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, row["shard"])), part(hashes, "<u8"), part(many, "u1")], names=["bucket", "shard", "hashes", "many"])
+            spans = list(zip(cuts[:-1], cuts[1:]))
+            steps = [_packed(np.diff(low[x:y], prepend=0), "<u4") for x, y in spans]
+            flags = [_packed(np.packbits(many[x:y]), "u1") for x, y in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(spans), row["shard"])), pa.array(steps, pa.binary()), pa.array(flags, pa.binary())], names=["bucket", "shard", "steps", "many"])
 
     def meet(rows: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, "<u8") for x in rows.column("hashes").to_pylist()]
-        hashes = np.concatenate(parts)
-        many = np.concatenate([np.frombuffer(x, "u1") for x in rows.column("many").to_pylist()]) > 0
-        owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        order = np.argsort(hashes, kind="stable")
-        hashes, many, owner = hashes[order], many[order], owner[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        group = np.cumsum(new) - 1
+        parts = [np.cumsum(_unpacked(x, "<u4").astype(np.int64)) for x in rows.column("steps").to_pylist()]
+        sizes = [len(x) for x in parts]
+        many = np.concatenate([np.unpackbits(_unpacked(x, "u1"), count=n) for x, n in zip(rows.column("many").to_pylist(), sizes)])
+        _, group = np.unique(np.concatenate(parts), return_inverse=True)
         shared = ((np.bincount(group) > 1) | (np.bincount(group, many) > 0))[group]
-        hashes, owner = hashes[shared], owner[shared]
-        order = np.argsort(owner, kind="stable")
-        hashes, ends = hashes[order], np.cumsum(np.bincount(owner, minlength=len(parts)))
-        blobs = [hashes[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
-        return pa.table({"shard": rows.column("shard"), "hashes": pa.array(blobs, pa.binary())})
+        ends = np.cumsum(sizes)
+        bits = [_packed(np.packbits(shared[y - n : y]), "u1") for y, n in zip(ends, sizes)]
+        return pa.table({"shard": rows.column("shard"), "bucket": rows.column("bucket"), "shared": pa.array(bits, pa.binary())})
+
+    sent = shards.select(*_SHARD).mapInArrow(send, "bucket bigint, shard bigint, steps binary, many binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "shard bigint, bucket bigint, shared binary")
+
 
-    sent = shards.mapInArrow(send, "bucket bigint, shard bigint, hashes binary, many binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "shard bigint, hashes binary").where(F.length("hashes") > 0)
+def _known(codes: np.ndarray, replies: pa.Table) -> np.ndarray:
+    """Those of a shard's codes that are shared, in order."""
+    codes = np.unique(codes)
+    bucket, found = codes >> 32, [np.zeros(0, np.int64)]
+    for reply in _rows(replies):
+        own = codes[np.searchsorted(bucket, reply["bucket"]) : np.searchsorted(bucket, reply["bucket"], side="right")]
+        found.append(own[np.unpackbits(_unpacked(reply["shared"], "u1"), count=len(own)) > 0])
+    return np.sort(np.concatenate(found))
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Ascending with the hash."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash, and 32 bits by which its anchors are told apart there. Two different anchors with the same
+    code only mean that more is looked at."""
+    bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return (bucket << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _segments(shards: DataFrame, shared: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -261,12 +287,12 @@ def _segments(shards: DataFrame, shared: DataFrame, width: int, buckets: int) ->
     """
     before, across = width - CORE, 2 * width - CORE
 
-    def cut(rows: pa.Table, hashes: pa.Table) -> pa.Table:
+    def cut(rows: pa.Table, replies: pa.Table) -> pa.Table:
         out = {"bucket": [], "shard": [], "numbers": [], "ranges": [], "least": [], "bytes": []}
         for row in _rows(rows):
             shard = _Shard(row)
-            known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8") for x in hashes.column("hashes").to_pylist())]))
-            places, own = shard.anchors(width)
+            places, own = shard.anchors(width, buckets)
+            known = _known(own, replies)
             at = np.searchsorted(known, own)
             kept = known[np.minimum(at, len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
             places, own = places[kept], own[kept]
@@ -303,7 +329,7 @@ def _segments(shards: DataFrame, shared: DataFrame, width: int, buckets: int) ->
             number[single] = np.arange(len(single))
             add = lambda *row: [out[k].append(v) for k, v in zip(out, row)]
             add(-1, row["shard"], _packed(number[of], "<u4"), _packed(places, "<u4"), _packed(later, "u1"), b"")
-            bucket = _bucket(own[single], buckets)
+            bucket = own[single] >> 32
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for a, b in zip(cuts[:-1], cuts[1:]):
                 some = single[a:b]
@@ -377,10 +403,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, keep_text: bool = False) ->
     Needs width > CORE and 2 * width - CORE < 256. NULL and empty texts, and texts shorter than `width`, keep all. Rows
     of equal doc_id are not smaller than each other. A NULL doc_id is larger than all others.
     """
-    shards = materialize(_shards(docs), "substrings-shards")
+    shards = _written_by_shard(_shards(docs))
     total = shards.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = int(2 * total / (width - CORE + 2) // BUCKET) + 1
-    shared = materialize(_shared_hashes(shards, width, buckets), "substrings-anchors")
+    shared = materialize(_shared_anchors(shards, width, buckets), "substrings-anchors")
     segments = materialize(_segments(shards, shared, width, buckets), "substrings-segments")
     found = _earlier(segments, width).select("shard", "numbers", "ranges", F.lit(None).cast("binary").alias("least"))
     found = materialize(found.unionByName(segments.where("bucket = -1").select("shard", "numbers", "ranges", "least")), "substrings-found")
