@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from linewise.llm.common import in_small_batches
+from linewise.llm.common import in_small_batches, tidy
 
 #: Fixed value: how byte-level vocabularies of this kind cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -123,4 +123,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_small_batches(docs).select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(tidy(count), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import in_small_batches, remainder, texts_of
+from linewise.llm.common import in_small_batches, remainder, texts_of, tidy
 from linewise.session import materialize
 
 #: Fixed value: a word after lower-casing A-Z, over UTF-8 bytes.
@@ -81,7 +81,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "word binary, shape int, n bigint").groupBy("word", "shape").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "word binary, shape int, n bigint").groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -146,7 +146,7 @@ def encode(docs: DataFrame, shared) -> DataFrame:
                 [batch.column("doc_id"), batch.column("train"), pa.array(blobs, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(numbers, pa.list_(pa.int32()))],
                 names=["doc_id", "train", "ids", "rare", "numbers"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, train boolean, ids binary, rare array<binary>, numbers array<int>")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, train boolean, ids binary, rare array<binary>, numbers array<int>")
 
 
 def _groups(v: Vocabulary) -> np.ndarray:
@@ -178,7 +178,7 @@ def pair_table(encoded: DataFrame, shared) -> DataFrame:
         if held:
             yield flush()
 
-    pairs = encoded.where("train").select("ids").mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = encoded.where("train").select("ids").mapInArrow(tidy(run), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     both = F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other"), F.lit(1).alias("after")),
                              F.struct(F.col("b").alias("own"), F.col("a").alias("other"), F.lit(0).alias("after"))))
     dealt = pairs.select("n", both.alias("x")).select((F.col("x.own") % BLOCKS).alias("block"), "x.*", "n")
@@ -219,7 +219,7 @@ def transitions(pairs: DataFrame, classes: np.ndarray, n_classes: int) -> np.nda
         a, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b].astype(np.int64))], names=["a", "b", "n"])
 
-    found = pairs.mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    found = pairs.mapInArrow(tidy(run), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((n_classes, n_classes))
     total[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
     return total
@@ -270,7 +270,7 @@ def cluster(pairs: DataFrame, v: Vocabulary, s: Settings) -> tuple[np.ndarray, n
                 yield pa.RecordBatch.from_arrays([pa.array(groups[moved]), pa.array(best[moved])], names=["word", "class"])
 
         v_exchanged = v.exchanged
-        moves = pairs.mapInArrow(run, "word bigint, class bigint").toArrow()  # at most the exchanged words
+        moves = pairs.mapInArrow(tidy(run), "word bigint, class bigint").toArrow()  # at most the exchanged words
         trial = classes.copy()
         trial[moves.column("word").to_numpy()] = moves.column("class").to_numpy()
         after = transitions(pairs, trial, n_classes)
@@ -354,7 +354,7 @@ def score(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
                 at = end
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = encoded.select("doc_id", "train", "row", "ids").mapInArrow(run, f"doc_id {kind}, train boolean, row bigint, n_tokens bigint, n_seen bigint, base double, own double")
+    scored = encoded.select("doc_id", "train", "row", "ids").mapInArrow(tidy(run), f"doc_id {kind}, train boolean, row bigint, n_tokens bigint, n_seen bigint, base double, own double")
     rare = encoded.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "numbers")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.numbers").alias("times"))
     counts = counted.where("shape >= 0").select("word", "n")
     rest = rare.join(counts, "word", "left").groupBy("row").agg(

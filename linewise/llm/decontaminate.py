@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import in_small_batches, texts_of, with_free_names
+from linewise.llm.common import in_small_batches, texts_of, tidy, with_free_names
 from linewise.llm.fm_index import FMIndex
 from linewise.session import materialize
 
@@ -140,8 +140,8 @@ FOUND = "n_words bigint, spans array<struct<first: bigint, end: bigint>>, items
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
-def _searcher(phrases, keep_text: bool):
-    """Mapper over (any columns, text, FOUND): adds what the block's phrases hit."""
+def _searcher(phrases, keep_text: bool, cut: bool = False):
+    """Mapper over (any columns, text, FOUND): adds what the block's phrases hit; `cut` then cuts all spans out of the texts."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = phrases.value
@@ -158,6 +158,10 @@ def _searcher(phrases, keep_text: bool):
                     "spans": pa.array([[{"first": a, "end": b} for a, b in _merge(x, shard.spans(i))] for i, x in enumerate(old[0])], _SPANS),
                     "items": pa.array([sorted({*(x or ()), *y}) for x, y in zip(old[1], shard.items())], pa.list_(pa.string())),
                 }
+                if cut:
+                    kept = [cut_words(t, [(x["first"], x["end"]) for x in s]) if s else None for t, s in zip(texts[at:end], new["spans"].to_pylist())]
+                    whole = rows.column("text").cast(pa.binary()).to_pylist()
+                    new["text"] = pa.array([t if k is None else k for t, k in zip(whole, kept)], pa.binary()).cast(pa.string())
                 names = [c for c in batch.schema.names if keep_text or c != "text"]
                 yield pa.RecordBatch.from_arrays([new[c] if c in new else rows.column(c) for c in names], names=names)
                 at = end
@@ -165,7 +169,7 @@ def _searcher(phrases, keep_text: bool):
     return search
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_text: bool = False) -> DataFrame:
+def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_text: bool = False, cut: bool = False) -> DataFrame:
     """Adds n_words, spans (merged runs of hit words) and items (sorted ids as text) to `docs`, which has a column text.
 
     A phrase is `window` consecutive words of a test item, or the whole item if it has fewer. Each Arrow batch of
@@ -188,7 +192,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_t
         phrases = spark.sparkContext.broadcast(Phrases([(x["item"], bytes(x["text"])) for x in part], window))
         last = block == blocks - 1
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or not last or f.name != "text")
-        rows = rows.mapInArrow(_searcher(phrases, keep_text or not last), schema)
+        rows = rows.mapInArrow(tidy(_searcher(phrases, keep_text or not last, cut and last)), schema)
         if not last:
             rows = materialize(rows, "decontaminate")
             phrases.destroy()
@@ -211,17 +215,7 @@ def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> D
 
     def work(rows: DataFrame) -> DataFrame:
         names = rows.columns
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                spans, texts = batch.column("spans").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-                new = [cut_words(t, [(x["first"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans)]
-                columns = {"text": pa.array(new, pa.binary()).cast(pa.string())}
-                yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in [*names, "spans"]], names=[*names, "spans"])
-
-        found = find_phrases(rows, benchmark, window, keep_text=True)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in {*names, "spans"})
-        left = found.select(*names, "spans").mapInArrow(cut, schema)
+        left = find_phrases(rows, benchmark, window, keep_text=True, cut=True)
         if "n_chars" in names:
             left = left.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(rows.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
         return left.select(*names)

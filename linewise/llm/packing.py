@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import in_small_batches
+from linewise.llm.common import in_small_batches, tidy
 from linewise.llm.tokens import encoder
 from linewise.session import materialize
 
@@ -41,7 +41,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(blobs, pa.binary()), pa.array([int(wide[2])] * len(blobs), pa.int32())], names=["doc_id", "ids", "width"])
         tool.forget()
 
-    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, width int")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids binary, width int")
 
 
 def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -74,7 +74,7 @@ def _frequencies(encoded: DataFrame) -> tuple[np.ndarray, int, float]:
         # terms -1 and -2: documents, and ids in all
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *some.tolist()], pa.int64()), pa.array([docs, length, *total[some].tolist()], pa.int64())], names=["term", "n"])
 
-    rows = encoded.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = encoded.mapInArrow(tidy(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r["term"]: r["n"] for r in rows}
     docs = found.pop(-1, 0)
     length = found.pop(-2, 0) / max(docs, 1)
@@ -198,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, k
             top[doc[chosen], place[chosen]] = term[order[chosen]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in top.T.copy())], names=[*batch.schema.names, *route])
 
-    marked = encoded.mapInArrow(mark, f"doc_id {kind}, ids binary, width int, " + ", ".join(f"{x} int" for x in route))
+    marked = encoded.mapInArrow(tidy(mark), f"doc_id {kind}, ids binary, width int, " + ", ".join(f"{x} int" for x in route))
     order = [*route, F.xxhash64("doc_id", "ids")]
     dealt = marked.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id")
 
@@ -232,4 +232,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, k
         if ids:
             yield flush()
 
-    return dealt.select("doc_id", "ids", "width").mapInArrow(run, OUT.format(id=kind) + ", ids array<int>" * keep_ids)
+    return dealt.select("doc_id", "ids", "width").mapInArrow(tidy(run), OUT.format(id=kind) + ", ids array<int>" * keep_ids)

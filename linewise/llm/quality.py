@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import in_small_batches, remainder, texts_of, with_free_names
+from linewise.llm.common import in_small_batches, remainder, texts_of, tidy, with_free_names
 
 #: Bytes of a block; a chunk is two neighbouring blocks, so chunks overlap by half and cover the whole text.
 BLOCK = 128
@@ -208,7 +208,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return in_small_batches(docs).mapInArrow(run, f"{kinds}, score double")
+    return in_small_batches(docs).mapInArrow(tidy(run), f"{kinds}, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewise.llm.common import in_small_batches
+from linewise.llm.common import in_small_batches, tidy
 from linewise.llm.tokens import encoder
 from linewise.session import scratch_path
 
@@ -189,7 +189,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
             yield flush()
         tool.forget()
 
-    rows.mapInArrow(encode, FORMAT.format(id=kind)).write.parquet(path)
+    rows.mapInArrow(tidy(encode), FORMAT.format(id=kind)).write.parquet(path)
 
 
 def read_ids(spark, path: str, keep_ids: bool = False) -> DataFrame:
@@ -220,7 +220,7 @@ def read_ids(spark, path: str, keep_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     schema = f"part int, shard int, doc_id {id_type}, begin bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
-    found = shards.mapInArrow(decode, schema).join(starts, ["part", "shard"])
+    found = shards.mapInArrow(tidy(decode), schema).join(starts, ["part", "shard"])
     return found.select("doc_id", (F.col("first") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
 
 

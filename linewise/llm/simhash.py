@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import connected, in_small_batches, texts_of, with_free_names
+from linewise.llm.common import connected, in_small_batches, texts_of, tidy, with_free_names
 from linewise.session import materialize
 
 #: Fixed value: a word after lower-casing A-Z, over UTF-8 bytes.
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return in_small_batches(docs).mapInArrow(mark, f"{kinds}, fp bigint")
+    return in_small_batches(docs).mapInArrow(tidy(mark), f"{kinds}, fp bigint")
 
 
 def _flips(bits: int, most: int) -> list[int]:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.common import in_small_batches, texts_of
+from linewise.llm.common import in_small_batches, texts_of, tidy
 from linewise.session import materialize, scratch_path
 
 #: Bytes of text that a shard holds (a longer text has a shard of its own), and that are hashed at once.
@@ -182,7 +182,7 @@ def _shards(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "shard bigint, ids array<bigint>, sizes binary, texts binary, n_bytes bigint")
+    return in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "shard bigint, ids array<bigint>, sizes binary, texts binary, n_bytes bigint")
 
 
 _SHARD = ["shard", "ids", "sizes", "texts", "n_bytes"]
@@ -257,7 +257,7 @@ def _shared_anchors(shards: DataFrame, width: int, buckets: int) -> DataFrame:
         bits = [_packed(np.packbits(shared[y - n : y]), "u1") for y, n in zip(ends, sizes)]
         return pa.table({"shard": rows.column("shard"), "bucket": rows.column("bucket"), "shared": pa.array(bits, pa.binary())})
 
-    sent = shards.select(*_SHARD).mapInArrow(send, "bucket bigint, shard bigint, steps binary, many binary")
+    sent = shards.select(*_SHARD).mapInArrow(tidy(send), "bucket bigint, shard bigint, steps binary, many binary")
     return sent.groupBy("bucket").applyInArrow(meet, "shard bigint, bucket bigint, shared binary")
 
 
