@@ -274,8 +274,12 @@ def _known(codes: np.ndarray, replies: pa.Table) -> np.ndarray:
 def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of a hash, and 32 bits by which its anchors are told apart there. Two different anchors with the same
     code only mean that more is looked at."""
-    bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    return (bucket << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # anchors have the least hashes around them, so their hashes are not even until they are mixed again
+    mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(_ODD)
+    bucket = (mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return (bucket << np.uint64(32) | mixed & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _segments(shards: DataFrame, shared: DataFrame, width: int, buckets: int) -> DataFrame:
