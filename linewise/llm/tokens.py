@@ -13,6 +13,8 @@ import numpy as np
 
 #: Chunks that a task remembers; beyond it, it forgets them all and starts anew.
 REMEMBERED = 400_000
+#: Words that the library gets in one string.
+WORDS = 500
 #: Bytes of text that are cut into chunks at once.
 BLOCK_BYTES = 2 << 20
 #: Marks that never share a token with a letter before them.
@@ -46,6 +48,11 @@ class Encoder:
         cuts = [x["type"] for x in pre.get("pretokenizers", [])]
         self.dropped = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["invert"]
         self.vocabulary = self.library.get_vocab_size()
+        # ids that end a word (dropped white space) or begin one (a leading space)
+        tokens = self.library.get_vocab(with_added_tokens=False)
+        self.edge = np.zeros(self.vocabulary, bool)
+        for token, i in tokens.items():
+            self.edge[i] = token.endswith(spec["model"]["end_of_word_suffix"]) if self.dropped else token.startswith("Ġ")
         self.known: dict[str, bytes] = {}
 
     def forget(self) -> None:
@@ -64,6 +71,22 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks that are one word of letters each, many to a call: their edges show in the ids."""
+        out: list[bytes] = []
+        joint = " " if self.dropped else ""
+        groups = [words[at : at + WORDS] for at in range(0, len(words), WORDS)]
+        for group, found in zip(groups, self.library.encode_batch_fast([joint.join(x) for x in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(group):  # a letter that is more than one once it is normalised
+                out += self._library(group)
+                continue
+            cuts = (4 * np.concatenate([[0], edges + 1] if self.dropped else [edges, [len(ids)]])).tolist()
+            blob = ids.tobytes()
+            out += [blob[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def _learn(self, wanted: set[str]) -> None:
         known = self.known
         new = wanted.difference(known)
@@ -77,9 +100,12 @@ class Encoder:
             if len(stem) < len(chunk) and stem and unicodedata.normalize("NFC", stem[-1]).lower()[-1].isalpha():
                 stems[chunk] = stem, chunk[len(stem) :]
         plain = list({*(x for x in new if x not in stems), *chain.from_iterable(stems.values())}.difference(known))
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            known.update(zip(some, self._library(some)))
+        words = [x for x in plain if (x if self.dropped else x[1:]).isalpha() and (self.dropped or x[0] == " ")]
+        others = list(set(plain).difference(words))
+        for chunks, encode in ((words, self._words), (others, self._library)):
+            for at in range(0, len(chunks), 20_000):
+                some = chunks[at : at + 20_000]
+                known.update(zip(some, encode(some)))
         known.update((chunk, known[stem] + known[tail]) for chunk, (stem, tail) in stems.items())
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
