@@ -19,11 +19,11 @@ from linewise.session import materialize, scratch_path
 #: Bytes of text that a shard holds (a longer text has a shard of its own), and that are hashed at once.
 SHARD_BYTES, AT_ONCE = 4 << 20, 1 << 19
 #: Anchor hashes that one task compares, on average.
-BUCKET = 1_000_000
+BUCKET = 400_000
 #: Segments that are ordered at once, and that are cut out at once.
 ORDERED, CUT = 500_000, 8_192
 #: How hard blobs are compressed: texts travel to their verdicts and back.
-LEVEL = 6
+LEVEL = 3
 #: Bytes that an anchor's hash covers.
 CORE = 24
 _ODD = 0x9E3779B97F4A7C15
@@ -101,6 +101,10 @@ class Columns:
     def __init__(self, matrix: np.ndarray):
         """`matrix`: a line for each segment; 0 for no byte, else the byte + 1."""
         self.n, self.width = matrix.shape
+        # floor of the binary logarithm up to n, and room for the minima over stretches of so many places
+        self.log = np.frexp(np.arange(self.n + 1, dtype=np.float64))[1].astype(np.uint8) - np.uint8(1)
+        self.log[0] = 0
+        self.levels = np.zeros((int(self.log[-1]) + 1, self.n), np.uint8)
         self.columns, self.transform = tempfile.TemporaryFile(), tempfile.TemporaryFile()
         for column in range(self.width - 1, -1, -1):
             matrix[:, column].astype("<u2").tofile(self.columns)
@@ -123,17 +127,16 @@ class Columns:
 
     def _least(self, common: np.ndarray, by: np.ndarray) -> np.ndarray:
         """Least of common[a + 1 .. b] for each two neighbours (a, b) of `by` with a < b (others: anything)."""
-        levels = [common]
-        while 2 << len(levels) - 1 <= self.n:
-            step = 1 << len(levels) - 1
-            levels.append(np.minimum(levels[-1][:-step], levels[-1][step:]))
+        levels = self.levels
+        levels[0] = common
+        for k in range(1, len(levels)):
+            step = 1 << k - 1
+            np.minimum(levels[k - 1, : self.n - step], levels[k - 1, step:], out=levels[k, : self.n - step])
         a, b = by[:-1] + 1, by[1:]
         span = np.maximum(b - a + 1, 1)
-        level = np.frexp(span.astype(np.float64))[1] - 1
+        level = self.log[span]
         out = np.zeros(self.n, np.uint8)
-        for k in np.unique(level):
-            rows = np.flatnonzero((level == k) & (b >= a))
-            out[rows + 1] = np.minimum(levels[k][a[rows]], levels[k][b[rows] + 1 - (1 << int(k))])
+        out[1:] = np.minimum(levels[level, np.minimum(a, self.n - 1)], levels[level, np.maximum(b + 1 - (1 << level.astype(np.int64)), 0)])
         return out
 
 
@@ -282,6 +285,12 @@ def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (bucket << np.uint64(32) | mixed & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def _inside(left: np.ndarray, size: np.ndarray, columns: int) -> np.ndarray:
+    """A line for each segment: whether each column is in it."""
+    column = np.arange(columns, dtype=np.int16)
+    return (column >= left[:, None]) & (column < (left + size)[:, None])
+
+
 def _segments(shards: DataFrame, shared: DataFrame, width: int, buckets: int) -> DataFrame:
     """Segments around the shared anchors, each different one of a shard once.
 
@@ -290,6 +299,7 @@ def _segments(shards: DataFrame, shared: DataFrame, width: int, buckets: int) ->
     anchor, and whether its document comes after another of the shard that has the same segment.
     """
     before, across = width - CORE, 2 * width - CORE
+    line = -(-across // 8) * 8
 
     def cut(rows: pa.Table, replies: pa.Table) -> pa.Table:
         out = {"bucket": [], "shard": [], "numbers": [], "ranges": [], "least": [], "bytes": []}
@@ -305,17 +315,20 @@ def _segments(shards: DataFrame, shared: DataFrame, width: int, buckets: int) ->
             doc = shard.document_of(places)
             first = np.maximum(shard.begins[doc], places - before)
             end = np.minimum(shard.ends[doc], places + width)
-            matrix = np.zeros((len(places), across), np.uint8)
-            column = np.arange(across)
-            mark, weights = np.empty(len(places), np.uint64), np.random.default_rng(5).integers(0, 1 << 63, across + 2, np.uint64) * np.uint64(2) + np.uint64(1)
-            for a in range(0, len(places), CUT):
-                some = slice(a, a + CUT)
-                there = places[some, None] - before + column[None, :]
-                inside = (there >= first[some, None]) & (there < end[some, None])
-                matrix[some] = np.where(inside, shard.symbols[np.clip(there, 0, len(shard.symbols) - 1)], 0)
-                mark[some] = (matrix[some].astype(np.uint64) * weights[:across]).sum(axis=1, dtype=np.uint64)
             left, size = first - (places - before), end - first
-            mark += left.astype(np.uint64) * weights[across] + size.astype(np.uint64) * weights[across + 1]
+            # lines of whole 8-byte words; 0 stands outside of a segment's text
+            padded = np.concatenate([np.zeros(before, np.uint8), shard.symbols, np.zeros(line, np.uint8)])
+            matrix = np.lib.stride_tricks.sliding_window_view(padded, line)[places]
+            matrix[:, across:] = 0
+            for a in range(0, len(cropped := np.flatnonzero(size < across)), CUT):
+                some = cropped[a : a + CUT]
+                matrix[some] *= _inside(left[some], size[some], line)
+            words = matrix.view(np.uint64)
+            weights = np.random.default_rng(5).integers(0, 1 << 63, line // 8 + 2, np.uint64) * np.uint64(2) + np.uint64(1)
+            mark = left.astype(np.uint64) * weights[-1] + size.astype(np.uint64) * weights[-2]
+            for i in range(line // 8):
+                mark += (words[:, i] ^ words[:, i] >> np.uint64(31)) * weights[i]
+                mark ^= mark >> np.uint64(29)
             # equal segments share the one of the least order; a mark that two different ones have parts them again
             order = np.lexsort((shard.order[doc], mark))
             head = np.concatenate([[True], mark[order][1:] != mark[order][:-1]])
@@ -323,7 +336,7 @@ def _segments(shards: DataFrame, shared: DataFrame, width: int, buckets: int) ->
             equal = np.zeros(len(places), bool)
             for a in range(0, len(places), CUT):
                 some, other = order[a : a + CUT], like[a : a + CUT]
-                equal[some] = (matrix[some] == matrix[other]).all(axis=1) & (left[some] == left[other]) & (size[some] == size[other]) & (own[some] == own[other])
+                equal[some] = (words[some] == words[other]).all(axis=1) & (left[some] == left[other]) & (size[some] == size[other]) & (own[some] == own[other])
             of = np.arange(len(places))
             of[order] = np.where(equal[order], like, order)
             later = shard.order[doc] > shard.order[doc[of]]
@@ -337,8 +350,7 @@ def _segments(shards: DataFrame, shared: DataFrame, width: int, buckets: int) ->
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for a, b in zip(cuts[:-1], cuts[1:]):
                 some = single[a:b]
-                inside = (column >= left[some, None]) & (column < (left + size)[some, None])
-                add(int(bucket[a]), row["shard"], _packed(np.arange(a, b), "<u4"), _packed(np.stack([left[some], size[some]]), "u1"), _packed(shard.order[doc[some]], "<i8"), _packed(matrix[some][inside], "u1"))
+                add(int(bucket[a]), row["shard"], _packed(np.arange(a, b), "<u4"), _packed(np.stack([left[some], size[some]]), "u1"), _packed(shard.order[doc[some]], "<i8"), _packed(matrix[some, :across], "u1"))
         kinds = {"bucket": pa.int64(), "shard": pa.int64()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
@@ -351,18 +363,18 @@ def _earlier(segments: DataFrame, width: int) -> DataFrame:
 
     def meet(rows: pa.Table) -> pa.Table:
         rows = list(_rows(rows))
-        owner, number, least, matrix = [], [], [], []
-        for i, row in enumerate(rows):
-            numbers = _unpacked(row["numbers"], "<u4")
+        numbers = [_unpacked(row["numbers"], "<u4").astype(np.int64) for row in rows]
+        least = np.concatenate([_unpacked(row["least"], "<i8") for row in rows])
+        owner, number = np.repeat(np.arange(len(rows)), [len(x) for x in numbers]), np.concatenate(numbers)
+        matrix, at = np.empty((len(number), across), np.uint16), 0
+        for row, own in zip(rows, numbers):
+            here = matrix[at : at + len(own)]
+            here[:] = _unpacked(row["bytes"], "u1").reshape(-1, across)
+            here += 1
             left, size = _unpacked(row["ranges"], "u1").astype(np.int64).reshape(2, -1)
-            column = np.arange(across)
-            own = np.zeros((len(numbers), across), np.uint16)
-            own[(column >= left[:, None]) & (column < (left + size)[:, None])] = _unpacked(row["bytes"], "u1").astype(np.uint16) + 1
-            owner.append(np.full(len(numbers), i))
-            number.append(numbers.astype(np.int64))
-            least.append(_unpacked(row["least"], "<i8"))
-            matrix.append(own)
-        owner, number, least, matrix = (np.concatenate(x) for x in (owner, number, least, matrix))
+            cropped = np.flatnonzero(size < across)
+            here[cropped] *= _inside(left[cropped], size[cropped], across)
+            at += len(own)
         # parts by the anchor's bytes hold all segments that can share a string
         core = _core_hashes(np.zeros(CORE, np.uint8)) if not len(matrix) else _matrix_cores(matrix[:, width - CORE : width])
         parts = -(-len(matrix) // ORDERED)
