@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from linewise.session import materialize
 BLOCK = 4096
 #: Queries that the exact scan takes at once.
 SCAN = 2048
+#: Norms of a band differ by this factor at most; where there are several bands, those of at most SMALL_BAND rows are compared outright.
+BAND, SMALL_BAND = 1.25, 2048
 SEED = 11
 
 
@@ -36,15 +39,11 @@ def _rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def _on_sphere(vectors: np.ndarray, longest: float, query: bool) -> np.ndarray:
-    """Unit vectors of a power-of-two width whose cosine orders candidates as the inner product does: a candidate is
-    scaled by the longest norm and gets one more component that fills it up to length 1; a query gets 0 there."""
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors, with zeros up to a power-of-two width."""
     n, dim = vectors.shape
     out = np.zeros((n, 1 << int(dim).bit_length()))
-    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    out[:, :dim] = vectors / (norms if query else longest * np.ones(n))[:, None]
-    if not query:
-        out[:, dim] = np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))
+    out[:, :dim] = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
     return out
 
 
@@ -61,13 +60,13 @@ def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 _HASHED = "dim int, hash_table int, bucket int, cid bigint, vector array<double>"
 
 
-def _hasher(tables: int, probes: int, longest: float, query: bool):
+def _hasher(tables: int, probes: int, query: bool):
     """Mapper from (cid, vector) to one row a table (candidates) or one a table and probe (queries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, vectors in _matrices(batch.column("vector")):
-                points = _on_sphere(vectors, longest, query)
+                points = _directions(vectors)
                 for table in range(tables):
                     turned = _rotate(points, table)
                     # axis i is bucket 2i towards plus and 2i+1 towards minus
@@ -106,7 +105,7 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
 def _parted(rows: DataFrame, other: DataFrame, own_side: str, other_side: str) -> DataFrame:
     """`rows` of a bucket dealt into its own blocks by id, and repeated for the other side's blocks.
 
-    There are at most tables x twice the width such counts for each width of vectors, so they are broadcast."""
+    There are at most tables x twice the width such counts, and one, for each width of vectors, so they are broadcast."""
     sizes = lambda x, name: x.groupBy("dim", "hash_table", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     key = ["dim", "hash_table", "bucket"]
     both = rows.join(F.broadcast(sizes(rows, "own_n")), key).join(F.broadcast(sizes(other, "other_n")), key)
@@ -123,9 +122,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, probes:
     query_id, rank from 1, vec_id, score; ties to the smaller vec_id. `is_query` is a condition on vec_id.
 
     Equal vectors form one class: it is hashed and compared once, and stands for its k + 1 smallest ids, which is all
-    that a list of k can take from it. Every class is in one bucket of each table. A query looks into its `probes`
-    nearest buckets of each; buckets are compared in blocks, and scores come from the original vectors. Queries that
-    the tables give too few rows for are answered by an exact scan in blocks of queries.
+    that a list of k can take from it. Tables go by direction alone, so that a few long vectors don't move the others.
+    A list takes from each band of like norms those of the likest direction. They are a small share of a large band, so
+    the tables find them; of a small band they may be most, so every query is compared with all of it (one more bucket).
+    Other classes are in one bucket of each table, and a query looks into its `probes` nearest buckets of each. Buckets are
+    compared in blocks, and scores come from the original vectors. Queries that the tables give too few rows for are
+    answered by an exact scan in blocks of queries.
 
     Rows with a NULL id, and vectors that are NULL, empty, zero or hold NULL or non-finite components, take no part.
     Vectors of different widths are never compared. Rows that repeat an id with its vector count once; an id's own rows
@@ -143,9 +145,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, probes:
     queries = materialize(queries, "nearest-queries")
     asked = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "vector")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    longest = classes.agg(F.max(norm)).first()[0] or 1.0
-    cells = materialize(classes.select("cid", "vector").mapInArrow(_hasher(tables, probes, longest, False), _HASHED), "nearest-tables")
-    looks = materialize(asked.mapInArrow(_hasher(tables, probes, longest, True), _HASHED), "nearest-probes")
+    banded = classes.select(F.size("vector").alias("dim"), F.coalesce(F.round(F.log(norm) / math.log(BAND)).cast("int"), F.lit(-1 << 31)).alias("band"), "cid", "vector")
+    # as many rows as there are powers of BAND among floating numbers at most, for each width
+    sizes = banded.groupBy("dim", "band").agg(F.count("*").alias("n")).withColumn("bands", F.count("*").over(Window.partitionBy("dim")))
+    banded = banded.join(F.broadcast(sizes), ["dim", "band"]).withColumn("small", (F.col("bands") > 1) & (F.col("n") <= SMALL_BAND))
+    outright = lambda x: x.select(F.size("vector").alias("dim"), F.lit(-1).alias("hash_table"), F.lit(0).alias("bucket"), "cid", "vector")
+    cells = banded.where(~F.col("small")).select("cid", "vector").mapInArrow(_hasher(tables, probes, False), _HASHED)
+    cells = materialize(cells.unionByName(outright(banded.where("small"))), "nearest-tables")
+    looks = asked.mapInArrow(_hasher(tables, probes, True), _HASHED)
+    looks = materialize(looks.unionByName(outright(asked)), "nearest-probes")
     key = ["dim", "hash_table", "bucket", "c", "q"]
 
     def rank(candidates: pa.Table, probing: pa.Table) -> pa.Table:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from linewise.llm import nearest
@@ -60,3 +61,21 @@ def test_recall(spark):
         assert len(got[ids[at]]) == 20
     assert np.mean(hits) >= 0.9, np.mean(hits)
     print("recall", np.mean(hits))
+
+
+@pytest.mark.parametrize("norms, small_band", [("one long", 0), ("spread", 256)])
+def test_recall_with_unequal_norms(spark, monkeypatch, norms, small_band):
+    monkeypatch.setattr(nearest, "SMALL_BAND", small_band, raising=False)  # so that the tables have their share
+    rows = [tuple(r) for r in table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    x *= np.where(np.arange(len(x)) == 7, 5, 1)[:, None] if norms == "one long" else np.random.default_rng(0).lognormal(0, 0.5, len(x))[:, None]
+    x = x.astype(np.float32).astype(np.float64)
+    got = {}
+    for q, _, j, _ in run(spark, list(zip(ids.tolist(), x.tolist()))):
+        got.setdefault(q, set()).add(j)
+    hits = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        order = [j for j in ids[np.lexsort((ids, -(x @ x[at])))] if j != ids[at]][:20]
+        hits.append(len(got[ids[at]] & set(order)) / 20)
+    assert len(hits) == 100 and np.mean(hits) >= 0.9, np.mean(hits)
+    print("recall", norms, small_band, np.mean(hits))
