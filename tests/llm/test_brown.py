@@ -115,3 +115,58 @@ def test_empty_and_without_training_rows(spark):
     only = next(i for i in range(100) if held(i))
     r = brown.score(frame(spark, [(only, "a b")]).select("doc_id", "text"), SMALL).first()
     assert r["held_out"] and (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0) and r["score"] <= 0
+
+
+def test_words_beyond_the_exchanged_get_their_best_class(spark, monkeypatch):
+    """Known and rare ones: classes raise the likelihood, and scores are those of a plain model with them."""
+    docs = rows()
+    train = [plain(t) for d, t in docs if not held(d)]
+    count = Counter(w for x in train for w in x)
+    ranked = sorted((w for w in count if w is not None), key=lambda w: (-count[w], brown.key(w.encode())))
+    caught, assign, model = {}, brown.assign, brown.model
+    monkeypatch.setattr(brown, "assign", lambda *a: caught.update(core=a[2], first=a[3], chosen=assign(*a)) or caught["chosen"])
+    monkeypatch.setattr(brown, "model", lambda v, classes, table, s: caught.update(classes=classes, table=table) or model(v, classes, table, s))
+    scored = brown.score(frame(spark, docs).select("doc_id", "text"), brown.Settings(known=40, exchanged=15, classes=4, rounds=4, assigned=True)).collect()
+    chosen = {bytes(r["word"]): r for r in caught["chosen"].collect()}
+    assert set(chosen) == {brown.key(w.encode()) for w in ranked[15:]}
+    assert all(chosen[brown.key(w.encode())]["n"] == count[w] for w in ranked[15:])
+    group = {w: i for i, w in enumerate(ranked[:15])}
+    first = lambda w: 12 if w is None else int(caught["core"][group[w]]) if w in group else 4 + brown.shape(w.encode())
+    after, before = {w: np.zeros(13) for w in ranked}, {w: np.zeros(13) for w in ranked}
+    for x in train:
+        for a, b, c in zip([None, *x], x, x[1:]):
+            before[b][first(a)] += 1
+            after[b][first(c)] += 1
+    words = ranked[15:]
+    best = brown.best_classes(np.array([after[w] for w in words]), np.array([before[w] for w in words]), np.array([first(w) for w in words]), caught["first"], 4, np.log(4))
+    assert [chosen[brown.key(w.encode())]["class"] for w in words] == best.tolist()
+    assert (best[:25] < 4).any() and (best[25:] < 4).any()
+
+    def of(w):
+        if w is None:
+            return 12
+        if w in group:
+            return int(caught["classes"][group[w]])
+        return chosen[brown.key(w.encode())]["class"] if w in count else 4 + brown.shape(w.encode())
+
+    table = np.zeros((13, 13))
+    for x in train:
+        for a, b in zip([None, *x], x):
+            table[of(a), of(b)] += 1
+    assert (table == caught["table"]).all()
+    xlogx = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    gain = lambda t: xlogx(t) - xlogx(t.sum(1)) - xlogx(t.sum(0))
+    assert gain(table) > gain(caught["first"])
+    left = Counter(of(w) for w in count)
+    size, share = table.sum(axis=0), (table.sum(axis=0) + 0.5) / (table.sum() + 6.5)
+
+    def emit(w):
+        c = of(w)
+        return 1.0 if w is None else count[w] / size[c] if c < 4 else (count[w] + 0.5) / (size[c] + 0.5 * (left[c] + 1))
+
+    got = {r["doc_id"]: r["score"] for r in scored if r["doc_id"] not in (None, 2)}
+    for d, t in docs:
+        if d in got:
+            x = plain(t)
+            want = sum(math.log10((table[of(a), of(b)] + 4 * share[of(b)]) / (table[of(a)].sum() + 4) * emit(b)) for a, b in zip([None, *x], x))
+            assert got[d] == pytest.approx(want, rel=1e-9)
