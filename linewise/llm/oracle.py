@@ -37,4 +37,19 @@ SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
 FROM d LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
 """
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op9_substrings": OP9}
+_TOKENS = "regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+')"
+
+OP11 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS.format('text')} AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS x
+      FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+both AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM both JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, component_id IS NULL) AS kept
+FROM d JOIN least USING (r) LEFT JOIN n USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op9_substrings": OP9, "op11_superminhash": OP11}

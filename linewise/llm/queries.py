@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewise.llm import bpe_count, brown, decontaminate, nearest, packing, pii, quality, repair, simhash, substrings
+from linewise.llm import bpe_count, brown, decontaminate, nearest, packing, pii, quality, repair, simhash, substrings, superminhash
 from linewise.llm.common import documents, table
 
 
@@ -63,6 +63,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_private(documents(spark, sf_dir)))
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -74,4 +78,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_substrings": op9_substrings,
     "op10_pii": op10_pii,
+    "op11_superminhash": op11_superminhash,
 }
