@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewise.llm.common import connected, in_small_batches, texts_of, tidy
@@ -20,8 +20,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 BANDS, ROWS = 32, 4
 #: Elements whose permutations are drawn at once, and shingles hashed at once.
 BLOCK = 1 << 16
-#: Rounds of comparing members of a band's bucket with one of them, before what is left is compared outright.
-STARS = 3
+#: Sets are told apart by size in steps of this ratio.
+SIZES = 1.1
 UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -132,72 +132,80 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.dropDuplicates(["cls"]).mapInArrow(tidy(cut), "cls bigint, items array<bigint>")
 
 
-class _Verifier:
-    """Compares classes on their full sets, and remembers the links found."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) that are similar enough, by their full sets."""
+    side = lambda c: sets.select(F.col("cls").alias(c), F.col("items").alias(f"{c}_items"))
+    both = F.size(F.array_intersect("a_items", "b_items")).cast("long")
+    union = F.size("a_items") + F.size("b_items") - both
+    found = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * union)
+    return materialize(found.select("a", "b"), "superminhash-links")
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
-        self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
-        self.sets: DataFrame | None = None
-        self.links: DataFrame | None = None
 
-    def fetch(self, members: DataFrame) -> None:
-        """Reads the sets of all classes of `members` (cls)."""
-        wanted = self.classes.join(members.select("cls").distinct(), "cls").select("cls", "h1", "h2")
-        self.sets = materialize(_sets(self.docs, wanted, self.width), "superminhash-sets")
+def _can_share(n: str, place: str, m, percent: int) -> Column:
+    """Whether a set of n items has enough of them left from `place` on for the similarity with a set of m items."""
+    return (100 + percent) * (F.col(n) - F.col(place)) >= percent * (F.col(n) + m)
 
-    def add(self, pairs: DataFrame) -> None:
-        """Links those of `pairs` (a, b) that are similar enough."""
-        side = lambda c: self.sets.select(F.col("cls").alias(c), F.col("items").alias(f"{c}_items"))
-        both = F.size(F.array_intersect("a_items", "b_items")).cast("long")
-        union = F.size("a_items") + F.size("b_items") - both
-        found = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= self.percent * union).select("a", "b")
-        found = found if self.links is None else self.links.unionByName(found)
-        self.links = materialize(found, "superminhash-links")
 
+def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of `members` (cls, n, root) with different roots, among them all that are similar enough.
 
-def _alike_in_size(percent: int) -> Column:
-    """Whether sets of n and m items can be similar enough at all."""
-    return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-
-
-def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect all classes which share a band and are similar enough.
-
-    Within a bucket (the classes with one key of a band) members are compared with a single one, its hub: first the
-    smallest class, which is the same in most bands, then random ones. A bucket whose members are all connected by then
-    has no more to say. What stays open, members of a bucket in different components, is compared pair by pair; pairs in
-    one component can't change the outcome and are never made.
+    With the items of each set in one order, rarest first, the first item that two similar sets share leaves enough items after
+    it in both, so it is near their beginnings: near copies meet at their rare items and not at what all of them have in common.
+    Of an item's holders those of its commonest root are never paired with each other: only the others look for partners, by
+    classes of size, which tell how near the beginning the item must be.
+    """
+    items = materialize(members.join(sets, "cls").select("cls", "n", "root", F.explode("items").alias("item")), "superminhash-items")
+    held = items.groupBy("item").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "item")) - 1
+    size = lambda n: F.floor(F.log(SIZES, n.cast("double")) + 1e-9)
+    early = items.join(held, "item").withColumn("place", place).where((F.col("df") > 1) & (100 * (F.col("n") - F.col("place")) >= percent * F.col("n")))
+    early = materialize(early.select("item", "cls", "n", "root", "place", size(F.col("n")).alias("size")), "superminhash-early")
+    roots = early.groupBy("item", "root").agg(F.count("*").alias("holders")).groupBy("item").agg(
+        F.max_by("root", "holders").alias("common"), F.count("*").alias("roots")).where("roots > 1").select("item", "common")
+    met = early.join(roots, "item")
+    reach = int(np.ceil(np.log(100 / percent) / np.log(SIZES))) + 1
+    least = F.greatest(F.pow(F.lit(SIZES), F.col("size")) * (1 - 1e-9), F.col("n") * percent / 100)
+    seek = met.where("root <> common").select(
+        "item", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"), F.col("place").alias("a_place"), "n",
+        F.explode(F.sequence(F.col("size") - reach, F.col("size") + reach)).alias("size"))
+    seek = seek.where(_can_share("a_n", "a_place", least, percent)).drop("n")
+    pairs = seek.join(met, ["item", "size"]).where(
+        (F.col("root") != F.col("a_root")) & ((F.col("root") == F.col("common")) | (F.col("cls") > F.col("a")))
+        & _can_share("a_n", "a_place", F.col("n"), percent) & _can_share("n", "place", F.col("a_n"), percent))
+    return pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+
+
+def _components(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(cls, root) of all classes with a link: classes that share a band and are similar enough are connected.
+
+    Within a bucket (the classes with one key of a band) members are compared with a single one first, its hub: the
+    member that shares most bands with others, hence the least changed of near copies, and the same in most bands. A bucket
+    whose members are all connected by then has no more to say, nor has one of two members. Members of the other buckets are compared by
+    their rare items; pairs in one component can't change the outcome and are never made.
     """
     keyed = classes.select("cls", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("hub")).where("size > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(keyed.join(shared, "key"), "superminhash-buckets")
-    verifier = _Verifier(docs, classes, width, percent)
-    verifier.fetch(members)
-    of_hub = classes.select(F.col("cls").alias("hub"), F.col("n").alias("m"))
-    pairs = members.where("cls <> hub").select(F.col("cls").alias("cls"), "hub", "n").distinct().join(of_hub, "hub")
-    verifier.add(pairs.where(_alike_in_size(percent)).select(F.col("cls").alias("a"), F.col("hub").alias("b")))
-    members = members.where("size > 2")
-    for turn in range(1, STARS + 1):
-        roots = connected(verifier.links, "superminhash-roots")
-        placed = members.select("key", "cls", "n", F.col("hub").alias("first")).join(
-            roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        draw = F.xxhash64("cls", "key", F.lit(turn))
-        buckets = placed.groupBy("key").agg(
-            F.min_by("cls", draw).alias("hub"), F.min_by("root", draw).alias("hub_root"), F.min_by("n", draw).alias("m"),
-            F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
-        members = materialize(placed.join(buckets, "key"), "superminhash-open")
-        if members.isEmpty():
-            return verifier.links
-        if turn < STARS:
-            pairs = members.where((F.col("root") != F.col("hub_root")) & (F.col("cls") != F.col("first"))
-                                  & (F.col("hub") != F.col("first")) & _alike_in_size(percent))
-            verifier.add(pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
-            members = members.select("key", "cls", "n", F.col("first").alias("hub"))
-    one = members.where(F.col("cls") != F.col("first")).select("key", F.col("cls").alias("a"), "n", F.col("root").alias("a_root"))
-    other = one.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("a_root").alias("b_root"))
-    pairs = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _alike_in_size(percent))
-    verifier.add(pairs.select("a", "b").distinct())
-    return verifier.links
+    weights = materialize(members.groupBy("cls", "n").agg(F.sum("size").alias("weight")), "superminhash-weights")
+    sets = materialize(_sets(docs, classes.join(weights.select("cls"), "cls").select("cls", "h1", "h2"), width), "superminhash-sets")
+    hub = F.max(F.struct("weight", "cls", "n"))
+    hubs = members.join(weights.drop("n"), "cls").groupBy("key").agg(hub.alias("hub"))
+    alike = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+    pairs = members.join(hubs, "key").where(alike & (F.col("cls") != F.col("hub.cls"))).select(
+        F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct()
+    roots = connected(_verified(pairs, sets, percent), "superminhash-near-hubs").select(F.col("node").alias("cls"), "root")
+    placed = weights.select("cls", "n").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    placed = materialize(placed, "superminhash-placed")
+    rooted = members.where("size > 2").select("key", "cls").join(placed, "cls")
+    parted = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = materialize(rooted.join(parted, "key").select("cls", "n", "root").distinct(), "superminhash-open")
+    if left.isEmpty():
+        return placed.select("cls", "root")
+    of = lambda c: left.select(F.col("cls").alias(c), F.col("root").alias(f"{c}_root"))
+    late = _verified(_rare_pairs(left, sets, percent), sets, percent).join(of("a"), "a").join(of("b"), "b")
+    joined = connected(late.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), "superminhash-late")
+    return placed.join(joined.select(F.col("node").alias("root"), F.col("root").alias("into")), "root", "left").select(
+        "cls", F.coalesce("into", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -219,8 +227,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         "digest", F.col("first.row").alias("cls"), *[F.col(f"first.{c}").alias(c) for c in ("doc_id", "h1", "h2", "n")])
     grouped = materialize(grouped, "superminhash-classes")
     drawn = full.select(F.col("row").alias("cls"), "bands").join(grouped.select("cls", "h1", "h2", "n"), "cls")
-    links = _links(docs, materialize(drawn, "superminhash-bands"), width, percent)
-    roots = connected(links, "superminhash-components").select(F.col("node").alias("cls"), "root")
+    roots = _components(docs, materialize(drawn, "superminhash-bands"), width, percent)
     placed = grouped.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = placed.select("digest", "root").join(least, "root").select("digest", "component_id")
