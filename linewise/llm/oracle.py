@@ -44,12 +44,56 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS.format('
 s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS x
       FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
-both AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
-links AS (SELECT a, b FROM both JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM shared JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
 reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
 least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, component_id IS NULL) AS kept
 FROM d JOIN least USING (r) LEFT JOIN n USING (r)
 """
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op9_substrings": OP9, "op11_superminhash": OP11}
+#: crc32 of a decimal number, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+OP12 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format('conv_id')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = base AND pos <= h
+      UNION ALL SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+p AS (SELECT conv_id, row_number() OVER turns AS depth, text, string_agg(md5(length(role) || ':' || role || text), '') OVER turns AS k
+      FROM r WINDOW turns AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      UNION ALL SELECT conv_id, 0, '', '' FROM c),
+n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(strlen(text)) AS saved FROM p GROUP BY depth, k),
+ends AS (SELECT depth, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS digest
+         FROM (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS top FROM p) WHERE depth = top GROUP BY depth, k),
+above AS (SELECT a.depth, a.k, a.conv_id, n.depth AS n_depth, n.k AS n_k, n.saved
+          FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth JOIN n a ON a.depth = p.depth AND a.k = p.k),
+children AS (SELECT depth, k, count(*) AS n FROM above WHERE n_depth = depth + 1 GROUP BY depth, k),
+under AS (SELECT a.depth, a.k, sum(saved) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+          FROM above a LEFT JOIN children c ON c.depth = n_depth AND c.k = n_k GROUP BY a.depth, a.k)
+SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, u.leaves AS n_leaves,
+       CAST(u.saved AS BIGINT) AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM n JOIN under u USING (depth, k) LEFT JOIN children c USING (depth, k) LEFT JOIN ends USING (depth, k)
+LEFT JOIN above a ON a.n_depth = n.depth AND a.n_k = n.k AND a.depth = n.depth - 1
+"""
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS terms FROM documents),
+totals AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+items AS (SELECT row_number() OVER () AS q, item_id, {_WORDS.format('text')} AS terms FROM benchmark),
+asked AS (SELECT DISTINCT q, t FROM (SELECT q, unnest(terms) AS t FROM items)),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(terms) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * len(terms) * n_docs) // n_terms AS m FROM d, totals WHERE len(terms) > 0),
+scores AS (SELECT q, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+           FROM asked JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY q, r, doc_id),
+ranked AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (q) WHERE rank <= 50
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_decontamination": OP1, "op9_substrings": OP9, "op11_superminhash": OP11, "op12_prefix_trie": OP12, "op13_ranked_search": OP13,
+}
