@@ -53,13 +53,13 @@ def test_decisions_take_effect(spark):
 
 def test_pipeline_and_operators_are_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)) and set(QUERIES) <= set(entry.queries())
+    assert all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)) and set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_twin(spark, name):
     con = duckdb.connect()
-    for t in "documents embeddings benchmark labels".split():
+    for t in "documents embeddings benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
     status, n, _, note = compare(spark, con, "/root/testdata/sf0.01", name, QUERIES[name], ORACLE[name])
     assert status == "equal" and n > 0, note
