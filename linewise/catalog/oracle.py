@@ -30,6 +30,26 @@ def _mean(c: str) -> str:
 # The split by the first eight digits of the key's md5, tenths 8 and 9 being the test part; the fold by the next eight.
 _SPLIT = "CASE WHEN ('0x' || left(md5(ROW_KEY), 8))::BIGINT % 10 IN (8, 9) THEN 'test' ELSE 'train' END"
 _FOLD = "CAST(('0x' || md5(ROW_KEY)[9:16])::BIGINT % 5 AS INT)"
+# The same hash as an order: its fifth of the rows, rounded up, is the test part. Hexadecimal digits sort like the number.
+_EXACT_SPLIT = (
+    ", parted AS (SELECT ROW_KEY, CASE WHEN row_number() OVER (ORDER BY left(md5(ROW_KEY), 8), ROW_KEY) <= (COUNT(*) OVER () + 4) // 5 "
+    "THEN 'test' ELSE 'train' END AS split FROM sales) "
+)
+_UNTYPED = (
+    ", untyped AS (SELECT ROW_KEY, ORDERNUMBER::VARCHAR AS WHOLE, POSTALCODE AS GAPS, MSRP AS NUMBER, "
+    "CASE WHEN ORDERNUMBER % 100 = 0 THEN 'unknown' ELSE MSRP::VARCHAR END AS MIXED, "
+    "CASE WHEN STATUS = 'Shipped' THEN 'True' ELSE 'False' END AS FLAG, NULL::VARCHAR AS NOTHING FROM sales) "
+)
+_COLUMN_KINDS = (
+    ", cells AS (UNPIVOT (SELECT ROW_KEY, WHOLE, COALESCE(GAPS, '') AS GAPS, COALESCE(NUMBER::VARCHAR, '') AS NUMBER, "
+    "COALESCE(MIXED, '') AS MIXED, FLAG, COALESCE(NOTHING, '') AS NOTHING FROM untyped) "
+    "ON ROW_KEY, WHOLE, GAPS, NUMBER, MIXED, FLAG, NOTHING INTO NAME column_name VALUE x), "
+    "counts AS (SELECT column_name, COUNT(*) AS n_cells, COUNT(*) FILTER (x = '') AS n_missing, "
+    "COUNT(*) FILTER (x IN ('True', 'False')) AS n_boolean, COUNT(*) FILTER (TRY_CAST(x AS BIGINT) IS NOT NULL AND NOT x LIKE '%.%') AS n_integer, "
+    "COUNT(*) FILTER (TRY_CAST(x AS DOUBLE) IS NOT NULL) AS n_double FROM cells GROUP BY column_name) "
+    "SELECT column_name, CASE WHEN n_missing = n_cells THEN 'double' WHEN n_boolean = n_cells THEN 'boolean' WHEN n_integer = n_cells THEN 'integer' "
+    "WHEN n_double + n_missing = n_cells THEN 'double' ELSE 'text' END AS kind, n_missing, n_boolean, n_integer, n_double, n_cells FROM counts"
+)
 # What a scenario may hold, and columns that cleaning leaves out, stated here apart from the engine.
 BOUNDS = {"QUANTITYORDERED": (10, 200), "PRICEEACH": (10, 500), "MSRP": (10, 500)}
 
@@ -328,6 +348,19 @@ def oracle_sql() -> dict[str, str]:
         "csv_malformed": _TO_SALES
         + ", r AS (SELECT ORDERNUMBER % 100 AS kind, ROW_KEY || ',' || ORDERNUMBER AS start, CAST(QUANTITYORDERED AS INT) AS q FROM sales) "
         "SELECT CASE WHEN kind = 1 THEN start || ',' || q || ',surplus' ELSE start END AS record, '_CELLS' AS bad_columns FROM r WHERE kind IN (1, 2)",
+        "csv_inferred": _TO_SALES + _UNTYPED
+        + "SELECT ROW_KEY, WHOLE::BIGINT AS WHOLE, GAPS::DOUBLE AS GAPS, NUMBER, MIXED, FLAG = 'True' AS FLAG, NULL::DOUBLE AS NOTHING FROM untyped",
+        "csv_column_kinds": _TO_SALES + _UNTYPED + _COLUMN_KINDS,
+        "guarded_load": _TO_SALES
+        + "SELECT 'clean' AS file, true AS loaded, COUNT(*) AS n_rows, 0 AS n_bad_shape, '' AS bad_cells FROM sales UNION ALL "
+        "SELECT 'cells', false, COUNT(*), 0, 'MSRP:' || COUNT(*) FILTER (ORDERNUMBER % 100 = 0) FROM sales UNION ALL "
+        "SELECT 'records', false, COUNT(*), COUNT(*) FILTER (ORDERNUMBER % 100 = 1), '' FROM sales UNION ALL SELECT 'absent', false, 0, 0, ''",
+        "stored_customer_stats": _TO_SALES + _CUSTOMER.format("sales"),
+        "exact_split": _TO_SALES + _EXACT_SPLIT + "SELECT ROW_KEY, split FROM parted",
+        "exact_folds": _TO_SALES + _EXACT_SPLIT
+        + "SELECT ROW_KEY, CAST(CASE WHEN i < r * (q + 1) THEN i // (q + 1) ELSE r + (i - r * (q + 1)) // q END AS INT) AS fold FROM "
+        "(SELECT ROW_KEY, row_number() OVER (ORDER BY md5(ROW_KEY)[9:16], ROW_KEY) - 1 AS i, COUNT(*) OVER () // 5 AS q, COUNT(*) OVER () % 5 AS r "
+        "FROM parted WHERE split = 'train')",
         "predictions_sink": _TO_BASELINES
         + "SELECT label AS Actual_Sales, prediction AS Predicted_Sales FROM long "
         "WHERE model = 'product_mean' AND split = 'test'",

@@ -12,8 +12,9 @@ from linewise import schema as S
 from linewise.operators import clean, evaluate, features, models, prepare, profile, summarise
 from linewise.operators.lookup import attach
 from linewise.plans import dashboard, scenario, study
-from linewise.session import materialize, scratch_path
-from linewise.sources import orders_csv, star, synthetic
+from linewise.session import materialize, scratch_folder, scratch_path
+from linewise.sources import inference, orders_csv, star, synthetic
+from linewise.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,6 +133,56 @@ def csv_malformed(spark, sf_dir):
     return rejected.select(F.col(orders_csv.RAW_RECORD).alias("record"), F.array_join(orders_csv.REJECT_REASON, ",").alias("bad_columns"))
 
 
+def _untyped(lines: DataFrame) -> DataFrame:
+    """Columns as a file of unknown columns has them: whole numbers, numbers with gaps, numbers among words, flags, nothing."""
+    word = F.when(F.col("ORDERNUMBER") % 100 == 0, F.lit("unknown")).otherwise(F.col("MSRP").cast("string"))
+    return lines.select(
+        S.ROW_KEY, F.col("ORDERNUMBER").alias("WHOLE"), F.col("POSTALCODE").alias("GAPS"), F.col("MSRP").alias("NUMBER"), word.alias("MIXED"),
+        F.when(F.col("STATUS") == "Shipped", "True").otherwise("False").alias("FLAG"), F.lit(None).cast("string").alias("NOTHING"))
+
+
+@register
+def csv_inferred(spark, sf_dir):
+    """Rows of a file whose types nobody states."""
+    path = scratch_path(spark, "csv")
+    _untyped(star.sales(spark, sf_dir)).write.option("header", True).csv(path)
+    return orders_csv.read_orders_csv(spark, path, types={}, infer=True, multi_line=False)
+
+
+@register
+def csv_column_kinds(spark, sf_dir):
+    """What the cells of each of its columns could be, and the kind that follows."""
+    path = scratch_path(spark, "csv")
+    _untyped(star.sales(spark, sf_dir)).write.option("header", True).csv(path)
+    return inference.column_kinds(orders_csv.read_orders_csv(spark, path, types={}, multi_line=False))
+
+
+@register
+def guarded_load(spark, sf_dir):
+    """A clean file, one with bad cells and one with bad records: whether each is loaded, and what its report counts."""
+    lines, plain = star.sales(spark, sf_dir), {"header": True, "sep": "\u0001", "quote": "\u0000"}
+    price = F.when(F.col("ORDERNUMBER") % 100 == 0, F.lit("unknown")).otherwise(F.col("MSRP").cast("string")).alias("MSRP")
+    cells = F.concat_ws(",", S.ROW_KEY, "ORDERNUMBER", F.col("QUANTITYORDERED").cast("int"))
+    record = F.when(F.col("ORDERNUMBER") % 100 == 1, F.concat(cells, F.lit(",surplus"))).otherwise(cells)
+    files = {"clean": [S.ROW_KEY, "ORDERNUMBER", "SALES"], "cells": [S.ROW_KEY, "ORDERNUMBER", "SALES", price]}
+    paths = {name: _written_csv(spark, sf_dir, columns) for name, columns in files.items()} | {"records": scratch_path(spark, "csv")}
+    lines.select(record.alias(f"{S.ROW_KEY},ORDERNUMBER,QUANTITYORDERED")).write.options(**plain).csv(paths["records"])
+    paths["absent"] = scratch_path(spark, "csv")
+    loads = {name: orders_csv.load_guarded(spark, path, report=lambda _: None, multi_line=False) for name, path in paths.items()}
+    rows = [(name, x.rows is not None, x.n_rows, x.n_bad_shape, ",".join(f"{c}:{n}" for c, n in x.bad_cells.items())) for name, x in loads.items()]
+    return spark.createDataFrame(rows, "file string, loaded boolean, n_rows bigint, n_bad_shape bigint, bad_cells string")
+
+
+@register
+def stored_customer_stats(spark, sf_dir):
+    """Customer statistics as a second call finds them: read from the store, nothing computed."""
+    kept = Store(spark, f"{scratch_folder(spark)}/store")
+    lines = star.sales(spark, sf_dir).select("CUSTOMERNAME", "ORDERNUMBER", "SALES", "QUANTITYORDERED")
+    build = lambda rows: features.customer_stats(rows).drop(features.GROUP_ROWS)
+    kept.table("customer_stats", lines, build)
+    return kept.table("customer_stats", lines, build)
+
+
 @register
 def predictions_sink(spark, sf_dir):
     """Test predictions of one baseline, written to CSV and read back."""
@@ -304,6 +355,20 @@ def label_encode_all(spark, sf_dir):
 over("encoder_classes", lambda df: prepare.class_counts(prepare.fit_codes(df, S.CATEGORICAL_FEATURES)))
 over("train_test_split", lambda df: prepare.with_split(df.select(S.ROW_KEY)))
 over("split_ratio", lambda df: prepare.split_ratio(prepare.with_split(df.select(S.ROW_KEY))))
+@register
+def exact_split(spark, sf_dir):
+    """Train and test parts whose sizes are exact, whatever the number of lines."""
+    keys = star.sales(spark, sf_dir).select(S.ROW_KEY)
+    return prepare.exact_splitter(keys)(keys)
+
+
+@register
+def exact_folds(spark, sf_dir):
+    """Folds of that train part, of sizes that differ by one at most."""
+    train = materialize(exact_split(spark, sf_dir).where(F.col("split") == "train").select(S.ROW_KEY), "train")
+    return prepare.exact_folder(train)(train)
+
+
 over("fold_assign", lambda df: prepare.with_fold(df.select(S.ROW_KEY)))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame
@@ -20,12 +19,15 @@ ACCURACY_OFFSET = 0.5
 
 
 def predictions(models: dict[str, Model], rows: DataFrame, key: str = ROW_KEY) -> DataFrame:
-    """Long predictions of several models over the same rows of (key, split, features, label)."""
-    scored = [
-        m.transform(rows).select(F.lit(name).alias("model"), "split", key, "label", "prediction")
-        for name, m in models.items()
-    ]
-    return reduce(DataFrame.unionByName, scored)
+    """Long predictions of several models over the same rows of (key, split, features, label).
+
+    Each model adds a column to the rows, which are scanned once; the columns are put below each other at the end."""
+    scored, columns = rows.select("split", key, "label", "features"), {}
+    for i, (name, model) in enumerate(models.items()):
+        columns[name] = f"_prediction_{i}"
+        scored = model.copy({model.predictionCol: columns[name]}).transform(scored)
+    below = F.inline(F.array(*[F.struct(F.lit(name).alias("model"), F.col(c).alias("prediction")) for name, c in columns.items()]))
+    return scored.select("split", key, "label", below).select("model", "split", key, "label", "prediction")
 
 
 def r_squared(prediction: str = "prediction") -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -18,8 +21,10 @@ from linewise.session import ensure_checkpoint_folder
 SEED = 42
 # Finer than the default 32 bins: closer to exact split search, and room for codes up to 128 classes.
 MAX_BINS = 128
-# Parts of a learner's rows. Not taken from the cluster's size, for trees depend on it: raise it with the data.
-PARTITIONS = 16
+# Rows of a part of a learner's table: few enough for many short fits at a time, more where the parts would be many.
+PART_ROWS, MANY_PARTS, MOST_PART_ROWS, LEAST_PARTS = 32_768, 2_048, 1 << 20, 2
+# Fits at a time. A fit on few rows is a chain of short jobs that leaves most of a cluster idle.
+PARALLEL_FITS = 8
 # Memory of one task for split statistics, as MLlib defaults it: a session with many slots per executor must hold all tasks.
 TREE_MEMORY_MB = 256
 
@@ -75,12 +80,31 @@ def estimator(learner: Learner, train: DataFrame):
     raise ValueError(f"unknown learner {learner.kind!r}")
 
 
-def dealt(rows: DataFrame, key: str, partitions: int = PARTITIONS) -> DataFrame:
-    """`rows` in `partitions` parts by the hash of `key`, in its order: MLlib draws its split candidates part by part, so
-    trees are the same on any cluster as long as this number is."""
+def parts(rows: int) -> int:
+    """Parts that a learner's rows are dealt into. The number of rows alone decides, not the cluster's size, for trees depend on it."""
+    size = min(max(PART_ROWS, rows // MANY_PARTS), MOST_PART_ROWS)
+    return max(LEAST_PARTS, -(-rows // size))
+
+
+def dealt(rows: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """`rows` in parts by the hash of `key`, in its order: MLlib draws its split candidates part by part, so trees are the
+    same on any cluster as long as the number of parts is."""
+    partitions = parts(rows.count()) if partitions is None else partitions
     return rows.repartition(partitions, key).sortWithinPartitions(key)
 
 
+@contextmanager
+def held(rows: DataFrame) -> Iterator[DataFrame]:
+    """`rows` laid out once for many fits: exchanged and sorted by the first, read in place by all others.
+
+    Parts that don't fit in memory go to the executors' disks; a lost executor's parts are dealt again from what `rows` reads."""
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def fit(learner: Learner, train: DataFrame) -> Model:
     ensure_checkpoint_folder(train.sparkSession)  # boosting cuts its lineage every ten trees
     return estimator(learner, train).fit(train)
@@ -91,10 +115,9 @@ def load_model(spark: SparkSession, path: str) -> Model:
     return DefaultParamsReader.loadParamsInstance(path, spark)
 
 
-def prefix_scores(model: Model, rows: DataFrame, trees: list[int]) -> list[float]:
-    """R² over `rows` of a boosted model's first so many trees, from one pass."""
+def prefix_scores(model: Model, rows: DataFrame, trees: list[int], spread: float | None) -> list[float]:
+    """R² over `rows` of a boosted model's first so many trees, from one pass; `spread` is the variance of the labels."""
     errors = model.evaluateEachIteration(rows, "squared")
-    spread = rows.agg(F.var_pop("label")).first()[0]
     return [1 - errors[n - 1] / spread if spread else float(errors[n - 1] == 0) for n in trees]
 
 
@@ -108,16 +131,17 @@ def grid_search(
     grid: dict[str, list] = TUNING_GRID,
     folds: int = 5,
     fold_column: str = "fold",
-    parallelism: int = 1,
+    parallelism: int = PARALLEL_FITS,
 ) -> tuple[Model, Learner, DataFrame]:
     """Refitted best model, its settings, and (point, settings, mean_r2, rank) of every point.
 
     `train` has `features`, `label` and a fold number from 0 to folds - 1 (`prepare.with_fold` with the same number).
-    Fits run as separate Spark jobs, `parallelism` at a time; a point's score is the mean of its folds' R². The first
-    point wins a tie. Boosting adds one tree after the other, so points that differ in their number of trees only are
-    prefixes of the longest: it is fitted once for all of them.
+    Fits run as separate Spark jobs, `parallelism` at a time, the deepest first; a point's score is the mean of its folds'
+    R². The first point wins a tie. Boosting adds one tree after the other, so points that differ in their number of trees
+    only are prefixes of the longest: it is fitted once for all of them. `train` is read by every fit, so hold it (`held`).
     """
     points = grid_points(grid)
+    spreads = dict(train.groupBy(fold_column).agg(F.var_pop("label")).collect())  # one row a fold
     alike: dict[tuple, list[int]] = {}
     for i, point in enumerate(points):
         settings = base.using(**point).params
@@ -133,9 +157,10 @@ def grid_search(
             return [(group[0], scored.agg(r_squared().alias("r2")).first()["r2"])]
         trees = {i: base.using(**points[i]).params["trees"] for i in group}
         longest = fit(base.using(**points[max(group, key=trees.get)]), inside)
-        return list(zip(group, prefix_scores(longest, outside, [trees[i] for i in group])))
+        return list(zip(group, prefix_scores(longest, outside, [trees[i] for i in group], spreads.get(fold))))
 
-    tasks = [(group, fold) for group in alike.values() for fold in range(folds)]
+    size = lambda group: [-base.using(**points[group[0]]).params.get(k, 0) for k in ("depth", "trees")]
+    tasks = [(group, fold) for group in sorted(alike.values(), key=size) for fold in range(folds)]
     with ThreadPool(parallelism) as pool:
         scores = [pair for found in pool.map(score, tasks, chunksize=1) for pair in found]
     means = [sum(s for i, s in scores if i == point) / folds for point in range(len(points))]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewise.functions.semantics import hash_bucket, label_text, number, safe_div
@@ -81,6 +83,71 @@ def with_fold(df: DataFrame, k: int = FOLDS, key: str = ROW_KEY) -> DataFrame:
     return df.withColumn("fold", hash_bucket(key, k, first=9))
 
 
+def _order(key: str, first: int) -> Column:
+    """The key's place in a fixed shuffle: 32 bits of its hash; equal ones go by the key itself."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("binary")), first, 8), 16, 10).cast("bigint")
+
+
+def shuffled_cuts(df: DataFrame, key: str, shares: Callable[[int], list[int]], first: int = 1) -> list[tuple[int, str]]:
+    """The (hash, key) that stand at some ranks when the rows are sorted by the hash of their key; `shares` gives the
+    ranks, from 1, for the number of rows.
+
+    No rows are sorted: rows are counted by the upper half of the hash, those of the halves that hold a rank by the whole
+    hash, and those of the hash found by key. The driver sees 65,536 counts, and as many again for each rank.
+    """
+    keys = materialize(df.select(_order(key, first).alias("hash"), F.col(key).cast("string").alias("key")), "keys")
+
+    def place(counted: DataFrame, ranks: list[int]) -> list[tuple]:
+        """For each rank the value that holds it, and the rank among the rows of this value."""
+        rows, found, before, at = counted.collect(), [], 0, 0
+        for value, n in sorted((r["value"], r["n"]) for r in rows):
+            while at < len(ranks) and ranks[at] <= before + n:
+                found.append((value, ranks[at] - before))
+                at += 1
+            before += n
+        return found
+
+    by = lambda rows, value: rows.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
+    upper = F.shiftright("hash", 16)
+    halves = by(keys, upper)
+    ranks = shares(halves.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    cuts = []
+    for (half, inner), rank in zip(place(halves, ranks), ranks):
+        (whole, inner), = place(by(keys.where(upper == half), F.col("hash")), [inner])
+        (last, _), = place(by(keys.where(F.col("hash") == whole), F.col("key")), [inner])
+        cuts.append((whole, last))
+    return cuts
+
+
+def _up_to(key: str, cut: tuple[int, str], first: int) -> Column:
+    order = _order(key, first)
+    return (order < cut[0]) | ((order == cut[0]) & (F.col(key).cast("string") <= cut[1]))
+
+
+def exact_splitter(df: DataFrame, key: str = ROW_KEY) -> Callable[[DataFrame], DataFrame]:
+    """Adds `split` like `with_split`, with a test part of exactly 20 % of the rows of `df`, rounded up.
+
+    Fitted as one cut through the shuffled keys; applying it is a projection. Row keys are unique; rows that share one
+    stay together. Rows without a key are in the test part."""
+    cuts = shuffled_cuts(df.where(F.col(key).isNotNull()), key, lambda n: [-(-n * TEST_PARTS // SPLIT_PARTS)] if n else [])
+    is_test = F.coalesce(_up_to(key, cuts[0], 1), F.lit(True)) if cuts else F.lit(True)
+    return lambda rows: rows.withColumn("split", F.when(is_test, "test").otherwise("train"))
+
+
+def exact_folder(df: DataFrame, k: int = FOLDS, key: str = ROW_KEY) -> Callable[[DataFrame], DataFrame]:
+    """Adds `fold`, 0..k-1, like `with_fold`: the folds of `df` differ in size by one row at most, the first being the larger."""
+
+    def ends(n: int) -> list[int]:
+        sizes = [n // k + (f < n % k) for f in range(k)]
+        return [sum(sizes[: f + 1]) for f in range(k - 1)] if n >= k else list(range(1, n))
+
+    cuts = shuffled_cuts(df.where(F.col(key).isNotNull()), key, ends, first=9)
+    fold = F.lit(len(cuts))
+    for f in reversed(range(len(cuts))):
+        fold = F.when(_up_to(key, cuts[f], 9), f).otherwise(fold)
+    return lambda rows: rows.withColumn("fold", fold.cast("int"))
+
+
 def fit_scale(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column, from one aggregate row; a zero deviation counts as 1."""
     row = df.agg(

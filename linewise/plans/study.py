@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
@@ -110,8 +111,9 @@ def scaled_matrix(matrix: Matrix) -> Matrix:
     return Matrix(prepare.standardise(written.rows, matrix.columns, fit_on=written.part("train")), matrix.columns, matrix.codes)
 
 
-def vectors(matrix: Matrix, folds: int = prepare.FOLDS, partitions: int = models.PARTITIONS) -> DataFrame:
-    """(row key, split, fold, features, label), written once for the learners' many passes, in `partitions` parts."""
+def vectors(matrix: Matrix, folds: int = prepare.FOLDS, partitions: int | None = None) -> DataFrame:
+    """(row key, split, fold, features, label), written once and dealt into `partitions` parts for the learners' many passes
+    (`models.held` keeps them so)."""
     keyed = prepare.with_fold(matrix.rows, folds)
     assembled = prepare.assemble(keyed, matrix.columns, S.TARGET, [S.ROW_KEY, "split", "fold"])
     return models.dealt(materialize(assembled, "vectors"), S.ROW_KEY, partitions)
@@ -166,16 +168,18 @@ def compare_learners(
     learners: dict[str, models.Learner] | None = None,
     grid: dict[str, list] = models.TUNING_GRID,
     folds: int = prepare.FOLDS,
-    parallelism: int = 1,
+    parallelism: int = models.PARALLEL_FITS,
 ) -> Comparison:
-    """Tune the boosted trees, fit the other learners, and compare all on the same scaled rows."""
-    rows = vectors(scaled_matrix(matrix), folds)
-    train = rows.where(F.col("split") == "train")
-    tuned, _, search = models.grid_search(models.BOOSTED, train, grid, folds, parallelism=parallelism)
-    fitted = {name: models.fit(learner, train) for name, learner in (learners or COMPARED).items()}
-    fitted[TUNED] = tuned
-    # written once: every model scores every row, and all reports start from these rows
-    predictions = materialize(evaluate.predictions(fitted, rows), "predictions")
+    """Tune the boosted trees, fit the other learners meanwhile, and compare all on the same scaled rows."""
+    learners = learners or COMPARED
+    with models.held(vectors(scaled_matrix(matrix), folds)) as rows:
+        train = rows.where(F.col("split") == "train")
+        with ThreadPool(len(learners)) as pool:
+            fits = pool.map_async(lambda learner: models.fit(learner, train), learners.values(), chunksize=1)
+            tuned, _, search = models.grid_search(models.BOOSTED, train, grid, folds, parallelism=parallelism)
+            fitted = dict(zip(learners, fits.get())) | {TUNED: tuned}
+        # written once: one scan scores every row with every model, and all reports start from these rows
+        predictions = materialize(evaluate.predictions(fitted, rows), "predictions")
     metrics = evaluate.metrics(predictions)
     table = evaluate.compare(metrics)
     ranked = models.importances(tuned, matrix.columns, 15)

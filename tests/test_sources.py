@@ -47,6 +47,72 @@ def test_guarded_load_reports(spark, tmp_path, orders_file):
     assert orders_csv.load_or_none(spark, orders_file).count() == 3
 
 
+def kinds(spark, tmp_path, cells):
+    path = tmp_path / f"kinds{len(list(tmp_path.iterdir()))}.csv"
+    path.write_text("X,Y\n" + "".join(f"{c},1\n" for c in cells))
+    df = orders_csv.read_orders_csv(spark, str(path), types={}, infer=True)
+    return dict(df.dtypes)["X"], [r["X"] for r in df.collect()]
+
+
+@pytest.mark.parametrize("cells, kind, values", [
+    (["1", "-2", "+3", " 4 "], "bigint", [1, -2, 3, 4]),
+    (["007", "9223372036854775807"], "bigint", [7, 2**63 - 1]),
+    (["1", "9223372036854775808"], "double", [1.0, 2.0**63]),  # beyond 64 bits
+    (["1", "", "NA"], "double", [1.0, None, None]),
+    (["1", "2.5", "1e3", ".5", "-5.", "inf"], "double", [1.0, 2.5, 1000.0, 0.5, -5.0, float("inf")]),
+    (["nan", "", "NULL"], "double", [None, None, None]),
+    (["1", "2d"], "string", ["1", "2d"]),  # not a number, though some parsers take it
+    (["1", "two"], "string", ["1", "two"]),
+    (["True", "false"], "boolean", [True, False]),
+    (["True", ""], "string", ["True", None]),
+    (["True", "1"], "string", ["True", "1"]),
+    ([], "double", []),
+])
+def test_kinds_are_inferred(spark, tmp_path, cells, kind, values):
+    assert kinds(spark, tmp_path, cells) == (kind, values)
+
+
+def test_known_types_go_before_inferred_ones(spark, tmp_path):
+    path = tmp_path / "both.csv"
+    path.write_text("ORDERNUMBER,EXTRA,NOTE\n1,2,x\n2,3,\n")
+    assert dict(orders_csv.read_orders_csv(spark, str(path), infer=True).dtypes) == {"ORDERNUMBER": "bigint", "EXTRA": "bigint", "NOTE": "string"}
+    # a record that doesn't fit the header says nothing about a column
+    path.write_text("ORDERNUMBER,EXTRA,NOTE\n1,2,x\n2,word\n3,4,y\n")
+    kept = orders_csv.read_orders_csv(spark, str(path), mode="keep", infer=True)
+    assert dict(kept.dtypes)["EXTRA"] == "bigint"
+    good, bad = orders_csv.split_rejects(kept)
+    assert sorted(r["EXTRA"] for r in good.collect()) == [2, 4] and bad.count() == 1
+
+
+def test_guarded_load_of_the_whole_file(spark, tmp_path, orders_file):
+    said = []
+    load = orders_csv.load_guarded(spark, orders_file, report=said.append)
+    assert load.rows.count() == load.n_rows == 3 and load.error is None and load.report == "3 rows" and not said
+    assert orders_csv.REJECT_REASON not in load.rows.columns and orders_file not in str(load.rows.inputFiles())
+    path = tmp_path / "bad.csv"
+    path.write_text("SALES,ORDERNUMBER,YEAR_ID\n1.5,7,2003\noops,8,2004\n2.5,x,later\n3.0,9.0\n4,1,2004,5\n")
+    load = orders_csv.load_guarded(spark, str(path), report=said.append)
+    assert load.rows is None and (load.n_rows, load.n_bad_shape) == (5, 2)
+    assert load.bad_cells == {"ORDERNUMBER": 1, "SALES": 1, "YEAR_ID": 1}
+    assert "bad.csv" in said[0] and "1 bad cells in SALES" in said[0] and "2 records" in said[0]
+    load = orders_csv.load_guarded(spark, str(tmp_path / "absent.csv"), report=said.append)
+    assert load.rows is None and load.error and "absent.csv" in said[1]
+
+
+def test_guarded_load_of_an_empty_file(spark, tmp_path):
+    path = tmp_path / "empty.csv"
+    path.write_text("SALES,ORDERNUMBER\n")
+    load = orders_csv.load_guarded(spark, str(path), infer=True)
+    assert load.rows.count() == load.n_rows == 0 and load.rows.columns == ["SALES", "ORDERNUMBER"]
+
+
+def test_files_with_unlike_headers_are_not_loaded(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("SALES,ORDERNUMBER\n1,2\n")
+    (tmp_path / "b.csv").write_text("ORDERNUMBER,SALES\n2,1\n")
+    said = []
+    assert orders_csv.load_guarded(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"], report=said.append).rows is None and said
+
+
 def test_line_breaks_inside_quotes(spark, tmp_path):
     path = tmp_path / "breaks.csv"
     path.write_text('ORDERNUMBER,CUSTOMERNAME\n1,"two\nlines"\n2,b\n')
