@@ -70,10 +70,9 @@ def learner_metrics(learners: dict[str, models.Learner]) -> Query:
     """Metrics by split of learners on the study's matrix."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        vectors = study.vectors(study_rows(spark, sf_dir))
-        train = vectors.where(F.col("split") == "train")
-        fitted = {name: models.fit(learner, train) for name, learner in learners.items()}
-        return evaluate.metrics(evaluate.predictions(fitted, vectors))
+        with models.held(study.vectors(study_rows(spark, sf_dir))) as rows:
+            fitted = models.fit_all(learners, rows.where(F.col("split") == "train"))
+            return materialize(evaluate.metrics(evaluate.predictions(fitted, rows)), "metrics")
 
     return query
 
@@ -504,12 +503,45 @@ QUERIES["forest_stump"] = stump(models.Learner("forest", {"trees": 1, "depth": 1
 QUERIES["boosted_stump"] = stump(models.Learner("boosted", {"trees": 1, "depth": 1, "rate": 0.1}))
 
 
+ROUNDS = models.Learner("boosted", {"trees": 3, "depth": 1, "rate": 0.1})
+
+
+@register
+def boosted_rounds(spark, sf_dir):
+    """Three rounds of boosting on the quantity: each fits what the rounds before have left."""
+    rows = narrow(["QUANTITYORDERED"])(spark, sf_dir)
+    values = rows.groupBy("features").agg(F.count("*").alias("n"))
+    quantity = vector_to_array("features")[0].alias("quantity")
+    return models.fit(ROUNDS, rows).transform(values).select(quantity, "n", F.round("prediction", 4).alias("prediction"))
+
+
+@register
+def split_gains(spark, sf_dir):
+    """What the splits of these rounds gain."""
+    columns = ["QUANTITYORDERED"]
+    gains = models.split_gains(models.fit(ROUNDS, narrow(columns)(spark, sf_dir)), columns)
+    return gains.select("feature", "splits", *[(F.round(F.col(c) / 1e6, 4)).alias(c) for c in ("total_gain", "mean_gain")], "importance")
+
+
+@register
+def boosted_importance(spark, sf_dir):
+    """The study's boosted trees and their fifteen leading features by the mean gain of a split."""
+    matrix = study_rows(spark, sf_dir)
+    with models.held(study.vectors(matrix)) as rows:
+        model = models.fit(models.BOOSTED, rows.where(F.col("split") == "train"))
+    return models.split_gains(model, matrix.columns, 15)
+
+
+#: The study's learners; the boosted trees with the settings that tuning starts from.
+FIVE = {**study.COMPARED, f"{study.TUNED} (untuned)": models.BOOSTED}
+
+
 @register
 def learner_comparison(spark, sf_dir):
-    """The study's untuned learners at full size, ranked by what they score on the test part."""
-    measured = learner_metrics(study.COMPARED)(spark, sf_dir)
+    """Five learners at full size, fitted to the same rows at a time, ranked by what they score on the test part."""
+    measured = learner_metrics(FIVE)(spark, sf_dir)
     table = materialize(evaluate.compare(measured), "comparison")
-    best = evaluate.best_model(table, list(study.COMPARED)).select("model", F.lit(True).alias("best"))
+    best = evaluate.best_model(table, list(FIVE)).select("model", F.lit(True).alias("best"))
     # one row per learner
     return evaluate.shown(table).join(F.broadcast(best), "model", "left").na.fill({"best": False})
 
@@ -536,12 +568,13 @@ def feature_importance(spark, sf_dir):
 
 
 @register
-def boosted_tuned(spark, sf_dir):
-    """Grid search on all train rows; a short grid, since the full one takes 41 fits of 100 trees and more."""
-    train = study.vectors(study_rows(spark, sf_dir), folds=3).where(F.col("split") == "train")
-    grid = {"trees": [10], "depth": [3, 5], "rate": [0.1, 0.3]}
-    _, _, scores = models.grid_search(models.BOOSTED, train, grid, folds=3, fold_column="fold", parallelism=2)
-    return scores
+def grid_search_short(spark, sf_dir):
+    """Grid search on all train rows over a grid of its own, with fewer and shallower trees than `models.TUNING_GRID`."""
+    with models.held(study.vectors(study_rows(spark, sf_dir), folds=3)) as rows:
+        train = rows.where(F.col("split") == "train")
+        grid = {"trees": [10], "depth": [3, 5], "rate": [0.1, 0.3]}
+        _, _, scores = models.grid_search(models.BOOSTED, train, grid, folds=3, fold_column="fold")
+        return scores
 
 
 @register

@@ -12,17 +12,18 @@ from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewise.operators.evaluate import r_squared
-from linewise.session import ensure_checkpoint_folder
+from linewise.session import ensure_checkpoint_folder, scratch_path
 
 SEED = 42
-# Finer than the default 32 bins: closer to exact split search, and room for codes up to 128 classes.
-MAX_BINS = 128
+# Finer than the default 32 bins: closer to exact split search. Codes are ordered numbers, so classes need no bins of their own;
+# the statistics of a level are exchanged bin by bin, which is most of a fit's work.
+MAX_BINS = 64
 # Rows of a part of a learner's table: few enough for many short fits at a time, more where the parts would be many.
-PART_ROWS, MANY_PARTS, MOST_PART_ROWS, LEAST_PARTS = 32_768, 2_048, 1 << 20, 2
+PART_ROWS, MANY_PARTS, MOST_PART_ROWS, LEAST_PARTS = 16_384, 4_096, 1 << 20, 2
 # Fits at a time. A fit on few rows is a chain of short jobs that leaves most of a cluster idle.
 PARALLEL_FITS = 8
 # Memory of one task for split statistics, as MLlib defaults it: a session with many slots per executor must hold all tasks.
@@ -110,6 +111,12 @@ def fit(learner: Learner, train: DataFrame) -> Model:
     return estimator(learner, train).fit(train)
 
 
+def fit_all(learners: dict[str, Learner], train: DataFrame, parallelism: int = PARALLEL_FITS) -> dict[str, Model]:
+    """Every learner fitted to the same rows, `parallelism` at a time."""
+    with ThreadPool(max(1, min(parallelism, len(learners)))) as pool:
+        return dict(zip(learners, pool.map(lambda learner: fit(learner, train), learners.values(), chunksize=1)))
+
+
 def load_model(spark: SparkSession, path: str) -> Model:
     """A saved model of any of the learners' kinds."""
     return DefaultParamsReader.loadParamsInstance(path, spark)
@@ -179,3 +186,40 @@ def importances(model: Model, columns: list[str], n: int) -> DataFrame:
     rows = [(i, name, float(values[i])) for i, name in enumerate(columns)]
     table = SparkSession.active().createDataFrame(rows, "position int, feature string, importance double")
     return table.orderBy(F.desc("importance"), "position").limit(n).select("feature", "importance")
+
+
+# Fixed value: boosting fits later trees to twice the residual, the gradient of the squared error, so their gains are four times as large.
+GRADIENT_SCALE = 2.0
+
+
+def tree_nodes(model: Model) -> DataFrame:
+    """The nodes of all trees of a forest or a boosted model: tree, node, rows, prediction, and for inner nodes feature (its
+    place among the columns), threshold and gain, the fall of the squared error over the node's rows.
+
+    The model is written once and its nodes are read back as a table, so no tree is walked on the driver."""
+    spark = SparkSession.active()
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    node = F.col("nodeData")
+    boosted = "GBT" in type(model).__name__
+    scale = F.when(F.lit(boosted) & (F.col("treeID") > 0), GRADIENT_SCALE).otherwise(1.0)
+    inner = node["leftChild"] >= 0
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), node["id"].alias("node"), node["rawCount"].alias("rows"), node["prediction"].alias("prediction"),
+        F.when(inner, node["split"]["featureIndex"]).alias("feature"),
+        F.when(inner, node["split"]["leftCategoriesOrThreshold"][0]).alias("threshold"),
+        F.when(inner, node["gain"] * node["impurityStats"][0] / (scale * scale)).alias("gain"))
+
+
+def split_gains(model: Model, columns: list[str], n: int | None = None) -> DataFrame:
+    """(feature, splits, total_gain, mean_gain, importance) by falling importance: the mean gain of a feature's splits, as a share of
+    all features' means. Features that no split uses have importance 0; ties go by column order; the first `n` only, if given."""
+    used = tree_nodes(model).where("feature IS NOT NULL").groupBy("feature").agg(
+        F.count("*").alias("splits"), F.sum("gain").alias("total_gain"))
+    names = used.sparkSession.createDataFrame(list(enumerate(columns)), "place int, name string")
+    filled = names.join(used, F.col("place") == F.col("feature"), "left").select(
+        "place", F.col("name").alias("feature"), F.coalesce("splits", F.lit(0)).alias("splits"), F.coalesce("total_gain", F.lit(0.0)).alias("total_gain"))
+    means = filled.withColumn("mean_gain", F.when(F.col("splits") > 0, F.col("total_gain") / F.col("splits")).otherwise(0.0))
+    whole = F.sum("mean_gain").over(Window.partitionBy())  # one row a feature
+    ranked = means.withColumn("importance", F.coalesce(F.try_divide("mean_gain", whole), F.lit(0.0))).orderBy(F.desc("importance"), "place").drop("place")
+    return ranked if n is None else ranked.limit(n)

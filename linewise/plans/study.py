@@ -174,14 +174,14 @@ def compare_learners(
     learners = learners or COMPARED
     with models.held(vectors(scaled_matrix(matrix), folds)) as rows:
         train = rows.where(F.col("split") == "train")
-        with ThreadPool(len(learners)) as pool:
-            fits = pool.map_async(lambda learner: models.fit(learner, train), learners.values(), chunksize=1)
+        with ThreadPool(1) as aside:
+            others = aside.apply_async(models.fit_all, (learners, train, parallelism))
             tuned, _, search = models.grid_search(models.BOOSTED, train, grid, folds, parallelism=parallelism)
-            fitted = dict(zip(learners, fits.get())) | {TUNED: tuned}
+            fitted = others.get() | {TUNED: tuned}
         # written once: one scan scores every row with every model, and all reports start from these rows
         predictions = materialize(evaluate.predictions(fitted, rows), "predictions")
     metrics = evaluate.metrics(predictions)
     table = evaluate.compare(metrics)
-    ranked = models.importances(tuned, matrix.columns, 15)
+    ranked = models.split_gains(tuned, matrix.columns, 15)
     best = evaluate.best_model(table, list(fitted))
     return Comparison(fitted, search, predictions, metrics, table, best, ranked)

@@ -18,8 +18,8 @@ SF = "/root/testdata/sf0.001"
 TWINS = oracle_sql()
 # Iterative learners have no SQL form; tests/test_plans.py checks them against closed forms and floors.
 ROWS_ONLY = {
-    "ols", "ridge", "random_forest", "gbt", "boosted_tuned", "feature_importance", "scenario_model", "learner_comparison",
-    "dashboard_boosted", "dashboard_forest",
+    "ols", "ridge", "random_forest", "gbt", "grid_search_short", "feature_importance", "scenario_model", "learner_comparison",
+    "dashboard_boosted", "dashboard_forest", "boosted_importance",
 }
 
 
@@ -59,11 +59,20 @@ def test_learner_queries_run(spark, name, small_learners):
     rows = QUERIES[name](spark, SF).collect()
     assert rows
     if name == "learner_comparison":
-        assert [r["best"] for r in rows].count(True) == 1 and len(rows) == 4
-    if name == "boosted_tuned":
+        assert [r["best"] for r in rows].count(True) == 1 and len(rows) == 5
+    if name == "grid_search_short":
         assert len(rows) == 4 and sorted(r["rank"] for r in rows) == [1, 2, 3, 4]
 
 
+def test_five_learners_at_full_size(spark):
+    """Nothing cut: as many trees, as deep, as registered."""
+    rows = {r["model"]: r for r in QUERIES["learner_comparison"](spark, SF).collect()}
+    assert len(rows) == 5 and all(r["test_r2"] > 0.99 for r in rows.values())
+    best = max(rows.values(), key=lambda r: r["test_r2"])
+    assert best["best"] and best["model"] not in ("Linear Regression", "Ridge Regression")
+    assert rows["Gradient Boosting"]["rmse"] < rows["Linear Regression"]["rmse"]
+
+
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.count() == 10
