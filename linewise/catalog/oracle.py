@@ -316,6 +316,18 @@ def _grid() -> str:
 
 _DATED = "dated AS (SELECT * EXCLUDE (ORDERDATE_TEXT) REPLACE (try_strptime(ORDERDATE_TEXT, '%m/%d/%Y %H:%M') AS ORDERDATE) FROM sales)"
 _TO_DATED = _with(_SALES, _DATED)
+# The candidate formats in both engines' spelling; a cell is unlike where an earlier one reads it as another time.
+_FORMATS = {
+    "M/d/yyyy H:mm": "%m/%d/%Y %H:%M", "d/M/yyyy H:mm": "%d/%m/%Y %H:%M", "M/d/yyyy": "%m/%d/%Y", "d/M/yyyy": "%d/%m/%Y",
+    "yyyy-MM-dd HH:mm:ss": "%Y-%m-%d %H:%M:%S", "yyyy-MM-dd": "%Y-%m-%d",
+}
+_FORMAT_COUNTS = ", tried AS (SELECT ORDERDATE_TEXT AS x, " + ", ".join(
+    f"try_strptime(ORDERDATE_TEXT, '{f}') AS t{i}" for i, f in enumerate(_FORMATS.values())
+) + " FROM sales) " + " UNION ALL ".join(
+    f"SELECT '{f}' AS format, {i} AS place, COUNT(t{i}) AS n_fit, COUNT(*) FILTER (t{i} <> "
+    + (f"COALESCE({', '.join(f't{j}' for j in range(i))}, NULL)" if i else "NULL::TIMESTAMP") + ") AS n_unlike, COUNT(x) AS n_text FROM tried"
+    for i, f in enumerate(_FORMATS)
+)
 _APP = (
     f"cust AS ({_CUSTOMER_APP.format('dated')}), prod AS ({_PRODUCT_APP.format('dated')}), "
     "guarded AS (SELECT d.*, year(ORDERDATE) AS YEAR, month(ORDERDATE) AS MONTH, isodow(ORDERDATE) - 1 AS DAY_OF_WEEK, "
@@ -376,6 +388,8 @@ def oracle_sql() -> dict[str, str]:
         "SELECT 'records', false, COUNT(*), COUNT(*) FILTER (ORDERNUMBER % 100 = 1), '' FROM sales UNION ALL SELECT 'absent', false, 0, 0, ''",
         "stored_customer_stats": _TO_SALES + _CUSTOMER.format("sales"),
         "exact_split": _TO_SALES + _EXACT_SPLIT + "SELECT ROW_KEY, split FROM parted",
+        "exact_split_ratio": _TO_CLEANED
+        + "SELECT n - (n + 4) // 5 AS n_train, (n + 4) // 5 AS n_test, (n - (n + 4) // 5) / NULLIF((n + 4) // 5, 0) AS ratio FROM (SELECT COUNT(*) AS n FROM cleaned)",
         "exact_folds": _TO_SALES + _EXACT_SPLIT
         + "SELECT ROW_KEY, CAST(CASE WHEN i < r * (q + 1) THEN i // (q + 1) ELSE r + (i - r * (q + 1)) // q END AS INT) AS fold FROM "
         "(SELECT ROW_KEY, row_number() OVER (ORDER BY md5(ROW_KEY)[9:16], ROW_KEY) - 1 AS i, COUNT(*) OVER () // 5 AS q, COUNT(*) OVER () % 5 AS r "
@@ -477,6 +491,8 @@ def oracle_sql() -> dict[str, str]:
         "interaction_features": _TO_SALES + "SELECT ROW_KEY, QUANTITYORDERED * PRICEEACH AS QTY_PRICE_INTERACTION FROM sales",
         "status_msrp": _TO_SALES + f"SELECT ROW_KEY, {_STATUS_MSRP} AS STATUS_MSRP_RATIO FROM sales",
         "parse_dates_coerce": _TO_DATED + "SELECT ROW_KEY, ORDERDATE FROM dated",
+        "date_format_counts": _TO_SALES + _FORMAT_COUNTS,
+        "parse_dates_discovered": _TO_DATED + "SELECT ROW_KEY, ORDERDATE FROM dated",
         "parse_dates_strict": _TO_SALES + "SELECT ROW_KEY, CAST(ORDERDATE AS TIMESTAMP) AS ORDERDATE FROM sales",
         "temporal_features": _TO_SALES
         + f"SELECT ROW_KEY, {_DOW} AS DAY_OF_WEEK, {_DOM} AS DAY_OF_MONTH, {_WEEK} AS WEEK_OF_YEAR FROM sales",

@@ -241,13 +241,15 @@ def guarded_features(spark, sf_dir):
 # --- joins -----------------------------------------------------------------------------------------------------
 
 
-def _joined(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    lines = df.select(S.ROW_KEY, key, "SALES")
-    return attach(lines, stats, [key], rows=features.GROUP_ROWS).drop(features.GROUP_ROWS)
+def _joined(df: DataFrame, stats: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """The star is joined and its line items are read once; statistics and lines start from the few columns written."""
+    lines = materialize(df.select(S.ROW_KEY, key, "ORDERNUMBER", "QUANTITYORDERED", "SALES"), "lines")
+    joined = attach(lines.select(S.ROW_KEY, key, "SALES"), stats(lines), [key], rows=features.GROUP_ROWS)
+    return joined.drop(features.GROUP_ROWS)
 
 
-over("join_customer_stats", lambda df: _joined(df, features.customer_stats(df), "CUSTOMERNAME"))
-over("join_product_stats", lambda df: _joined(df, features.product_stats(df), "PRODUCTLINE"))
+over("join_customer_stats", lambda df: _joined(df, features.customer_stats, "CUSTOMERNAME"))
+over("join_product_stats", lambda df: _joined(df, features.product_stats, "PRODUCTLINE"))
 
 # --- aggregates ------------------------------------------------------------------------------------------------
 
@@ -320,6 +322,9 @@ over("interaction_features", lambda df: df.select(
 over("status_msrp", lambda df: df.select(S.ROW_KEY, features.shipped_msrp().alias("STATUS_MSRP_RATIO")))
 over("parse_dates_coerce", lambda df: features.parse_dates(
     df.select(S.ROW_KEY, "ORDERDATE"), "ORDERDATE", strict=False), dashboard_lines)
+over("date_format_counts", lambda df: features.format_counts(df.select("ORDERDATE"), "ORDERDATE"), dashboard_lines)
+over("parse_dates_discovered", lambda df: features.parse_discovered(
+    materialize(df.select(S.ROW_KEY, "ORDERDATE"), "dates"), "ORDERDATE", strict=False), dashboard_lines)
 over("parse_dates_strict", lambda df: features.parse_dates(
     df.select(S.ROW_KEY, F.date_format("ORDERDATE", "M/d/yyyy H:mm").alias("ORDERDATE")), "ORDERDATE", strict=True))
 over("temporal_features", lambda df: features.date_parts(
@@ -361,6 +366,13 @@ def exact_split(spark, sf_dir):
     return prepare.exact_splitter(keys)(keys)
 
 
+@register
+def exact_split_ratio(spark, sf_dir):
+    """Sizes of the parts of the study's own rows, split exactly."""
+    lines = study.cleaned(star.sales(spark, sf_dir)).select(S.ROW_KEY)
+    return prepare.split_ratio(study.exact_splitter(star.sales(spark, sf_dir))(lines))
+
+
 @register
 def exact_folds(spark, sf_dir):
     """Folds of that train part, of sizes that differ by one at most."""

@@ -1,15 +1,17 @@
 """Exact quantiles of very large columns.
 
-The built-in exact percentile keeps every distinct value of a column in one task. Here each pass only
-counts values per bucket, so what is shuffled and ranked has a proven size for any data:
-
-1. `octave` pass: 1,024 order-preserving buckets per power of two, at most about 4.3 million per column.
-   One bucket spans at most 2^42 representable doubles.
-2. `linear` pass, only for ranks whose bucket is still large: 2^21 equal slices of that bucket, each with
-   at most about 2^21 representable doubles.
-3. `value` pass: counts per value inside the chosen slice.
-
-Each pass reads only the asked columns; the driver sees two rows per asked quantile.
+The built-in exact percentile keeps every distinct value of a column in one task. Here a small mergeable sketch of each column
+brackets the wanted ranks first, and only what lies inside the brackets is counted exactly:
+
+1. `bracket` pass: a sketch of 2,048 steps a column, merged task by task, gives two values round each asked quantile;
+   one aggregate row then tells how many values are below and up to each, hence whether the rank is inside.
+2. `octave` pass, only for columns with a rank outside (in small tables, where a step is less than a row): 1,024
+   order-preserving buckets per power of two, at most about 4.3 million per column, each of at most 2^42 representable doubles.
+3. `linear` pass, only for ranks whose bracket or bucket is still large: 2^21 equal slices of it.
+4. `value` pass: counts per value inside the chosen bracket, bucket or slice.
+
+Each pass reads only the asked columns; the driver sees two rows per asked quantile, and whatever the sketch says, the
+values are exact.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from linewise.functions.semantics import number
 
 SLICES_PER_OCTAVE = 1024
 LINEAR_SLICES = 2**21
+# Relative rank error of a column's sketch; brackets are twice as far from the asked rank.
+SKETCH_ERROR = 1 / 2048
 # Buckets with at most this many rows go straight to the value pass.
 SMALL_BUCKET = 1_000_000
 
@@ -46,13 +50,20 @@ def exact_quantiles(
     if not columns:
         return {}
     doubles = df.select(*[number(f.name, f.dataType).cast("double").alias(f.name) for f in df.schema if f.name in columns])
-    values = doubles.unpivot([], doubles.columns, "column", "x").where(F.col("x").isNotNull())
 
-    totals, found = _octave_pass(values, probabilities)
+    def values(names) -> DataFrame:
+        kept = doubles.select(*sorted(set(names)))
+        return kept.unpivot([], kept.columns, "column", "x").where(F.col("x").isNotNull())
+
+    totals, found, missed = _bracket_pass(doubles, probabilities)
+    if missed:
+        _, others = _octave_pass(values(missed), probabilities)
+        found = [r for r in found if r.column not in missed] + others
     large = [r for r in found if r.low < r.high and r.rows > small_bucket]
-    found = [r for r in found if r not in large] + _linear_pass(values, large)
+    found = [r for r in found if r not in large] + (_linear_pass(values(r.column for r in large), large) if large else [])
     at_rank = {(r.column, rank): r.low for r in found if r.low == r.high for rank, _ in r.ranks}
-    at_rank.update(_value_pass(values, [r for r in found if r.low < r.high]))
+    if wide := [r for r in found if r.low < r.high]:
+        at_rank.update(_value_pass(values(r.column for r in wide), wide))
 
     result: dict[tuple[str, float], float | None] = {}
     for column in columns:
@@ -66,6 +77,39 @@ def exact_quantiles(
     return result
 
 
+def _bracket_pass(doubles: DataFrame, probabilities: list[float]) -> tuple[dict[str, int], list[_Range], set[str]]:
+    """Values of each column, ranges that hold its wanted ranks, and the columns where the sketch has missed one."""
+    ends = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-2 * SKETCH_ERROR, 2 * SKETCH_ERROR)})
+    sketched = dict(zip(doubles.columns, doubles.approxQuantile(doubles.columns, ends, SKETCH_ERROR)))
+    brackets = {
+        (c, p): tuple(marks[ends.index(min(1.0, max(0.0, p + d)))] for d in (-2 * SKETCH_ERROR, 2 * SKETCH_ERROR))
+        for c, marks in sketched.items() if marks for p in probabilities
+    }
+    if not brackets:
+        return {}, [], set()
+    # one row a column and value: an aggregate over hundreds of columns would not be compiled
+    cells = doubles.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in doubles.columns])).alias("place", "x")).where(F.col("x").isNotNull())
+
+    def bound(p: float, end: int) -> Column:
+        return F.array(*[F.lit(brackets[c, p][end] if (c, p) in brackets else None).cast("double") for c in doubles.columns])[F.col("place")]
+
+    counts = [F.count("*").alias("n")]
+    for i, p in enumerate(probabilities):
+        counts += [F.count_if(F.col("x") < bound(p, 0)).alias(f"below{i}"), F.count_if(F.col("x") <= bound(p, 1)).alias(f"upto{i}")]
+    rows = {doubles.columns[r["place"]]: r for r in cells.groupBy("place").agg(*counts).collect()}  # one row a column
+    totals = {c: r["n"] for c, r in rows.items()}
+    inside, missed = [], set()
+    for (c, p), (low, high) in brackets.items():
+        i = probabilities.index(p)
+        position, below, upto = (totals[c] - 1) * p, rows[c][f"below{i}"], rows[c][f"upto{i}"]
+        for rank in {math.floor(position), math.ceil(position)}:
+            if below <= rank < upto:
+                inside.append((c, low, high, upto - below, rank, rank - below))
+            else:
+                missed.add(c)
+    return totals, _ranges(inside), missed
+
+
 def _octave_bucket(x: Column) -> Column:
     """Order-preserving bucket of any double: sign, then 1,024 slices per power of two."""
     offset = 1_100_000.0  # above 1,074 octaves of 1,024 slices, so magnitudes stay positive

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linewise.functions.semantics import exact_mean, exact_sum, safe_div
-from linewise.schema import COST_SHARE, DATE_FORMATS, SHIPPED
+from linewise.schema import CANDIDATE_FORMATS, COST_SHARE, DATE_FORMATS, SHIPPED
 
 GROUP_ROWS = "_GROUP_ROWS"
 
@@ -55,6 +57,57 @@ def parse_dates(df: DataFrame, column: str, strict: bool, formats: list[str] | N
     return df.withColumn(column, parsed)
 
 
+@dataclass(frozen=True)
+class DateFormat:
+    """The format found for a text column: how many of its cells it fits, and the formats that fit as many but mean other days."""
+
+    format: str | None
+    n_fit: int
+    n_text: int
+    ambiguous: list[str]
+
+
+def format_counts(df: DataFrame, column: str, formats: list[str] | None = None) -> DataFrame:
+    """(format, place, n_fit, n_unlike, n_text): for each candidate the cells it fits, and those of them that a format before it
+    in the list reads as another time. One aggregate tries all candidates on the whole column."""
+    formats = CANDIDATE_FORMATS if formats is None else formats
+    text, n = F.col(column), len(formats)
+    times = df.select(text.alias("text"), F.array(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).alias("t"))
+
+    def unlike(i: int) -> Column:
+        earlier = F.coalesce(*[F.col("t")[j] for j in range(i)]) if i else F.lit(None).cast("timestamp")
+        return F.count_if(F.col("t")[i] != earlier)
+
+    counted = times.agg(
+        F.array(*[F.count(F.col("t")[i]) for i in range(n)]).alias("fit"), F.array(*[unlike(i) for i in range(n)]).alias("other"),
+        F.count("text").alias("n_text"))
+    rows = F.arrays_zip(F.array(*[F.lit(f) for f in formats]).alias("format"), F.col("fit"), F.col("other"))
+    return counted.select("n_text", F.posexplode(rows).alias("place", "row")).select(
+        F.col("row.format").alias("format"), "place", F.col("row.fit").alias("n_fit"), F.col("row.other").alias("n_unlike"), "n_text")
+
+
+def discover_format(df: DataFrame, column: str, formats: list[str] | None = None, report=print) -> DateFormat:
+    """The format that fits most cells, of equals the first: month before day. If one that fits as many reads some of them as other
+    days, all cells have a day up to 12, and that is reported."""
+    rows = sorted(format_counts(df, column, formats).collect(), key=lambda r: (-r["n_fit"], r["place"]))  # one row a format
+    best = rows[0]
+    if not best["n_fit"]:
+        return DateFormat(None, 0, best["n_text"], [])
+    rivals = [r["format"] for r in rows[1:] if r["n_fit"] == best["n_fit"] and r["n_unlike"]]
+    if rivals:
+        report(f"{column}: {best['format']} and {', '.join(rivals)} fit alike and mean different days; {best['format']} is taken")
+    return DateFormat(best["format"], best["n_fit"], best["n_text"], rivals)
+
+
+def parse_discovered(df: DataFrame, column: str, strict: bool, formats: list[str] | None = None, report=print) -> DataFrame:
+    """`parse_dates` with the one format that is found for the whole column; without any that fits, all cells count as bad."""
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return parse_dates(df, column, strict)
+    formats = CANDIDATE_FORMATS if formats is None else formats
+    found = discover_format(df, column, formats, report)
+    return parse_dates(df, column, strict, [found.format or formats[0]])
+
+
 # Part name -> expression of a date column; weekdays count from Monday = 0, weeks are ISO weeks.
 DATE_PARTS = {
     "YEAR": F.year,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,19 +67,18 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column."""
     columns = numeric_columns(df) if columns is None else columns
-    df = materialize(df.select(*columns), "numbers")  # three passes follow
+    df = materialize(df.select(*columns), "numbers")  # several passes follow
     types = {f.name: f.dataType for f in df.schema}
     quartile = exact_quantiles(df, columns, QUARTILES)
 
-    def stats(c: str) -> Column:
-        x = number(c, types[c]).cast("double")
-        parts = {
-            "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x),
-            **{f"q{int(p * 100)}": F.lit(quartile[c, p]).cast("double") for p in QUARTILES},
-            "max": F.max(x),
-        }
-        shown = {k: F.round(v, digits) if digits is not None else v for k, v in parts.items()}
-        return F.struct(F.lit(c).alias("column_name"), F.count(x).alias("count"), *[v.alias(k) for k, v in shown.items()])
-
-    wide = df.agg(*[stats(c).alias(c) for c in columns])
-    return wide.select(F.inline(F.array(*[F.col(c) for c in columns])))
+    # one row a column and value: an aggregate over hundreds of columns would not be compiled
+    cells = df.select(F.posexplode(F.array(*[number(c, types[c]).cast("double") for c in columns])).alias("place", "x"))
+    every = df.sparkSession.createDataFrame([(i,) for i in range(len(columns))], "place int")  # those of an empty table too
+    found = cells.groupBy("place").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    of = lambda values: F.array(*[F.lit(v) for v in values])[F.col("place")]
+    quartiles = {f"q{int(p * 100)}": of([quartile[c, p] for c in columns]).cast("double") for p in QUARTILES}
+    shown = {k: quartiles.get(k, F.col(k)) for k in ("mean", "std", "min", *quartiles, "max")}
+    rounded = {k: F.round(v, digits) if digits is not None else v for k, v in shown.items()}
+    rows = every.join(F.broadcast(found), "place", "left")  # one row a column
+    return rows.select(of(columns).alias("column_name"), F.coalesce("n", F.lit(0)).alias("count"), *[v.alias(k) for k, v in rounded.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -21,14 +22,24 @@ def cleaned(df: DataFrame) -> DataFrame:
     return clean.drop_null(clean.rename(kept, S.ADDRESS_RENAME), S.REQUIRED_COLUMNS)
 
 
-def filled(df: DataFrame, leak_free: bool = False, columns: list[str] | None = None) -> DataFrame:
+Splitter = Callable[[DataFrame], DataFrame]
+
+
+def exact_splitter(df: DataFrame) -> Splitter:
+    """Split of the cleaned lines whose test part is exactly a fifth of them, for `study_matrix`."""
+    return prepare.exact_splitter(cleaned(df).select(S.ROW_KEY))
+
+
+def filled(
+    df: DataFrame, leak_free: bool = False, columns: list[str] | None = None, splitter: Splitter = prepare.with_split
+) -> DataFrame:
     """Cleaned lines with numeric NULLs replaced by medians; only `columns`, if given.
 
     Written once: medians, statistics and features each scan it, reading only the columns they need.
     """
     lines = cleaned(df)
     lines = lines if columns is None else lines.select(*columns)
-    return clean.materialize_filled(lines, "cleaned", lambda rows: _fit_rows(rows, leak_free))
+    return clean.materialize_filled(lines, "cleaned", lambda rows: _fit_rows(rows, leak_free, splitter))
 
 
 def filled_lazily(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,11 +48,11 @@ def filled_lazily(df: DataFrame, columns: list[str]) -> DataFrame:
     return clean.median_fill(cleaned(df).select(S.ROW_KEY, *[c for c in columns if c != S.ROW_KEY]))
 
 
-def _fit_rows(df: DataFrame, leak_free: bool) -> DataFrame:
+def _fit_rows(df: DataFrame, leak_free: bool, splitter: Splitter) -> DataFrame:
     """Rows that fitted values may come from: all of them, or the train part only."""
     if not leak_free:
         return df
-    return prepare.with_split(df).where(F.col("split") == "train").select(*df.columns)
+    return splitter(df).where(F.col("split") == "train").select(*df.columns)
 
 
 def with_statistics(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
@@ -53,18 +64,20 @@ def with_statistics(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame
     return out.drop(features.GROUP_ROWS)
 
 
-def study_features(df: DataFrame, leak_free: bool = False, columns: list[str] | None = None) -> DataFrame:
+def study_features(
+    df: DataFrame, leak_free: bool = False, columns: list[str] | None = None, splitter: Splitter = prepare.with_split
+) -> DataFrame:
     """Cleaned, filled lines with price, calendar, customer, product and interaction columns.
 
     `leak_free` fits medians and statistics on the train part only and leaves out features made from the target.
     """
-    base = filled(df, leak_free, columns)
+    base = filled(df, leak_free, columns, splitter)
     out = features.price_features(base)
     if leak_free:
         out = out.drop(*S.TARGET_DERIVED_FEATURES)
     out = features.parse_dates(out, "ORDERDATE", strict=True)
     out = features.date_parts(out, "ORDERDATE", ["DAY_OF_WEEK", "DAY_OF_MONTH", "WEEK_OF_YEAR"])
-    out = with_statistics(out, _fit_rows(base, leak_free))
+    out = with_statistics(out, _fit_rows(base, leak_free, splitter))
     return features.interaction_features(out)
 
 
@@ -89,18 +102,19 @@ class Matrix:
         return self.rows.where(F.col("split") == name)
 
 
-def study_matrix(df: DataFrame, leak_free: bool = False) -> Matrix:
-    """Encoded, filled and split feature matrix, not yet scaled."""
+def study_matrix(df: DataFrame, leak_free: bool = False, splitter: Splitter = prepare.with_split) -> Matrix:
+    """Encoded, filled and split feature matrix, not yet scaled. `splitter` marks the parts: about a fifth for testing, or
+    `exact_splitter(df)` for exactly that."""
     columns = [*S.CATEGORICAL_FEATURES, *numeric_features(leak_free)]
     selected = clean.materialize_filled(
-        prepare.with_split(feature_select(study_features(df, leak_free, S.FEATURE_SOURCES), leak_free)),
+        splitter(feature_select(study_features(df, leak_free, S.FEATURE_SOURCES, splitter), leak_free)),
         "features",
-        lambda rows: _fit_rows(rows, leak_free),
+        lambda rows: _fit_rows(rows, leak_free, splitter),
     )
-    codes = prepare.fit_codes(_fit_rows(selected, leak_free), S.CATEGORICAL_FEATURES)
+    codes = prepare.fit_codes(_fit_rows(selected, leak_free, splitter), S.CATEGORICAL_FEATURES)
     encoded = prepare.encode(selected, codes, S.CATEGORICAL_FEATURES)
     if leak_free:  # only then can a label be unknown
-        encoded = clean.median_fill(encoded, S.CATEGORICAL_FEATURES, fit_on=_fit_rows(encoded, leak_free))
+        encoded = clean.median_fill(encoded, S.CATEGORICAL_FEATURES, fit_on=_fit_rows(encoded, leak_free, splitter))
     return Matrix(encoded, columns, codes)
 
 

@@ -64,5 +64,8 @@ NULL_TOKENS = [
 # Date formats tried in turn; month before day.
 DATE_FORMATS = ["M/d/yyyy H:mm", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
 
+# Formats tried on a whole column when its own is looked for; of equals the first is taken, so month goes before day.
+CANDIDATE_FORMATS = ["M/d/yyyy H:mm", "d/M/yyyy H:mm", "M/d/yyyy", "d/M/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+
 # Names a missing category gets before it is encoded.
 MISSING_LABEL = "nan"
