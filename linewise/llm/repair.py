@@ -18,8 +18,9 @@ from linewise.session import scratch_path
 
 #: Ids that a shard holds about; a longer document has a shard of its own.
 SHARD_IDS = 2_000_000
-#: Rounds of replacement, pairs replaced in one, and how often a pair must occur.
-ROUNDS, PAIRS, LEAST = 6, 4096, 8
+#: Pairs replaced in a round at most, the share of the commonest pair's count that the others need, and how often a pair must
+#: occur: a rule takes twelve bytes of the file, a place it is used at saves two.
+PAIRS, NEAR, LEAST = 4096, 4, 8
 _HASH, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
 
 
@@ -62,24 +63,29 @@ class Grammar:
 def compress(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[Grammar, np.ndarray]:
     """A grammar for `ids`, none of whose symbols crosses a place where `last` is true, and where those places are now.
 
-    A round counts adjacent pairs by hash, takes the most frequent as rules and replaces them where they don't overlap:
-    of two that do, the more frequent stays, and of a run of one pair every other. Rules that were used fewer than two
-    times in their round are taken back. Symbols stay in two bytes if the ids fit there.
+    A round counts adjacent pairs by hash, takes the most frequent and those nearly as frequent as rules and replaces them where
+    they don't overlap: of two that do, the more frequent stays, and of a run of one pair every other. Rules that were used fewer
+    than two times in their round are taken back; of pairs that share a hash one waits for a later round, which hashes otherwise.
+    Rounds go on until no pair is frequent. Where symbols would outgrow two bytes, which makes every one of them longer, rounds
+    stop unless the pairs left would still shorten the sequence by half.
     """
     seq, last = ids.astype(np.int64), last.copy()
-    room = (1 << 16) - terminals if terminals < 1 << 16 else 1 << 24
+    room = (1 << 16) - terminals if terminals < 1 << 16 else 1 << 31
     rules: list[np.ndarray] = []
-    lengths, n_rules = [np.zeros(0, np.int64)], 0
-    for _ in range(ROUNDS):
-        take = min(PAIRS, room - n_rules)
-        if take <= 0 or len(seq) < 2:
-            break
+    lengths, n_rules, turn = [np.zeros(0, np.int64)], 0, 0
+    while len(seq) > 1:
         code = seq[:-1] << 32 | seq[1:]
-        slot = ((code.view(np.uint64) * _HASH) >> _SHIFT).astype(np.int64)
+        slot = (((code.view(np.uint64) + np.uint64(turn)) * _HASH) >> _SHIFT).astype(np.int64)
+        turn += 1
         free = ~last[:-1]
         counts = np.bincount(slot[free], minlength=1 << 20)
+        if n_rules >= room:
+            if counts[counts >= LEAST].sum() < len(seq):  # every place replaced takes two symbols' room: half of them at best
+                break
+            room = 1 << 31
+        take = min(PAIRS, room - n_rules)
         chosen = np.argpartition(-counts, take - 1)[:take]
-        chosen = chosen[counts[chosen] >= LEAST]
+        chosen = chosen[counts[chosen] >= max(LEAST, counts[chosen].max() // NEAR)]
         if not len(chosen):
             break
         chosen = chosen[np.lexsort((chosen, -counts[chosen]))]

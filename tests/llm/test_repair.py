@@ -28,6 +28,53 @@ def test_chunked_ids_equal_the_library(path, monkeypatch):
     assert [x.tolist() for x in tokens.Encoder(path)(texts)] == want
 
 
+def plain(ids, least):
+    """Re-Pair one pair at a time: (rules, symbols left)."""
+    seq, n = list(ids), 0
+    while True:
+        counts, before = {}, None
+        for i, pair in enumerate(zip(seq, seq[1:])):
+            if pair == before and pair[0] == pair[1]:  # overlaps the one before
+                before = None
+                continue
+            counts[pair], before = counts.get(pair, 0) + 1, pair
+        if not counts or max(counts.values()) < least:
+            return n, len(seq)
+        best, out, i = max(counts, key=counts.get), [], 0
+        while i < len(seq):
+            if tuple(seq[i : i + 2]) == best:
+                out.append(10**6 + n)
+                i += 2
+            else:
+                out.append(seq[i])
+                i += 1
+        seq, n = out, n + 1
+
+
+def test_copies_shrink_to_about_one_symbol_each():
+    rng = np.random.default_rng(4)
+    passage, own = rng.integers(0, 49_000, 1000), rng.integers(0, 49_000, 200_000)
+    ids = np.tile(passage, 1000)
+    grammar, _ = repair.compress(ids, np.arange(1, len(ids) + 1) % 1000 == 0, 49_152)
+    assert len(grammar.sequence) <= 1100 and len(grammar.rules) <= 1100
+    # also among other ids
+    grammar, _ = repair.compress(np.concatenate([ids, own]), np.zeros(len(ids) + len(own), bool), 49_152)
+    assert len(grammar.sequence) <= 201_500
+    # a run halves until its pairs are rare
+    grammar, _ = repair.compress(np.full(1 << 16, 7), np.zeros(1 << 16, bool), 49_152)
+    assert len(grammar.sequence) <= 2 * repair.LEAST
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_grammar_is_not_much_larger_than_one_pair_at_a_time(seed):
+    rng = random.Random(seed)
+    vocabulary = [[rng.randrange(300) for _ in range(rng.randint(1, 6))] for _ in range(80)]
+    ids = [i for _ in range(1500) for i in vocabulary[int(rng.paretovariate(0.7)) % 80]]
+    rules, left = plain(ids, repair.LEAST)
+    grammar, _ = repair.compress(np.array(ids), np.zeros(len(ids), bool), 300)
+    assert 2 * len(grammar.rules) + len(grammar.sequence) <= 1.2 * (2 * rules + left)
+
+
 def test_grammar_expands_to_what_it_was_made_from():
     rng = np.random.default_rng(2)
     for n, kinds in ((0, 5), (1, 5), (2, 1), (5000, 1), (5000, 3), (20_000, 40), (3000, 60_000)):
