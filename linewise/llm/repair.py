@@ -20,7 +20,7 @@ from linewise.session import scratch_path
 SHARD_IDS = 2_000_000
 #: Pairs replaced in a round at most, the share of the commonest pair's count that the others need, and how often a pair must
 #: occur: a rule takes twelve bytes of the file, a place it is used at saves two.
-PAIRS, NEAR, LEAST = 4096, 4, 8
+PAIRS, NEAR, LEAST = 4096, 64, 8
 _HASH, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
 
 
@@ -72,8 +72,8 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[Grammar
     seq, last = ids.astype(np.int64), last.copy()
     room = (1 << 16) - terminals if terminals < 1 << 16 else 1 << 31
     rules: list[np.ndarray] = []
-    lengths, n_rules, turn = [np.zeros(0, np.int64)], 0, 0
-    while len(seq) > 1:
+    lengths, n_rules, turn, idle = [np.zeros(0, np.int64)], 0, 0, 0
+    while len(seq) > 1 and idle < 3:  # a round may make no rule only because its commonest pairs share a hash with others
         code = seq[:-1] << 32 | seq[1:]
         slot = (((code.view(np.uint64) + np.uint64(turn)) * _HASH) >> _SHIFT).astype(np.int64)
         turn += 1
@@ -105,8 +105,9 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[Grammar
         used = np.bincount(key[at], minlength=take)
         number = np.full(take + 1, -1, np.int64)
         kept = np.flatnonzero(used >= 2)
-        if not len(kept):
-            break
+        idle = 0 if len(kept) else idle + 1
+        if idle:
+            continue
         number[kept] = terminals + n_rules + np.arange(len(kept))
         at = at[number[key[at]] >= 0]
         new = pair[chosen[kept]]
