@@ -19,6 +19,7 @@ HEADLINE = [
     "median_fill_features", "cv_baselines", "metrics_by_split", "comparison_table", "residual_histogram",
     "scenario_estimates", "ols", "ridge", "describe_features", "label_encode_all", "actual_vs_predicted", "predictions_sink",
     "csv_roundtrip", "csv_malformed", "kpis_app", "sales_histogram_cleaned", "forest_stump",
+    "exact_split", "date_format_counts", "csv_column_kinds",
 ]
 
 
