@@ -178,9 +178,10 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_t
     searched after the other, each continuing the spans of those before.
 
     NULL texts and texts without words have no spans; NULL or wordless items have no phrase. Repeated rows are judged
-    one by one. `docs` must not have columns named n_words, spans or items already.
+    one by one. An empty table of documents gives no rows, an empty one of items no spans. Columns of `docs` named n_words,
+    spans or items, in any case, are replaced.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "spans", "items")])
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     items = items.where("item is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]

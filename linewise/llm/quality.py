@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewise.llm.common import in_small_batches, remainder, texts_of, tidy, with_free_names
@@ -24,11 +24,13 @@ SLICE, SCORED_BYTES = 1024, 1 << 20
 
 @dataclass
 class Settings:
-    """`rows` bounds the labelled rows learnt from (half of each label, the lowest hashes of doc_id), and `row_bytes` their
-    size; scoring has no bounds."""
+    """`rows` bounds the labelled rows learnt from (half of each label, the lowest hashes of doc_id). Of a text of over
+    `row_chars` characters, `row_parts` stretches of `row_chars` in all are learnt from, evenly spaced from its beginning to
+    its end. Scoring has no bounds."""
 
     rows: int = 2400
-    row_bytes: int = 16_384
+    row_chars: int = 16_384
+    row_parts: int = 8
     filters: int = 32
     embedding: int = 8
     hidden: int = 24
@@ -170,11 +172,19 @@ def train(texts: list[bytes], labels: list[int], share: float, settings: Setting
     return net
 
 
+def _sampled(text: Column, s: Settings) -> Column:
+    """The text, or the evenly spaced stretches of a long one."""
+    part = s.row_chars // s.row_parts
+    room = F.length(text) - part
+    starts = [F.floor(room * i / max(1, s.row_parts - 1)).cast("int") + 1 for i in range(s.row_parts)]
+    return F.when(F.length(text) <= s.row_chars, text).otherwise(F.concat(*[F.substring(text, x, F.lit(part)) for x in starts]))
+
+
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Network:
     """Fits a network to a bounded sample of `docs` (doc_id, text) with `labels` (doc_id, quality 0 or 1).
 
     Rows whose id has remainder 2 (crc32 of it as text, modulo 4) are held out. Other labels, NULL labels and NULL ids
-    are passed over. Only texts go into the network.
+    are passed over. Only texts go into the network, long ones by stretches of them (Settings).
     """
     s = settings or Settings()
     usable = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(remainder("doc_id", 4) != 2).distinct()
@@ -182,16 +192,20 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     rank = F.xxhash64("doc_id")
     chosen = None
     for label in (0, 1):
-        part = docs.join(usable.where(F.col("quality") == label), "doc_id").where(F.octet_length("text") <= s.row_bytes)
+        part = docs.join(usable.where(F.col("quality") == label), "doc_id").where("text is not null")
         part = part.select("doc_id", "quality").orderBy(rank, "doc_id").limit(s.rows // 2)
         chosen = part if chosen is None else chosen.union(part)
     # a few thousand ids; then their texts
-    sample = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("quality", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "quality").limit(s.rows).collect()
+    sample = docs.where("text is not null").join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "quality", _sampled(F.col("text"), s).alias("text"))
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "quality").limit(s.rows).collect()
     return train([x["text"].encode() for x in sample], [x["quality"] for x in sample], 0.5 if share is None else share, s)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """`docs` with the column score: the probability of label 1, from the whole text (NULL counts as empty)."""
+    """`docs` with the column score: the probability of label 1, from the whole text (NULL counts as empty).
+
+    A column of that name, in any case, is replaced. Texts of any length are scored whole, in slices of blocks."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == "score"])
     shared, names = docs.sparkSession.sparkContext.broadcast(net), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +234,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settin
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of `docs` (doc_id, text).
 
-    An empty or NULL text is scored as one chunk of padding. Repeated rows get equal scores; a NULL id is not held out.
+    An empty or NULL text is scored as one chunk of padding, a very long one whole. Repeated rows get equal scores; a NULL
+    id is not held out. An empty table gives no rows; without usable labels every score is 0.5.
     """
     net = learn(docs, labels, settings)
     scored = score(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), net)

@@ -75,21 +75,28 @@ def _collide(prefix: int, depth: int, fps: np.ndarray, radius: int, distance: in
         return
     low = np.uint64((1 << rest) - 1)
     base = (fps & low) | np.uint64(prefix << rest & (1 << 64) - 1)
-    made, source = [], []
+    made, source, flips = [], [], []
     for r in range(radius + 1):
         own = np.flatnonzero(gone == r)
         made.append((base[own][:, None] ^ masks[radius - r]).ravel())
         source.append(np.repeat(own.astype(np.int32), len(masks[radius - r])))
+        if distance % 2:
+            flips.append(np.tile(np.bitwise_count(masks[radius - r]) + np.uint8(r), len(own)))
     variants, owner = np.concatenate(made), np.concatenate(source)
     del made, source
-    order = np.argsort(variants)
+    order = np.lexsort((np.concatenate(flips), variants)) if distance % 2 else np.argsort(variants)
     same = np.flatnonzero(variants[order[1:]] == variants[order[:-1]])
     if not len(same):
         return
-    # a run of equal variants is a clique: its first member is linked to each of the others
+    # a run of equal variants is linked to its first member, which is within `distance` of all: at an even distance all
+    # members are within half of it; at an odd one the first is the nearest, and a run without a member within the
+    # smaller half says nothing, as any linked pair also shares a variant that is within it from one of the two
     head = np.concatenate([[True], same[1:] != same[:-1] + 1])
-    hub = owner[order[same[head]]][np.cumsum(head) - 1]
-    pairs = np.unique(np.stack([hub, owner[order[same + 1]]]).astype(np.int64), axis=1)
+    first = order[same[head]][np.cumsum(head) - 1]
+    if distance % 2:
+        near = np.concatenate(flips)[first] <= distance // 2
+        first, same = first[near], same[near]
+    pairs = np.unique(np.stack([owner[first], owner[order[same + 1]]]).astype(np.int64), axis=1)
     a, b = fps[pairs[0]], fps[pairs[1]]
     true = np.bitwise_count(a ^ b) <= distance
     yield np.stack([a[true], b[true]])
@@ -134,7 +141,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     """doc_id, fingerprint (hex) and component_id, the smallest doc_id reachable over links, for each row of `docs` (doc_id, text).
 
     NULL, empty and wordless texts have fingerprint zero and are linked like any other. NULL ids take the id of their
-    component; a component of NULL ids only has component_id NULL. Repeated rows stay.
+    component; a component of NULL ids only has component_id NULL. Repeated rows stay. An empty table gives none. Texts
+    of any length are hashed whole, in blocks of shingles.
     """
     marked = materialize(fingerprints(docs.select("doc_id", "text"), shingle).drop("text"), "simhash")
     joined = _components(marked, distance, F.col("doc_id"))

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers import frame, odd_rows, prose
+from pyspark.sql import functions as F
 
 from linewise.llm import quality
 from linewise.llm.common import documents, table
@@ -50,6 +51,44 @@ def test_scores_do_not_depend_on_neighbours_or_slices(monkeypatch):
     assert np.allclose(net.score(texts), want, atol=1e-6)
 
 
+def plain_logit(net, text):
+    """The same network written place by place; each text is padded by WIDTH at least, so the place that ends with it is all padding."""
+    size = -(-(len(text) + quality.WIDTH) // quality.BLOCK) * quality.BLOCK
+    symbols = list(text) + [quality.PAD] * (size - len(text))
+    answers = []
+    for block in range(0, size, quality.BLOCK):
+        places = [p for p in range(block, block + quality.BLOCK, quality.STRIDE) if p + quality.WIDTH < size]
+        seen = [np.concatenate([net.embedding[s] for s in symbols[p : p + quality.WIDTH]]) @ net.filters for p in places]
+        answers.append(np.maximum(np.max(seen, axis=0) + net.bias, 0))
+    chunks = [np.maximum(a, b) for a, b in zip(answers, answers[1:] + answers[-1:])]
+    hidden = np.array([np.maximum(c @ net.chunk + net.chunk_bias, 0) for c in chunks])
+    return np.concatenate([hidden.max(axis=0), hidden.mean(axis=0)]) @ net.last + net.offset[0] + net.shift
+
+
+def test_scores_equal_a_plain_convolution():
+    texts = [prose(i, 11 * i).encode() for i in range(12)] + [b"", b"z" * 119, b"z" * 120, b"z" * 121, bytes(range(256)) * 3]
+    net = quality.train(texts, [i % 2 for i in range(len(texts))], 0.4, small())
+    want = [1 / (1 + np.exp(-plain_logit(net, t))) for t in texts]
+    assert np.allclose(net.score(texts), want, atol=1e-5)
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    s = quality.Settings(rows=40, row_chars=800, row_parts=4, steps=60, filters=8, hidden=8)
+    rows = [(i, prose(i, 400) + (" SPAM!! " * 300 if i % 2 else "")) for i in range(60)]
+    sampled = spark.createDataFrame([(t,) for _, t in rows], "text string").select(quality._sampled(F.col("text"), s).alias("t")).collect()
+    for (_, text), r in zip(rows, sampled):
+        assert len(r["t"]) == 800 and r["t"].startswith(text[:200]) and r["t"].endswith(text[-200:])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, quality int")
+    net = quality.learn(frame(spark, rows), labels, s)
+    scores = net.score([t.encode() for _, t in rows])
+    assert scores[0::2].min() > scores[1::2].max()
+
+
+def test_own_score_column_is_replaced(spark):
+    docs = frame(spark, odd_rows()).withColumnRenamed("lang", "Score")
+    assert quality.score(docs, quality.Network.new(small())).select("score").dtypes == [("score", "double")]
+
+
 def test_end_of_long_text_counts():
     texts = [prose(i, 300).encode() for i in range(60)]
     bad = [t + b" " + b"SPAM!! " * 20 for t in texts]

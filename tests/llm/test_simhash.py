@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from helpers import frame, odd_rows, prose
 
@@ -91,6 +92,33 @@ def test_ball_hashing_finds_every_pair(spark, monkeypatch):
     assert groups(find) == groups(lambda f: want[f])
 
 
+def test_odd_distances_lose_no_link():
+    rng = random.Random(4)
+    for _ in range(40):
+        centre, distance = rng.getrandbits(64), rng.choice([1, 3])
+        fps = {centre}
+        while len(fps) < 12:  # tight groups: many fingerprints at just about the distance
+            f = centre
+            for bit in rng.sample(range(8), rng.randint(1, 4)):
+                f ^= 1 << bit
+            fps.add(f)
+        own = np.array(sorted(fps), np.uint64)
+        radius, root = (distance + 1) // 2, {f: f for f in fps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for prefix in range(64):
+            near = own[np.bitwise_count((own >> np.uint64(58)) ^ np.uint64(prefix)) <= radius]
+            for pairs in simhash._collide(prefix, 6, near, radius, distance):
+                for a, b in pairs.T.tolist():
+                    assert bin(a ^ b).count("1") <= distance
+                    root[find(a)] = find(b)
+        assert len({find(f) for f in fps}) == len(set(brute_components(fps, distance).values()))
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert simhash.near_duplicates(frame(spark, []).select("doc_id", "text")).count() == 0
     extra = frame(spark, odd_rows()).withColumnsRenamed({"lang": "root", "source": "fp", "n_chars": "row"})
