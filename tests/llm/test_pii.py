@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
+import regex
 from helpers import frame, odd_rows, prose
 
 from linewise.llm import pii
@@ -85,6 +88,82 @@ def test_disclosing_terms(spark):
     assert masked[400] == "only . Zaphodels and "
 
 
+def plain_terms(rows, support=3, likelihood=0.5, bits=3.0):
+    """The estimator in plain Python, from the same definitions."""
+    tokens = lambda t: regex.findall(r"[\p{L}\p{Nd}]+", t.lower())
+    total, found, words, holding = len(rows), defaultdict(dict), {}, Counter()
+    copies = Counter(t or "" for _, t in rows)
+    for t, n in copies.items():
+        for w in {x for x in tokens(t) if len(x) >= 3}:
+            holding[w] += n
+        spans = brute(t)
+        for k, a, b in spans:
+            v = {"email": t[a:b].lower(), "ip": ".".join(str(int(x)) for x in t[a:b].split(".")) if k == "ip" else ""}.get(k, re.sub("[^0-9]", "", t[a:b]))
+            left, right = regex.sub(r"^[\p{L}\p{Nd}]+", "", t[max(0, a - 80) : a]), regex.sub(r"[\p{L}\p{Nd}]+$", "", t[b : b + 80])
+            found[k, v].setdefault(t, set()).add(left + " " + right)
+        rest, at = "", 0
+        for a, b in sorted((a, b) for _, a, b in spans):
+            rest += t[at:a] + " " if a >= at else ""
+            at = max(at, b)
+        w = tokens(rest + t[at:])
+        places = defaultdict(set)
+        for i, x in enumerate(w):
+            places[x].add((*w[max(0, i - 2) : i], None, *w[i + 1 : i + 3]))
+        words[t] = {x: p for x, p in places.items() if len(x) >= 3}
+    out = set()
+    for texts in found.values():
+        times = sum(copies[t] for t in texts)
+        for term in {x for t in texts for x in words[t]}:
+            own = [t for t in texts if term in words[t]]
+            given = sum(copies[t] for t in own) / holding[term]
+            # the fixtures give every text one surrounding of the value, one of a disclosing term, and origins of its own
+            contexts, places = len({min(texts[t]) for t in own}), len({min(words[t][term], key=str) for t in own})
+            if min(contexts, places, len({tuple(t.split()[:6]) for t in own})) >= support and given >= likelihood and math.log2(given * total / times) >= bits:
+                out.add(term)
+    return out
+
+
+def test_terms_equal_the_plain_estimator(spark):
+    rng, rows = random.Random(11), []
+    spelt = {0: ["Ann.Lee@corp.example", "ann.lee@CORP.example"], 1: ["+49 30 1234567", "+49 (30) 123-4567"], 2: ["10.0.7.1", "010.0.07.1"], 3: ["4539 1488 0343 6467", "4539148803436467"]}
+    names = {0: "zaphodel", 1: "cust77031", 2: "Vyx", 3: "9040411"}
+    for i in range(400):
+        t = [prose(3000 + 9 * i, rng.randint(40, 60))]
+        if i % 10 < 4 and i < 120:
+            v = i % 10
+            t += [names[v]] * (i % 3 > 0) + [prose(9000 + i, 30)] + [rng.choice(spelt[v])]
+        elif i % 50 == 7:
+            t += [names[i // 50 % 4]]
+        rows.append((i, " ".join([*t, prose(20_000 + i, 20)])))
+    rows += [(900 + i, rows[i][1]) for i in range(5)]
+    terms, _ = pii.revealing_terms(frame(spark, rows).select("doc_id", "text"))
+    want = plain_terms(rows)
+    assert {"zaphodel", "cust77031", "vyx", "9040411"} <= want  # some 200 characters from the value
+    assert {r["term"] for r in terms.collect()} == want
+
+
+def test_near_copies_and_shared_passages_are_no_evidence(spark):
+    rng, rows, base = random.Random(5), [], prose(1, 120).split(" ")
+    for i in range(40):  # one text, each copy with other words near the value and elsewhere
+        w = list(base)
+        for _ in range(6):
+            w[rng.randrange(120)] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join([*w[:60], "Qorvex", *w[60:], prose(500 + i, 12), "near@corp.example", prose(700 + i, 12)])))
+    passage = prose(2, 70) + " Trillianne " + prose(3, 70)
+    rows += [(100 + i, f"{prose(4000 + i, 40)} {passage} {prose(5000 + i, 40)} far@corp.example {prose(6000 + i, 20)}") for i in range(12)]
+    rows += [(1000 + i, prose(8000 + i, 80)) for i in range(600)]
+    terms, _ = pii.revealing_terms(frame(spark, rows).select("doc_id", "text"))
+    found = {r["term"] for r in terms.collect()}
+    assert "qorvex" not in found and "trillianne" not in found
+
+
+def test_clashing_columns(spark):
+    docs = frame(spark, odd_rows()).withColumnsRenamed({"lang": "Key", "source": "terms", "n_chars": "spans"})
+    found = pii.find_private(docs)
+    assert found.columns == ["doc_id", "text", "Key", "terms", "spans"] and found.count() == len(odd_rows())
+    assert dict(found.dtypes)["spans"].startswith("array")
+
+
 def test_empty_table_and_plan(spark):
     assert pii.digest(pii.find_private(frame(spark, []).select("doc_id", "text"))).count() == 0
     found = pii.digest(pii.find_private(frame(spark, odd_rows()).select("doc_id", "text")))
