@@ -17,8 +17,10 @@ from linewise.session import materialize
 
 #: Ids and documents that one shard of the index holds at most (a longer document has a shard of its own).
 SHARD_IDS, SHARD_DOCS = 4_000_000, 8_192
-#: Terms of a seed that its query has: those that weigh most.
-QUERY_TERMS = 16
+#: A term that at least one in so many documents of a shard has is kept as a row of weights, others as a list.
+COMMON = 8
+#: Neighbours that are put in order at once.
+AT_ONCE = 32
 #: Terms by which documents are brought next to each other.
 ROUTE_TERMS = 3
 #: BM25's saturation and length norm.
@@ -96,34 +98,51 @@ class Scorer:
 
 
 class Index:
-    """Inverted index of one shard: for each term, documents and weights; for each document, its query."""
+    """Inverted index of one shard: documents and weights of each term. A document's query is all its terms."""
 
     def __init__(self, ids: list[np.ndarray], scorer: Scorer):
         doc, term, often = _document_terms(ids)
         weight = scorer.weights(doc, term, often, np.array([len(x) for x in ids], np.int64))
         n = len(ids)
-        # a document's query: its heaviest terms
-        heavy = np.lexsort((term, -weight, doc))
-        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        chosen = heavy[place < QUERY_TERMS]
-        self.query_of = np.searchsorted(doc[chosen], np.arange(n + 1))
-        order = np.argsort(term, kind="stable")
+        listed, place = np.unique(term, return_inverse=True)
+        self.terms, self.query_of = place.astype(np.int32), np.searchsorted(doc, np.arange(n + 1))
+        order = np.argsort(place, kind="stable")
         self.docs, self.weights = doc[order].astype(np.int32), weight[order]
-        listed = term[order]
-        asked = term[chosen]
-        self.first, self.last = np.searchsorted(listed, asked), np.searchsorted(listed, asked, side="right")
+        self.first = np.searchsorted(place[order], np.arange(len(listed) + 1))
+        # a row has at most COMMON times the entries of the list it stands for
+        common = np.flatnonzero(np.diff(self.first) * COMMON >= n) if n else np.zeros(0, np.int64)
+        self.row = np.full(len(listed), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n), np.float32)
+        row = self.row[place[order]]
+        self.rows[row[row >= 0], self.docs[row >= 0]] = self.weights[row >= 0]
         self.used = np.zeros(n, bool)
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a query term with `seed`, the highest score first."""
-        spans = [slice(a, b) for a, b in zip(self.first[self.query_of[seed] : self.query_of[seed + 1]].tolist(), self.last[self.query_of[seed] : self.query_of[seed + 1]].tolist())]
-        if not spans:
-            return np.zeros(0, np.int64)
-        docs = np.concatenate([self.docs[x] for x in spans])
-        free = ~self.used[docs]
-        score = np.bincount(docs[free], np.concatenate([self.weights[x] for x in spans])[free])
-        found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all terms of `seed`; 0 for used ones."""
+        terms = self.terms[self.query_of[seed] : self.query_of[seed + 1]]
+        row = self.row[terms]
+        common, score = row[row >= 0], np.zeros(len(self.used), np.float32)
+        for at in range(0, len(common), 256):
+            score += self.rows[common[at : at + 256]].sum(axis=0)
+        spans = [slice(a, b) for a, b in zip(self.first[terms[row < 0]].tolist(), self.first[terms[row < 0] + 1].tolist())]
+        if spans:
+            listed = np.concatenate([self.docs[x] for x in spans])
+            score += np.bincount(listed, np.concatenate([self.weights[x] for x in spans]), len(score)).astype(np.float32)
+        score[self.used] = 0
+        return score
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused documents that share a term with `seed`, the highest score first, ties by place; ordered as they are asked for."""
+        score, some = self.scores(seed), AT_ONCE
+        while True:
+            least = np.partition(score, -some)[-some] if some < len(score) else 0
+            found = np.flatnonzero((score >= least) & (score > 0))
+            if not len(found):
+                return
+            yield from found[np.lexsort((found, -score[found]))].tolist()
+            score[found] = 0
+            some *= 4
 
 
 def _pieces(ids: list[np.ndarray], scorer: Scorer, window: int, room: int) -> Iterator[tuple[int, int, int]]:
@@ -161,7 +180,7 @@ def _pieces(ids: list[np.ndarray], scorer: Scorer, window: int, room: int) -> It
                     break
                 continue
             if not asked:
-                waiting, asked = iter(index.neighbours(seed).tolist()), True
+                waiting, asked = index.neighbours(seed), True
             at = next(((x, 0) for x in waiting if not index.used[x]), None)
             if at is not None:
                 index.used[at[0]] = True
