@@ -18,7 +18,7 @@ from linewise.session import materialize
 #: Ids and documents that one shard of the index holds at most (a longer document has a shard of its own).
 SHARD_IDS, SHARD_DOCS = 4_000_000, 8_192
 #: A term that at least one in so many documents of a shard has is kept as a row of weights, others as a list.
-COMMON = 8
+COMMON = 4
 #: Neighbours that are put in order at once.
 AT_ONCE = 32
 #: Terms by which documents are brought next to each other.
@@ -104,18 +104,20 @@ class Index:
         doc, term, often = _document_terms(ids)
         weight = scorer.weights(doc, term, often, np.array([len(x) for x in ids], np.int64))
         n = len(ids)
-        listed, place = np.unique(term, return_inverse=True)
-        self.terms, self.query_of = place.astype(np.int32), np.searchsorted(doc, np.arange(n + 1))
-        order = np.argsort(place, kind="stable")
-        self.docs, self.weights = doc[order].astype(np.int32), weight[order]
-        self.first = np.searchsorted(place[order], np.arange(len(listed) + 1))
+        self.terms, self.query_of = term.astype(np.int32), np.searchsorted(doc, np.arange(n + 1))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(term))])
+        del term, often
+        order = np.argsort(self.terms, kind="stable")
+        self.docs, self.weights = doc.astype(np.int32)[order], weight[order]
+        del doc, weight, order
         # a row has at most COMMON times the entries of the list it stands for
-        common = np.flatnonzero(np.diff(self.first) * COMMON >= n) if n else np.zeros(0, np.int64)
-        self.row = np.full(len(listed), -1, np.int32)
+        count = np.diff(self.first)
+        common = np.flatnonzero((count > 0) & (count * COMMON >= n))
+        self.row = np.full(len(count), -1, np.int32)
         self.row[common] = np.arange(len(common))
         self.rows = np.zeros((len(common), n), np.float32)
-        row = self.row[place[order]]
-        self.rows[row[row >= 0], self.docs[row >= 0]] = self.weights[row >= 0]
+        for row, t in zip(self.rows, common.tolist()):
+            row[self.docs[self.first[t] : self.first[t + 1]]] = self.weights[self.first[t] : self.first[t + 1]]
         self.used = np.zeros(n, bool)
 
     def scores(self, seed: int) -> np.ndarray:
@@ -123,8 +125,8 @@ class Index:
         terms = self.terms[self.query_of[seed] : self.query_of[seed + 1]]
         row = self.row[terms]
         common, score = row[row >= 0], np.zeros(len(self.used), np.float32)
-        for at in range(0, len(common), 256):
-            score += self.rows[common[at : at + 256]].sum(axis=0)
+        for at in range(0, len(common), 64):
+            score += self.rows[common[at : at + 64]].sum(axis=0)
         spans = [slice(a, b) for a, b in zip(self.first[terms[row < 0]].tolist(), self.first[terms[row < 0] + 1].tolist())]
         if spans:
             listed = np.concatenate([self.docs[x] for x in spans])
