@@ -255,6 +255,13 @@ def test_saved_models_score_raw_rows(spark, lines, tmp_path):
         break  # boosting a hundred trees is run by the registered query
 
 
+def test_vectors_move_no_rows(lines):
+    """Sums over rows, such as a line's, need no exchange of them; only trees get dealt rows."""
+    vectors = study.vectors(study.scaled_matrix(study.study_matrix(lines)))
+    assert "Exchange hashpartitioning" not in vectors._jdf.queryExecution().executedPlan().toString()
+    assert models.in_one_pass(models.OLS) and models.in_one_pass(models.RIDGE) and not models.in_one_pass(models.GBT)
+
+
 # --- whole runs ---
 
 

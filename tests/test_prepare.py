@@ -150,3 +150,19 @@ def test_held_rows_are_let_go(spark, steps):
     with models.held(steps) as rows:
         assert rows.count() == 900 and rows.storageLevel.useMemory
     assert not steps.storageLevel.useMemory
+
+
+def test_trees_get_few_parts_and_large_fits_run_alone():
+    assert [models.tree_parts(n) for n in (0, 16_384, 50_000, 10**6, 36 * 10**5, 36 * 10**6)] == [2, 2, 4, 12, 12, 35]
+    assert [models.fits_at_a_time(n) for n in (0, 10**6, 36 * 10**5, 36 * 10**6)] == [8, 8, 4, 1]
+    assert models.fits_at_a_time(10**6, 3) == 3
+
+
+def test_train_part_gives_the_trees_of_all_rows_dealt(spark, steps):
+    rows = steps.withColumn("split", F.when(F.col("a") < 20, "train").otherwise("test"))
+    train = models.train_part(rows.repartition(5), "ROW_KEY")
+    assert train.columns == ["features", "label"] and train.rdd.getNumPartitions() == 2
+    learner = models.Learner("boosted", {"trees": 3, "depth": 2, "rate": 0.5})
+    whole = models.dealt(rows, "ROW_KEY").where("split = 'train'")
+    trees = [models.fit(learner, r).toDebugString.split("\n", 1)[1] for r in (train, whole)]
+    assert trees[0] == trees[1]
