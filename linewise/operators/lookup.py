@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from linewise.session import materialize_measured
 
-# A lookup table is broadcast only when it is measured to be smaller than this.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# A lookup table is broadcast only when it is measured to be smaller than this: over a million keys with their statistics. Beyond it
+# all lines are exchanged, which is many times a table of this size.
+BROADCAST_BYTES = 128 * 1024 * 1024
 # A key is hot if it has more than this share of what an exchange partition gets; so many keys a partition, at most, are hot.
 HOT_SHARE = 4
 # Slots for each exchange partition.

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from linewise.functions.quantiles import exact_quantiles
 from linewise.functions.semantics import number, numeric_columns
 from linewise.schema import ROW_KEY
-from linewise.session import materialize
+from linewise.session import TIGHT, materialize
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -67,7 +67,7 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column."""
     columns = numeric_columns(df) if columns is None else columns
-    df = materialize(df.select(*columns), "numbers")  # several passes follow
+    df = materialize(df.select(*columns), "numbers", TIGHT)  # several passes follow
     types = {f.name: f.dataType for f in df.schema}
     quartile = exact_quantiles(df, columns, QUARTILES)
 

@@ -13,7 +13,7 @@ from linewise import schema as S
 from linewise.functions.semantics import numeric_columns, text_columns
 from linewise.operators import clean, evaluate, features, models, prepare, summarise
 from linewise.operators.lookup import attach
-from linewise.session import materialize
+from linewise.session import TIGHT, materialize
 
 # Learner by name; any other name means gradient boosting.
 LEARNERS = {"XGBoost": models.BOOSTED_DASHBOARD, "Random Forest": models.RANDOM_FOREST}
@@ -27,15 +27,17 @@ def _has(df: DataFrame, *columns: str) -> bool:
 def guarded_features(df: DataFrame) -> DataFrame:
     """Date parts, customer and product statistics and expected revenue, each only if its inputs exist."""
     out = df
-    if _has(out, "ORDERDATE"):
-        out = features.parse_dates(out, "ORDERDATE", strict=False)
-        out = features.date_parts(out, "ORDERDATE", ["YEAR", "MONTH", "DAY_OF_WEEK", "QUARTER"])
-    if _has(df, "CUSTOMERNAME", "SALES"):
+    if _has(df, "CUSTOMERNAME", "SALES"):  # joined before dates are read: where customers are many, the lines are exchanged as they are
         stats = features.customer_stats_dashboard(df)
         out = attach(out, stats, ["CUSTOMERNAME"], features.GROUP_ROWS).drop(features.GROUP_ROWS)
     if _has(df, "PRODUCTLINE", "SALES"):
         stats = features.product_stats_dashboard(df)
         out = attach(out, stats, ["PRODUCTLINE"], features.GROUP_ROWS).drop(features.GROUP_ROWS)
+    statistics = [c for c in out.columns if c not in df.columns]
+    if _has(df, "ORDERDATE"):
+        out = features.parse_dates(out, "ORDERDATE", strict=False)
+        out = features.date_parts(out, "ORDERDATE", ["YEAR", "MONTH", "DAY_OF_WEEK", "QUARTER"])
+        out = out.select(*[c for c in out.columns if c not in statistics], *statistics)
     if _has(df, "QUANTITYORDERED", "PRICEEACH"):
         out = out.withColumn("THEORETICAL_REV", features.quantity_times_price())
     return out
@@ -47,7 +49,7 @@ def dashboard_features(df: DataFrame, rewrite: bool = True) -> DataFrame:
     The lines are scanned three times; `rewrite=False` saves writing them first where they are a flat
     columnar table already.
     """
-    lines = materialize(df, "lines") if rewrite else df
+    lines = materialize(df, "lines", TIGHT) if rewrite else df
     return clean.materialize_filled(guarded_features(lines), "features")
 
 
@@ -111,7 +113,7 @@ class Trained:
 
 def train(df: DataFrame, target: str = S.TARGET, kind: str = "XGBoost", key: str = S.ROW_KEY) -> Trained:
     """Every remaining text column encoded, no scaling, one learner, scored on the test part."""
-    rows = materialize(prepare.with_split(drop_untrainable(df), key), "dashboard")
+    rows = materialize(prepare.with_split(drop_untrainable(df), key), "dashboard", TIGHT)
     texts = [c for c in text_columns(rows) if c not in (key, "split")]
     codes = prepare.fit_codes(rows, texts) if texts else None
     encoded = prepare.encode(rows, codes, texts) if texts else rows

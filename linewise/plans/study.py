@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from linewise import schema as S
 from linewise.operators import clean, evaluate, features, models, prepare, profile, summarise
 from linewise.operators.lookup import attach
-from linewise.session import materialize
+from linewise.session import TIGHT, materialize
 
 
 def cleaned(df: DataFrame) -> DataFrame:
@@ -72,12 +72,15 @@ def study_features(
     `leak_free` fits medians and statistics on the train part only and leaves out features made from the target.
     """
     base = filled(df, leak_free, columns, splitter)
-    out = features.price_features(base)
+    # joined before anything is derived: where the customers are too many to broadcast, the lines are exchanged as narrow as they are
+    joined = with_statistics(base, _fit_rows(base, leak_free, splitter))
+    statistics = [c for c in joined.columns if c not in base.columns]
+    out = features.price_features(joined)
     if leak_free:
         out = out.drop(*S.TARGET_DERIVED_FEATURES)
     out = features.parse_dates(out, "ORDERDATE", strict=True)
     out = features.date_parts(out, "ORDERDATE", ["DAY_OF_WEEK", "DAY_OF_MONTH", "WEEK_OF_YEAR"])
-    out = with_statistics(out, _fit_rows(base, leak_free, splitter))
+    out = out.select(*[c for c in out.columns if c not in statistics], *statistics)
     return features.interaction_features(out)
 
 
@@ -121,7 +124,7 @@ def study_matrix(df: DataFrame, leak_free: bool = False, splitter: Splitter = pr
 def scaled_matrix(matrix: Matrix) -> Matrix:
     """Features standardised with the train part's mean and deviation. The encoded rows are written first, so that fitting
     and scaling don't each join the codes."""
-    written = Matrix(materialize(matrix.rows, "encoded"), matrix.columns, matrix.codes)
+    written = Matrix(materialize(matrix.rows, "encoded", TIGHT), matrix.columns, matrix.codes)
     return Matrix(prepare.standardise(written.rows, matrix.columns, fit_on=written.part("train")), matrix.columns, matrix.codes)
 
 
@@ -194,7 +197,7 @@ def compare_learners(
         tuned, _, search = models.grid_search(models.BOOSTED, train, grid, folds, parallelism=parallelism)
         fitted = others.get() | {TUNED: tuned}
     # written once: one scan scores every row with every model, and all reports start from these rows
-    predictions = materialize(evaluate.predictions(fitted, rows), "predictions")
+    predictions = materialize(evaluate.predictions(fitted, rows), "predictions", TIGHT)
     metrics = evaluate.metrics(predictions)
     table = evaluate.compare(metrics)
     ranked = models.split_gains(tuned, matrix.columns, 15)
