@@ -80,7 +80,9 @@ def exact_quantiles(
 def _bracket_pass(doubles: DataFrame, probabilities: list[float]) -> tuple[dict[str, int], list[_Range], set[str]]:
     """Values of each column, ranges that hold its wanted ranks, and the columns where the sketch has missed one."""
     ends = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-2 * SKETCH_ERROR, 2 * SKETCH_ERROR)})
-    sketched = dict(zip(doubles.columns, doubles.approxQuantile(doubles.columns, ends, SKETCH_ERROR)))
+    # as an aggregate over the columns: no row is taken apart into objects
+    sketch = [F.percentile_approx(f"`{c}`", ends, round(1 / SKETCH_ERROR)).alias(f"s{i}") for i, c in enumerate(doubles.columns)]
+    sketched = dict(zip(doubles.columns, doubles.agg(*sketch).first()))
     brackets = {
         (c, p): tuple(marks[ends.index(min(1.0, max(0.0, p + d)))] for d in (-2 * SKETCH_ERROR, 2 * SKETCH_ERROR))
         for c, marks in sketched.items() if marks for p in probabilities
