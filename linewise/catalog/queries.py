@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from linewise import schema as S
 from linewise.operators import clean, evaluate, features, models, prepare, profile, summarise
 from linewise.operators.lookup import attach
 from linewise.plans import dashboard, scenario, study
-from linewise.session import materialize, scratch_folder, scratch_path
+from linewise.session import TIGHT, materialize, scratch_folder, scratch_path
 from linewise.sources import inference, orders_csv, star, synthetic
 from linewise.store import Store
 
@@ -101,13 +102,16 @@ def synthetic_source(spark, sf_dir):
 CSV_COLUMNS = [S.ROW_KEY, "ORDERNUMBER", "CUSTOMERNAME", "POSTALCODE", "QUANTITYORDERED", "SALES", "MSRP", "STATUS"]
 
 
-def _written_csv(spark: SparkSession, sf_dir: str, columns) -> str:
-    path = scratch_path(spark, "csv")
-    lines = star.sales(spark, sf_dir).select(*columns)
-    lines.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+def _as_csv(lines: DataFrame, columns) -> str:
+    path = scratch_path(lines.sparkSession, "csv")
+    lines.select(*columns).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
     return path
 
 
+def _written_csv(spark: SparkSession, sf_dir: str, columns) -> str:
+    return _as_csv(star.sales(spark, sf_dir), columns)
+
+
 @register
 def csv_roundtrip(spark, sf_dir):
     return orders_csv.read_orders_csv(spark, _written_csv(spark, sf_dir, CSV_COLUMNS))
@@ -163,12 +167,14 @@ def csv_column_kinds(spark, sf_dir):
 @register
 def guarded_load(spark, sf_dir):
     """A clean file, one with bad cells and one with bad records: whether each is loaded, and what its report counts."""
-    lines, plain = star.sales(spark, sf_dir), {"header": True, "sep": "\u0001", "quote": "\u0000"}
+    plain = {"header": True, "sep": "\u0001", "quote": "\u0000"}
+    # joined once for the three files, which take a few of its columns
+    lines = materialize(star.sales(spark, sf_dir).select(S.ROW_KEY, "ORDERNUMBER", "SALES", "MSRP", "QUANTITYORDERED"), "lines", TIGHT)
     price = F.when(F.col("ORDERNUMBER") % 100 == 0, F.lit("unknown")).otherwise(F.col("MSRP").cast("string")).alias("MSRP")
     cells = F.concat_ws(",", S.ROW_KEY, "ORDERNUMBER", F.col("QUANTITYORDERED").cast("int"))
     record = F.when(F.col("ORDERNUMBER") % 100 == 1, F.concat(cells, F.lit(",surplus"))).otherwise(cells)
     files = {"clean": [S.ROW_KEY, "ORDERNUMBER", "SALES"], "cells": [S.ROW_KEY, "ORDERNUMBER", "SALES", price]}
-    paths = {name: _written_csv(spark, sf_dir, columns) for name, columns in files.items()} | {"records": scratch_path(spark, "csv")}
+    paths = {name: _as_csv(lines, columns) for name, columns in files.items()} | {"records": scratch_path(spark, "csv")}
     lines.select(record.alias(f"{S.ROW_KEY},ORDERNUMBER,QUANTITYORDERED")).write.options(**plain).csv(paths["records"])
     paths["absent"] = scratch_path(spark, "csv")
     loads = {name: orders_csv.load_guarded(spark, path, report=lambda _: None, multi_line=False) for name, path in paths.items()}
@@ -475,15 +481,21 @@ QUERIES["gbt"] = learner_metrics({"boosted": models.GBT})
 
 
 def narrow(columns: list[str]):
-    """(spark, folder) -> learner rows of the train part from a few columns that SQL can follow."""
+    """(spark, folder) -> learner rows of the train part from a few columns that SQL can follow; no other is written."""
 
     def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-        train = split_lines(spark, sf_dir).where(F.col("split") == "train")
-        return models.dealt(prepare.assemble(train, columns, S.TARGET, [S.ROW_KEY]), S.ROW_KEY)
+        lines = prepare.with_split(study.filled(star.sales(spark, sf_dir), columns=[S.ROW_KEY, *columns, S.TARGET]))
+        return prepare.assemble(lines.where(F.col("split") == "train"), columns, S.TARGET, [S.ROW_KEY])
 
     return rows
 
 
+def fitted_trees(learner: models.Learner, rows: DataFrame) -> Model:
+    """`learner` fitted to `rows`, which are dealt once for all its passes."""
+    with models.held(models.dealt(rows, S.ROW_KEY).drop(S.ROW_KEY)) as train:
+        return models.fit(learner, train)
+
+
 def coefficients(learner: models.Learner, columns: list[str]) -> Query:
     """Fitted slopes and intercept as rows."""
 
@@ -505,7 +517,7 @@ def stump(learner: models.Learner) -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = narrow(["QUANTITYORDERED"])(spark, sf_dir)
-        model = models.fit(learner, rows)
+        model = fitted_trees(learner, rows)
         weight = models.importances(model, ["QUANTITYORDERED"], 1).first()["importance"]
         quantity = vector_to_array("features")[0].alias("quantity")
         values = rows.groupBy("features").agg(F.count("*").alias("n"))
@@ -528,14 +540,14 @@ def boosted_rounds(spark, sf_dir):
     rows = narrow(["QUANTITYORDERED"])(spark, sf_dir)
     values = rows.groupBy("features").agg(F.count("*").alias("n"))
     quantity = vector_to_array("features")[0].alias("quantity")
-    return models.fit(ROUNDS, rows).transform(values).select(quantity, "n", F.round("prediction", 4).alias("prediction"))
+    return fitted_trees(ROUNDS, rows).transform(values).select(quantity, "n", F.round("prediction", 4).alias("prediction"))
 
 
 @register
 def split_gains(spark, sf_dir):
     """What the splits of these rounds gain."""
     columns = ["QUANTITYORDERED"]
-    gains = models.split_gains(models.fit(ROUNDS, narrow(columns)(spark, sf_dir)), columns)
+    gains = models.split_gains(fitted_trees(ROUNDS, narrow(columns)(spark, sf_dir)), columns)
     return gains.select("feature", "splits", *[(F.round(F.col(c) / 1e6, 4)).alias(c) for c in ("total_gain", "mean_gain")], "importance")
 
 
