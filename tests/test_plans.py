@@ -262,6 +262,48 @@ def test_vectors_move_no_rows(lines):
     assert models.in_one_pass(models.OLS) and models.in_one_pass(models.RIDGE) and not models.in_one_pass(models.GBT)
 
 
+def test_a_line_is_fitted_to_rows_where_they_are(lines, monkeypatch):
+    monkeypatch.setattr(scenario, "dealt", lambda *_: pytest.fail("rows were dealt"))
+    what_if = scenario.fit_what_if(lines.na.drop(subset=["MSRP"]), models.OLS)
+    assert len(what_if.model.coefficients) == 5
+
+
+def test_rounds_write_their_own_columns_only(spark, monkeypatch):
+    from linewise.catalog import queries
+
+    asked, filled = [], study.filled
+    monkeypatch.setattr(study, "filled", lambda df, columns=None, **rest: asked.append(columns) or filled(df, columns=columns, **rest))
+    rows = queries.boosted_rounds(spark, SF)
+    assert asked == [["ROW_KEY", "QUANTITYORDERED", "SALES"]] and rows.count() > 0
+
+
+def test_guarded_load_joins_the_star_once(spark, monkeypatch):
+    from linewise.catalog import queries
+
+    calls = []
+    monkeypatch.setattr(queries.star, "sales", lambda *args: calls.append(args) or sales(*args))
+    assert queries.guarded_load(spark, SF).count() == 4 and len(calls) == 1
+
+
+def test_written_lines_are_packed_tightly(lines):
+    files = study.filled(lines, columns=["ROW_KEY", "SALES", "POSTALCODE"]).inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
+def test_lines_are_exchanged_before_anything_is_derived(spark, lines, monkeypatch):
+    """With customers too many to broadcast: the same columns in the same order, none of the derived ones in the exchange."""
+    import linewise.operators.lookup as lookup
+
+    want = study.study_features(lines)
+    monkeypatch.setattr(lookup.attach, "__defaults__", (0, None))
+    got = study.study_features(lines)
+    assert got.columns == want.columns and got.columns[-2:] == ["QTY_PRICE_INTERACTION", "STATUS_MSRP_RATIO"]
+    assert got.columns.index("WEEK_OF_YEAR") < got.columns.index("CUSTOMER_ORDER_COUNT")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("PROFIT_MARGIN") < plan.index("Join") and "PROFIT_MARGIN" not in plan[plan.index("Join"):]
+
+
 # --- whole runs ---
 
 
