@@ -159,7 +159,7 @@ def test_trees_get_few_parts_and_large_fits_run_alone():
 
 
 def test_train_part_gives_the_trees_of_all_rows_dealt(spark, steps):
-    rows = steps.withColumn("split", F.when(F.col("a") < 20, "train").otherwise("test"))
+    rows = steps.withColumn("split", F.when(F.col("label") < 80, "train").otherwise("test"))
     train = models.train_part(rows.repartition(5), "ROW_KEY")
     assert train.columns == ["features", "label"] and train.rdd.getNumPartitions() == 2
     learner = models.Learner("boosted", {"trees": 3, "depth": 2, "rate": 0.5})
