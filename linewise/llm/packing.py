@@ -37,8 +37,8 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         wide = "<u2" if max(tool.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            for at in range(0, len(texts), 512):
-                blobs = [np.append(x, np.uint32(end_id)).astype(wide).tobytes() for x in tool(texts[at : at + 512])]
+            for at in range(0, len(texts), 2048):
+                blobs = [np.append(x, np.uint32(end_id)).astype(wide).tobytes() for x in tool(texts[at : at + 2048])]
                 rows = batch.slice(at, len(blobs))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(blobs, pa.binary()), pa.array([int(wide[2])] * len(blobs), pa.int32())], names=["doc_id", "ids", "width"])
         tool.forget()

@@ -21,7 +21,6 @@ SHARD_IDS = 2_000_000
 #: Pairs replaced in a round at most, the share of the commonest pair's count that the others need, and how often a pair must
 #: occur: a rule takes twelve bytes of the file, a place it is used at saves two.
 PAIRS, NEAR, LEAST = 4096, 64, 8
-_HASH, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
 
 
 @dataclass
@@ -40,6 +39,9 @@ class Grammar:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         symbols = symbols.astype(np.int64)
+        size = np.append(np.ones(self.terminals, np.int64), self.lengths)
+        if size.sum() - self.terminals <= 4 * len(symbols):  # all rules expanded are not much longer than what was asked for
+            return self._by_table(symbols, size)
         while len(symbols) and symbols.max() >= self.terminals:
             rule = symbols - self.terminals
             wide = rule >= 0
@@ -50,6 +52,21 @@ class Grammar:
             symbols = out
         return symbols.astype(np.uint32)
 
+    def _by_table(self, symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A rule's two symbols have smaller numbers, or come from the same or an earlier round: rules are expanded by length."""
+        begin = np.cumsum(size) - size
+        table = np.zeros(int(size.sum()), np.uint32)
+        table[: self.terminals] = np.arange(self.terminals)
+        order = np.argsort(self.lengths, kind="stable")
+        length = self.lengths[order]
+        for some in np.split(order, np.flatnonzero(length[1:] != length[:-1]) + 1) if len(order) else []:
+            halves = self.rules[some]
+            whole = begin[self.terminals + some]
+            first = size[halves[:, 0]]
+            table[_spans(whole, first)] = table[_spans(begin[halves[:, 0]], first)]
+            table[_spans(whole + first, size[halves[:, 1]])] = table[_spans(begin[halves[:, 1]], size[halves[:, 1]])]
+        return table[_spans(begin[symbols], size[symbols])]
+
     def slice(self, first: int, last: int, begin: int, end: int) -> np.ndarray:
         """Ids [begin, end) of the stretch sequence[first:last]: lengths tell which symbols hold them, and only those are expanded."""
         ends = np.cumsum(self.length_of(self.sequence[first:last].astype(np.int64)))
@@ -60,67 +77,124 @@ class Grammar:
         return self.expand(self.sequence[first + a : first + b + 1])[begin - before : end - before]
 
 
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the spans, one span after the other."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def _pairs(at: np.ndarray, left: np.ndarray, right: np.ndarray, symbols: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, count) of the pairs that start at LEAST or more of the places `at`, and those places, ascending, pair after pair."""
+    wide, far = (symbols - 1).bit_length(), n.bit_length()
+    if 2 * wide + far <= 63:
+        code = (left.astype(np.int64) << wide | right) << far | at
+        code.sort()
+        at = code & ((1 << far) - 1)
+        code >>= far
+    else:
+        wide = 31
+        code = left.astype(np.int64) << wide | right
+        order = np.lexsort((at, code))
+        code, at = code[order], at[order]
+    first = np.flatnonzero(np.concatenate([[len(code) > 0], code[1:] != code[:-1]]))
+    count = np.diff(np.append(first, len(code)))
+    often = count >= LEAST
+    first, count = first[often], count[often]
+    code = code[first]
+    return code >> wide, code & ((1 << wide) - 1), count, at[_spans(first, count)]
+
+
 def compress(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[Grammar, np.ndarray]:
     """A grammar for `ids`, none of whose symbols crosses a place where `last` is true, and where those places are now.
 
-    A round counts adjacent pairs by hash, takes the most frequent and those nearly as frequent as rules and replaces them where
-    they don't overlap: of two that do, the more frequent stays, and of a run of one pair every other. Rules that were used fewer
-    than two times in their round are taken back; of pairs that share a hash one waits for a later round, which hashes otherwise.
-    Rounds go on until no pair is frequent. Where symbols would outgrow two bytes, which makes every one of them longer, rounds
-    stop unless the pairs left would still shorten the sequence by half.
+    Places are linked, and each frequent pair knows where it starts; replacing it touches its own places and their neighbours
+    only, so all rounds together cost about as much as there are places. A pair of known symbols never gets more frequent, so
+    pairs that are rare when they come up are not followed.
+
+    A round takes the most frequent pairs and those nearly as frequent as rules and replaces them where they don't overlap: of
+    two that do, the more frequent stays, and of a run of one pair every other. Rules that would be used fewer than two times
+    are not made. Rounds go on until no pair is frequent. Where symbols would outgrow two bytes, which makes every one of them
+    longer, rounds stop unless the pairs left would still shorten the sequence by half.
     """
-    seq, last = ids.astype(np.int64), last.copy()
+    n = len(ids)
     room = (1 << 16) - terminals if terminals < 1 << 16 else 1 << 31
-    rules: list[np.ndarray] = []
-    lengths, n_rules, turn, idle = [np.zeros(0, np.int64)], 0, 0, 0
-    while len(seq) > 1 and idle < 3:  # a round may make no rule only because its commonest pairs share a hash with others
-        code = seq[:-1] << 32 | seq[1:]
-        slot = (((code.view(np.uint64) + np.uint64(turn)) * _HASH) >> _SHIFT).astype(np.int64)
-        turn += 1
-        free = ~last[:-1]
-        counts = np.bincount(slot[free], minlength=1 << 20)
+    seq, last = ids.astype(np.int32), last.copy()
+    after, before = np.arange(1, n + 2), np.arange(-1, n)  # place n is before the first and after the last
+    before[:1] = n
+    none = np.int32(PAIRS)
+    pair_at, rank_at, stays, mark = np.full(n + 1, -1, np.int32), np.full(n + 1, none, np.int32), np.ones(n, bool), np.zeros(n + 1, bool)
+    rules, lengths, n_rules, size = [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64), 0, n
+
+    free = np.flatnonzero(~last[:-1])
+    left, right, count, places = _pairs(free, seq[free], seq[free + 1], max(terminals, int(seq.max(initial=0)) + 1), n)
+    begin, listed = np.cumsum(count) - count, count.copy()
+    pair_at[places] = np.repeat(np.arange(len(count), dtype=np.int32), count)
+
+    while len(count) and (top := int(count.max())) >= LEAST:
         if n_rules >= room:
-            if counts[counts >= LEAST].sum() < len(seq):  # every place replaced takes two symbols' room: half of them at best
+            if count[count >= LEAST].sum() < size:  # every place replaced takes two symbols' room: half of them at best
                 break
             room = 1 << 31
         take = min(PAIRS, room - n_rules)
-        chosen = np.argpartition(-counts, take - 1)[:take]
-        chosen = chosen[counts[chosen] >= max(LEAST, counts[chosen].max() // NEAR)]
-        if not len(chosen):
-            break
-        chosen = chosen[np.lexsort((chosen, -counts[chosen]))]
-        rank = np.full(1 << 20, take, np.int64)
-        rank[chosen] = np.arange(len(chosen))
-        pair = np.full(1 << 20, -1, np.int64)
-        pair[slot[free]] = code[free]
-        key = np.where(free & (pair[slot] == code), rank[slot], take)
+        chosen = np.flatnonzero(count >= max(LEAST, top // NEAR))
+        if len(chosen) > take:
+            chosen = chosen[np.argpartition(-count[chosen], take - 1)[:take]]
+        chosen = chosen[np.lexsort((chosen, -count[chosen]))]
+        at = places[_spans(begin[chosen], listed[chosen])]
+        rank = np.repeat(np.arange(len(chosen), dtype=np.int32), listed[chosen])
+        there = pair_at[at] == chosen[rank]
+        at = at[there] << PAIRS.bit_length() | rank[there]
+        at.sort()
+        at, rank = at >> PAIRS.bit_length(), (at & ((1 << PAIRS.bit_length()) - 1)).astype(np.int32)
         # of a run of one pair (aaaa) every other place can be replaced
-        run = np.concatenate([[False], (code[1:] == code[:-1]) & (key[1:] < take) & (key[:-1] < take)])
+        run = np.concatenate([[False], (rank[1:] == rank[:-1]) & (after[at[:-1]] == at[1:])])
         if run.any():
-            at = np.arange(len(run))
-            key[(at - np.maximum.accumulate(np.where(run, 0, at))) % 2 == 1] = take
-        padded = np.concatenate([[take], key, [take]])
-        at = np.flatnonzero((key < take) & (key < padded[:-2]) & (key <= padded[2:]))
-        at = at[np.concatenate([[True], at[1:] != at[:-1] + 1])] if len(at) else at
-        used = np.bincount(key[at], minlength=take)
-        number = np.full(take + 1, -1, np.int64)
+            here = np.arange(len(run))
+            even = (here - np.maximum.accumulate(np.where(run, 0, here))) % 2 == 0
+            at, rank = at[even], rank[even]
+        rank_at[at] = rank
+        found, ranks = [], []
+        while len(at):  # what no overlapping pair of lower rank holds is replaced, and what it overlaps is not
+            lowest = (rank < rank_at[before[at]]) & (rank < rank_at[after[at]])
+            now = at[lowest]
+            found.append(now)
+            ranks.append(rank[lowest])
+            rank_at[before[now]] = rank_at[after[now]] = none
+            left_over = ~lowest & (rank_at[at] < none)
+            rank_at[now] = none
+            at, rank = at[left_over], rank[left_over]
+        at, rank = np.concatenate(found), np.concatenate(ranks)
+        used = np.bincount(rank, minlength=len(chosen))
         kept = np.flatnonzero(used >= 2)
-        idle = 0 if len(kept) else idle + 1
-        if idle:
-            continue
+        number = np.full(len(chosen), -1, np.int32)
         number[kept] = terminals + n_rules + np.arange(len(kept))
-        at = at[number[key[at]] >= 0]
-        new = pair[chosen[kept]]
-        rules.append(np.stack([new >> 32, new & 0xFFFFFFFF], axis=1))
-        known = Grammar(terminals, np.zeros((0, 2), np.int64), np.concatenate(lengths), seq)
-        lengths.append(known.length_of(rules[-1][:, 0]) + known.length_of(rules[-1][:, 1]))
+        at, symbol = at[number[rank] >= 0], number[rank[number[rank] >= 0]]
+        rules.append(np.stack([left[chosen[kept]], right[chosen[kept]]], axis=1))
+        known = Grammar(terminals, np.zeros((0, 2), np.int64), lengths, seq)
+        lengths = np.concatenate([lengths, known.length_of(rules[-1][:, 0]) + known.length_of(rules[-1][:, 1])])
         n_rules += len(kept)
-        seq[at], last[at] = number[key[at]], last[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        second = after[at]
+        for x in (at, second, before[at]):
+            gone = pair_at[x]
+            count -= np.bincount(gone[gone >= 0], minlength=len(count))
+            pair_at[x] = -1
+        seq[at], last[at], stays[second] = symbol, last[second], False
+        size -= len(at)
+        third = after[second]
+        after[at], before[third] = third, at
+        mark[at] = True
+        ahead = before[at]
+        ahead = ahead[~mark[ahead] & (ahead < n)]
+        mark[at] = False
+        at = np.concatenate([at, ahead])
+        at = at[~last[at] & (after[at] < n)]
+        # new pairs have a new symbol, so all their places are here
+        more = _pairs(at, seq[at], seq[after[at]], terminals + n_rules, n)
+        pair_at[more[3]] = np.repeat(np.arange(len(count), len(count) + len(more[2]), dtype=np.int32), more[2])
+        begin = np.concatenate([begin, len(places) + np.cumsum(more[2]) - more[2]])
+        left, right, count, places = (np.concatenate(x) for x in zip((left, right, count, places), more))
+        listed = np.concatenate([listed, more[2]])
     width = np.uint16 if terminals + n_rules <= 1 << 16 else np.uint32
-    return Grammar(terminals, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths), seq.astype(width)), np.flatnonzero(last)
+    return Grammar(terminals, np.concatenate(rules), lengths, seq[stays].astype(width)), np.flatnonzero(last[stays])
 
 
 #: The file format: Parquet, a row for each shard; blobs are little-endian. `part` and `shard` put the shards in order of
@@ -184,8 +258,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                for name, found in zip(names[at : at + 256], tool(texts[at : at + 256])):
+            for at in range(0, len(texts), 2048):
+                for name, found in zip(names[at : at + 2048], tool(texts[at : at + 2048])):
                     if ids and size + len(found) >= SHARD_IDS:
                         yield flush()
                         doc_ids, ids, size, shard = [], [], 0, shard + 1

@@ -5,24 +5,50 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from array import array
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-#: Chunks that a task remembers; beyond it, it forgets them all and starts anew.
+from linewise.llm.bpe_count import byte_letters
+
+#: Chunks that a task remembers; those not met since half as many others came are forgotten.
 REMEMBERED = 400_000
-#: Words that the library gets in one string.
-WORDS = 500
 #: Bytes of text that are cut into chunks at once.
-BLOCK_BYTES = 2 << 20
-#: Marks that never share a token with a letter before them.
-_TAIL = ".,;:!?"
-#: Cuts before a space that a word follows, and around runs of spaces and line breaks as the vocabulary's own pattern does.
-_LED = re.compile(r" ?[^ \n]+|[ \n]+(?=[ \n][^ \n])|[ \n]+\Z|[ \n]")
+BLOCK_BYTES = 8 << 20
+#: Letters that are one of UTF-8's first two-byte ones, stay single when lower-cased, and are the same in every normal form C.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: Chunks of such letters, and ones that the vocabulary's own pattern cuts in a known way.
+_WORD, _EASY = re.compile(f" ?[{_LETTER}]+"), re.compile(f"[\n -~{_LETTER}]*")
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d|"
+_LED_PIECES = re.compile(f"{_SHORT} ?[{_LETTER}]+| ?[0-9]+| ?[^\\s0-9{_LETTER}]+|\\s+")
+_DROPPED_PIECES = re.compile(f"{_SHORT}[{_LETTER}]+|[0-9]|[^\\s0-9{_LETTER}]+")
 #: White space other than space and line break: such texts are left whole.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Stands behind each text of a block; no UTF-8 has it.
+_SEP = 0xFF
+#: What a byte is in a block: 1 a space, 2 a line break, 3 other white space, 4 the separator, 0 anything else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, 0x0A, _SEP]] = 1, 2, 4
+_KIND[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = 3
+#: For vocabularies that lower-case and drop white space.
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\r", b"abcdefghijklmnopqrstuvwxyz   ")
+
+
+def _chunk_starts(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the chunks of a block start: a space that a word follows goes with it, a line break stands alone there, and
+    what comes before that in a run of spaces and line breaks, or a run at a text's end, is one chunk. So are separators."""
+    blank = (kind == 1) | (kind == 2)
+    word = ~blank & (kind != 4)
+    start = np.empty(len(data), bool)
+    start[0] = True
+    start[1:] = blank[1:] & ~blank[:-1]
+    start[:-1] |= blank[:-1] & word[1:]
+    start[1:] |= word[1:] & ~word[:-1] & (kind[:-1] != 1)
+    apart = np.flatnonzero(kind == 4)
+    start[apart] = True
+    start[apart[:-1] + 1] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
@@ -48,78 +74,113 @@ class Encoder:
         cuts = [x["type"] for x in pre.get("pretokenizers", [])]
         self.dropped = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["invert"]
         self.vocabulary = self.library.get_vocab_size()
-        # ids that end a word (dropped white space) or begin one (a leading space)
-        tokens = self.library.get_vocab(with_added_tokens=False)
-        self.edge = np.zeros(self.vocabulary, bool)
-        for token, i in tokens.items():
-            self.edge[i] = token.endswith(spec["model"]["end_of_word_suffix"]) if self.dropped else token.startswith("Ġ")
-        self.known: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.letters = dict(enumerate(byte_letters()))
+        self.space = self.letters[0x20]
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def forget(self) -> None:
-        """Frees what a task has remembered; the worker lives on."""
-        self.known = {}
-
-    def _chunks(self, text: str) -> list[str] | None:
-        if not (self.led or self.dropped) or any(x in text for x in self.specials):
-            return None
-        if self.led:
-            return None if _OTHER_SPACE.search(text) else _LED.findall(text)
-        if "<|" in text:
-            return None
-        return text.encode().lower().decode().replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+        """Frees what has been remembered; the worker lives on."""
+        self.known, self.before = {}, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of chunks that are one word of letters each, many to a call: their edges show in the ids."""
-        out: list[bytes] = []
-        joint = " " if self.dropped else ""
-        groups = [words[at : at + WORDS] for at in range(0, len(words), WORDS)]
-        for group, found in zip(groups, self.library.encode_batch_fast([joint.join(x) for x in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            edges = np.flatnonzero(self.edge[ids])
-            if len(edges) != len(group):  # a letter that is more than one once it is normalised
-                out += self._library(group)
-                continue
-            cuts = (4 * np.concatenate([[0], edges + 1] if self.dropped else [edges, [len(ids)]])).tolist()
-            blob = ids.tobytes()
-            out += [blob[a:b] for a, b in zip(cuts, cuts[1:])]
-        return out
-
-    def _learn(self, wanted: set[str]) -> None:
-        known = self.known
-        new = wanted.difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            self.forget()
-            known, new = self.known, wanted
-        stems: dict[str, tuple[str, str]] = {}
-        for chunk in new:
-            stem = chunk.rstrip(_TAIL)
-            # the last letter may become a letter and a mark, which goes with the marks after it
-            if len(stem) < len(chunk) and stem and unicodedata.normalize("NFC", stem[-1]).lower()[-1].isalpha():
-                stems[chunk] = stem, chunk[len(stem) :]
-        plain = list({*(x for x in new if x not in stems), *chain.from_iterable(stems.values())}.difference(known))
-        words = [x for x in plain if (x if self.dropped else x[1:]).isalpha() and (self.dropped or x[0] == " ")]
-        others = list(set(plain).difference(words))
-        for chunks, encode in ((words, self._words), (others, self._library)):
-            for at in range(0, len(chunks), 20_000):
-                some = chunks[at : at + 20_000]
-                known.update(zip(some, encode(some)))
-        known.update((chunk, known[stem] + known[tail]) for chunk, (stem, tail) in stems.items())
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the vocabulary's pattern doesn't cut: by its model, which sees letters that stand for bytes."""
+        if not piece.isascii():
+            piece = (piece.lower() if self.dropped else piece).encode().decode("latin-1").translate(self.letters)
+        elif self.led:
+            piece = piece.replace(" ", self.space) if piece[-1] > " " else piece.translate(self.letters)
+        return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Chunks of ASCII and easy letters are cut as the vocabulary's pattern does; others go to the library whole."""
+        known, before, others, dropped, of, is_word = self.known, self.before, [], self.dropped, self._piece, _WORD.fullmatch
+        lead, cut = (b" ", _DROPPED_PIECES) if dropped else (b"", _LED_PIECES)
+        for blob in new:
+            chunk = blob.decode()
+            if dropped:
+                chunk = chunk.strip(" ")
+            if is_word(chunk):
+                known[blob] = of(chunk)
+            elif _EASY.fullmatch(chunk):
+                blobs = []
+                for piece in cut.findall(chunk):
+                    stored = lead + piece.encode()
+                    ids = known.get(stored) or before.get(stored)
+                    if ids is None:
+                        ids = known[stored] = of(piece)
+                    blobs.append(ids)
+                known[blob] = b"".join(blobs)
+            else:
+                others.append((blob, chunk))
+        for at in range(0, len(others), 20_000):
+            some = others[at : at + 20_000]
+            known.update(zip((x for x, _ in some), self._library([x for _, x in some])))
+
+    def _ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each of `chunks`, which are distinct."""
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        found = list(map(known.get, chunks))
+        at = [i for i, ids in enumerate(found) if ids is None]
+        if before:
+            known.update((chunks[i], before[chunks[i]]) for i in at if chunks[i] in before)
+        self._learn([x for i in at if (x := chunks[i]) not in known])
+        for i in at:
+            found[i] = known[chunks[i]]
+        return found
+
+    def _is_whole(self, text: str) -> bool:
+        if any(x in text for x in self.specials) or (self.dropped and "<|" in text):
+            return True
+        return self.led and not text.isascii() and _OTHER_SPACE.search(text) is not None
+
+    def _block(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text, None for one that has to go to the library whole."""
+        whole = [self._is_whole(text) for text in texts]
+        cut = [b"" if w else text.encode() for text, w in zip(texts, whole)]
+        ends = np.cumsum([len(x) + 1 for x in cut])
+        joint = bytes([_SEP]).join([*cut, b""])
+        if self.dropped:
+            joint = joint.translate(_PLAIN)
+        data = np.frombuffer(joint, np.uint8)
+        kind = _KIND[data]
+        if self.led and (odd := np.flatnonzero(kind == 3)).size:
+            for at in np.unique(np.searchsorted(ends, odd, side="right")).tolist():
+                whole[at] = True
+        starts = _chunk_starts(data, kind)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joint)]).dictionary_encode()
+        index, bounds, distinct = coded.indices.to_numpy(), *coded.dictionary.buffers()[1:]
+        bounds, distinct = np.frombuffer(bounds, np.int32)[: len(coded.dictionary) + 1].tolist(), distinct.to_pybytes()
+        chunks = [distinct[a:b] for a, b in zip(bounds, bounds[1:])]
+        sep = chunks.index(bytes([_SEP]))
+        blobs = self._ids_of([*chunks[:sep], *chunks[sep + 1 :]])
+        blobs.insert(sep, b"")
+        size = np.array([len(x) // 4 for x in blobs], np.int64)
+        first = np.cumsum(size) - size
+        sizes = size[index]
+        stops = np.cumsum(sizes)
+        flat = np.frombuffer(b"".join(blobs), "<u4")[np.repeat(first[index] - stops + sizes, sizes) + np.arange(stops[-1])]
+        bounds = stops[index == sep].tolist()
+        return [None if w else flat[a:b] for a, b, w in zip([0, *bounds], bounds, whole)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if not (self.led or self.dropped):
+            return [np.frombuffer(x, "<u4") for x in self._library(texts)]
         out: list[np.ndarray] = []
         at = 0
         while at < len(texts):
             end, size = at + 1, len(texts[at])
             while end < len(texts) and size + len(texts[end]) <= BLOCK_BYTES:
                 size, end = size + len(texts[end]), end + 1
-            cut = [self._chunks(x) for x in texts[at:end]]
-            self._learn(set(chain.from_iterable(x for x in cut if x is not None)))
-            whole = iter(self._library([x for x, c in zip(texts[at:end], cut) if c is None]))
-            get = self.known.__getitem__
-            out += [np.frombuffer(next(whole) if c is None else b"".join(map(get, c)), "<u4") for c in cut]
+            found = self._block(texts[at:end])
+            whole = iter(self._library([x for x, ids in zip(texts[at:end], found) if ids is None]))
+            out += [np.frombuffer(next(whole), "<u4") if ids is None else ids for ids in found]
             at = end
         return out
 
