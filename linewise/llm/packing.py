@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewise.llm.common import in_small_batches, tidy
-from linewise.llm.tokens import encoder
+from linewise.llm.tokens import encoder, forget
 from linewise.session import materialize
 
 #: Ids and documents that one shard of the index holds at most (a longer document has a shard of its own).
@@ -33,7 +33,6 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
-        tool.forget()
         wide = "<u2" if max(tool.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
@@ -41,7 +40,6 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 blobs = [np.append(x, np.uint32(end_id)).astype(wide).tobytes() for x in tool(texts[at : at + 2048])]
                 rows = batch.slice(at, len(blobs))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(blobs, pa.binary()), pa.array([int(wide[2])] * len(blobs), pa.int32())], names=["doc_id", "ids", "width"])
-        tool.forget()
 
     return in_small_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids binary, width int")
 
@@ -53,11 +51,15 @@ def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
 def _document_terms(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, how often) for each distinct pair, by document, then term. A term is a token id; the end mark,
     which every document has, is none."""
-    size = np.array([len(x) - 1 for x in ids], np.int64)
-    pair = np.repeat(np.arange(len(ids), dtype=np.int64), size) << 32
-    pair |= np.concatenate([x[:-1] for x in ids]) if len(ids) else pair
-    pair, often = np.unique(pair, return_counts=True)
-    return pair >> 32, pair & 0xFFFFFFFF, often
+    terms = np.concatenate([x[:-1] for x in ids]) if len(ids) else np.zeros(0, "<u2")
+    bits, kind = (16, np.uint32) if terms.itemsize == 2 and len(ids) <= 1 << 16 else (32, np.uint64)
+    pair = np.repeat(np.arange(len(ids), dtype=kind) << kind(bits), [len(x) - 1 for x in ids])
+    pair |= terms.astype(kind)
+    pair.sort()
+    first = np.flatnonzero(np.concatenate([[len(pair) > 0], pair[1:] != pair[:-1]]))
+    often = np.diff(np.append(first, len(pair)))
+    pair = pair[first]
+    return (pair >> kind(bits)).astype(np.int64), (pair & kind((1 << bits) - 1)).astype(np.int64), often
 
 
 def _frequencies(encoded: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -65,6 +67,7 @@ def _frequencies(encoded: DataFrame) -> tuple[np.ndarray, int, float]:
     vocabulary has ids, however many documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total, docs, length = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             ids = _ids(batch)
@@ -224,6 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, k
     dealt = marked.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         sequence, filled = TaskContext.get().partitionId() << 40, 0
         names, ids = [], []
 

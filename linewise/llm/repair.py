@@ -86,7 +86,10 @@ def _pairs(at: np.ndarray, left: np.ndarray, right: np.ndarray, symbols: int, n:
     """(left, right, count) of the pairs that start at LEAST or more of the places `at`, and those places, ascending, pair after pair."""
     wide, far = (symbols - 1).bit_length(), n.bit_length()
     if 2 * wide + far <= 63:
-        code = (left.astype(np.int64) << wide | right) << far | at
+        code = left.astype(np.int64)
+        for bits, more in ((wide, right), (far, at)):
+            code <<= bits
+            code |= more
         code.sort()
         at = code & ((1 << far) - 1)
         code >>= far
@@ -268,7 +271,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
                     size += len(found) + 1
         if ids:
             yield flush()
-        tool.forget()
 
     rows.mapInArrow(tidy(encode), FORMAT.format(id=kind)).write.parquet(path)
 

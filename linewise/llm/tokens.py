@@ -12,8 +12,8 @@ import pyarrow as pa
 
 from linewise.llm.bpe_count import byte_letters
 
-#: Chunks that a task remembers; those not met since half as many others came are forgotten.
-REMEMBERED = 400_000
+#: Chunks that a worker remembers, from one task to the next; those not met since half as many others came are forgotten.
+REMEMBERED = 800_000
 #: Bytes of text that are cut into chunks at once.
 BLOCK_BYTES = 8 << 20
 #: Letters that are one of UTF-8's first two-byte ones, stay single when lower-cased, and are the same in every normal form C.
@@ -28,19 +28,17 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Stands behind each text of a block; no UTF-8 has it.
 _SEP = 0xFF
 #: What a byte is in a block: 1 a space, 2 a line break, 3 other white space, 4 the separator, 0 anything else.
-_KIND = np.zeros(256, np.uint8)
-_KIND[[0x20, 0x0A, _SEP]] = 1, 2, 4
-_KIND[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = 3
+_KIND = bytes({0x20: 1, 0x0A: 2, _SEP: 4, **dict.fromkeys(b"\x09\x0b\x0c\x0d\x1c\x1d\x1e\x1f", 3)}.get(b, 0) for b in range(256))
 #: For vocabularies that lower-case and drop white space.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\r", b"abcdefghijklmnopqrstuvwxyz   ")
 
 
-def _chunk_starts(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+def _chunk_starts(kind: np.ndarray) -> np.ndarray:
     """Where the chunks of a block start: a space that a word follows goes with it, a line break stands alone there, and
     what comes before that in a run of spaces and line breaks, or a run at a text's end, is one chunk. So are separators."""
     blank = (kind == 1) | (kind == 2)
     word = ~blank & (kind != 4)
-    start = np.empty(len(data), bool)
+    start = np.empty(len(kind), bool)
     start[0] = True
     start[1:] = blank[1:] & ~blank[:-1]
     start[:-1] |= blank[:-1] & word[1:]
@@ -74,7 +72,9 @@ class Encoder:
         cuts = [x["type"] for x in pre.get("pretokenizers", [])]
         self.dropped = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["invert"]
         self.vocabulary = self.library.get_vocab_size()
-        self.model = self.library.model
+        self.model = Tokenizer.from_file(path).model
+        if resize := getattr(self.model, "_resize_cache", None):
+            resize(0)  # what it gets is new
         self.letters = dict(enumerate(byte_letters()))
         self.space = self.letters[0x20]
         self.known: dict[bytes, bytes] = {}
@@ -147,13 +147,12 @@ class Encoder:
         joint = bytes([_SEP]).join([*cut, b""])
         if self.dropped:
             joint = joint.translate(_PLAIN)
-        data = np.frombuffer(joint, np.uint8)
-        kind = _KIND[data]
+        kind = np.frombuffer(joint.translate(_KIND), np.uint8)
         if self.led and (odd := np.flatnonzero(kind == 3)).size:
             for at in np.unique(np.searchsorted(ends, odd, side="right")).tolist():
                 whole[at] = True
-        starts = _chunk_starts(data, kind)
-        offsets = np.append(starts, len(data)).astype(np.int32)
+        starts = _chunk_starts(kind)
+        offsets = np.append(starts, len(kind)).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joint)]).dictionary_encode()
         index, bounds, distinct = coded.indices.to_numpy(), *coded.dictionary.buffers()[1:]
         bounds, distinct = np.frombuffer(bounds, np.int32)[: len(coded.dictionary) + 1].tolist(), distinct.to_pybytes()
@@ -161,11 +160,13 @@ class Encoder:
         sep = chunks.index(bytes([_SEP]))
         blobs = self._ids_of([*chunks[:sep], *chunks[sep + 1 :]])
         blobs.insert(sep, b"")
-        size = np.array([len(x) // 4 for x in blobs], np.int64)
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         first = np.cumsum(size) - size
         sizes = size[index]
         stops = np.cumsum(sizes)
-        flat = np.frombuffer(b"".join(blobs), "<u4")[np.repeat(first[index] - stops + sizes, sizes) + np.arange(stops[-1])]
+        place = np.repeat(first[index] - stops + sizes, sizes)
+        place += np.arange(len(place))
+        flat = np.frombuffer(b"".join(blobs), "<u4")[place]
         bounds = stops[index == sep].tolist()
         return [None if w else flat[a:b] for a, b, w in zip([0, *bounds], bounds, whole)]
 
@@ -188,6 +189,12 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Frees what this worker's encoders have remembered."""
+    for x in _encoders.values():
+        x.forget()
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each file in a Python worker."""
     if path not in _encoders:
