@@ -28,18 +28,25 @@ K1, B = 1.2, 0.75
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id and its ids with `end_id` behind, in two bytes each where the vocabulary fits there."""
+    """doc_id and its ids with `end_id` behind, in two bytes each where the vocabulary fits there. Each task adds a row of
+    width 0 with its number of documents, that of their ids, and how many of them have each term (eight bytes each)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         wide = "<u2" if max(tool.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+        counts, id_type = np.zeros(2 + max(tool.vocabulary, end_id + 1), "<i8"), None
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for at in range(0, len(texts), 2048):
-                blobs = [np.append(x, np.uint32(end_id)).astype(wide).tobytes() for x in tool(texts[at : at + 2048])]
-                rows = batch.slice(at, len(blobs))
+                ids = [np.append(x, np.uint32(end_id)).astype(wide) for x in tool(texts[at : at + 2048])]
+                counts[:2] += len(ids), sum(map(len, ids))
+                counts[2:] += np.bincount(_document_terms(ids)[1], minlength=len(counts) - 2)
+                blobs = [x.tobytes() for x in ids]
+                rows, id_type = batch.slice(at, len(blobs)), batch.schema.field("doc_id").type
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(blobs, pa.binary()), pa.array([int(wide[2])] * len(blobs), pa.int32())], names=["doc_id", "ids", "width"])
+        if id_type is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([counts.tobytes()], pa.binary()), pa.array([0], pa.int32())], names=["doc_id", "ids", "width"])
 
     return in_small_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids binary, width int")
 
@@ -68,21 +75,19 @@ def _frequencies(encoded: DataFrame) -> tuple[np.ndarray, int, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        total, docs, length = np.zeros(0, np.int64), 0, 0
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = _ids(batch)
-            _, terms, _ = _document_terms(ids)
-            found = np.bincount(terms, minlength=len(total))
-            found[: len(total)] += total
-            total, docs, length = found, docs + len(ids), length + sum(map(len, ids))
+            for blob in batch.column("ids").to_pylist():
+                counts = np.frombuffer(blob, "<i8")
+                total = counts + total if len(total) else counts
         some = np.flatnonzero(total)
-        # terms -1 and -2: documents, and ids in all
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *some.tolist()], pa.int64()), pa.array([docs, length, *total[some].tolist()], pa.int64())], names=["term", "n"])
+        # terms -2 and -1: documents, and ids in all
+        yield pa.RecordBatch.from_arrays([pa.array(some - 2), pa.array(total[some])], names=["term", "n"])
 
-    rows = encoded.mapInArrow(tidy(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = encoded.where("width = 0").select("ids").mapInArrow(tidy(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r["term"]: r["n"] for r in rows}
-    docs = found.pop(-1, 0)
-    length = found.pop(-2, 0) / max(docs, 1)
+    docs = found.pop(-2, 0)
+    length = found.pop(-1, 0) / max(docs, 1)
     df = np.zeros(max(found, default=0) + 1, np.int64)
     df[list(found)] = list(found.values())
     return df, docs, length
@@ -111,7 +116,7 @@ class Index:
         self.first = np.concatenate([[0], np.cumsum(np.bincount(term))])
         del term, often
         order = np.argsort(self.terms, kind="stable")
-        self.docs, self.weights = doc.astype(np.int32)[order], weight[order]
+        self.docs, self.weights = doc[order], weight[order].astype(np.float64)  # as bincount takes them
         del doc, weight, order
         # a row has at most COMMON times the entries of the list it stands for
         count = np.diff(self.first)
@@ -222,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, k
             top[doc[chosen], place[chosen]] = term[order[chosen]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in top.T.copy())], names=[*batch.schema.names, *route])
 
-    marked = encoded.mapInArrow(tidy(mark), f"doc_id {kind}, ids binary, width int, " + ", ".join(f"{x} int" for x in route))
+    marked = encoded.where("width > 0").mapInArrow(tidy(mark), f"doc_id {kind}, ids binary, width int, " + ", ".join(f"{x} int" for x in route))
     order = [*route, F.xxhash64("doc_id", "ids")]
     dealt = marked.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id")
 

@@ -121,16 +121,18 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[Grammar
     n = len(ids)
     room = (1 << 16) - terminals if terminals < 1 << 16 else 1 << 31
     seq, last = ids.astype(np.int32), last.copy()
-    after, before = np.arange(1, n + 2), np.arange(-1, n)  # place n is before the first and after the last
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # place n is before the first and after the last
     before[:1] = n
     none = np.int32(PAIRS)
     pair_at, rank_at, stays, mark = np.full(n + 1, -1, np.int32), np.full(n + 1, none, np.int32), np.ones(n, bool), np.zeros(n + 1, bool)
     rules, lengths, n_rules, size = [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64), 0, n
 
     free = np.flatnonzero(~last[:-1])
-    left, right, count, places = _pairs(free, seq[free], seq[free + 1], max(terminals, int(seq.max(initial=0)) + 1), n)
+    left, right, count, some = _pairs(free, seq[free], seq[free + 1], max(terminals, int(seq.max(initial=0)) + 1), n)
     begin, listed = np.cumsum(count) - count, count.copy()
-    pair_at[places] = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    pair_at[some] = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    places, filled = np.empty(3 * n, np.int64), len(some)  # every replacement starts two pairs at most
+    places[:filled] = some
 
     while len(count) and (top := int(count.max())) >= LEAST:
         if n_rules >= room:
@@ -149,7 +151,9 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[Grammar
         at.sort()
         at, rank = at >> PAIRS.bit_length(), (at & ((1 << PAIRS.bit_length()) - 1)).astype(np.int32)
         # of a run of one pair (aaaa) every other place can be replaced
-        run = np.concatenate([[False], (rank[1:] == rank[:-1]) & (after[at[:-1]] == at[1:])])
+        run = np.zeros(len(at), bool)
+        twin = np.flatnonzero((left[chosen] == right[chosen])[rank])
+        run[twin[1:]] = (np.diff(twin) == 1) & (rank[twin[1:]] == rank[twin[:-1]]) & (after[at[twin[:-1]]] == at[twin[1:]])
         if run.any():
             here = np.arange(len(run))
             even = (here - np.maximum.accumulate(np.where(run, 0, here))) % 2 == 0
@@ -191,11 +195,13 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[Grammar
         at = np.concatenate([at, ahead])
         at = at[~last[at] & (after[at] < n)]
         # new pairs have a new symbol, so all their places are here
-        more = _pairs(at, seq[at], seq[after[at]], terminals + n_rules, n)
-        pair_at[more[3]] = np.repeat(np.arange(len(count), len(count) + len(more[2]), dtype=np.int32), more[2])
-        begin = np.concatenate([begin, len(places) + np.cumsum(more[2]) - more[2]])
-        left, right, count, places = (np.concatenate(x) for x in zip((left, right, count, places), more))
+        *more, some = _pairs(at, seq[at], seq[after[at]], terminals + n_rules, n)
+        pair_at[some] = np.repeat(np.arange(len(count), len(count) + len(more[2]), dtype=np.int32), more[2])
+        begin = np.concatenate([begin, filled + np.cumsum(more[2]) - more[2]])
+        left, right, count = (np.concatenate(x) for x in zip((left, right, count), more))
         listed = np.concatenate([listed, more[2]])
+        places[filled : filled + len(some)] = some
+        filled += len(some)
     width = np.uint16 if terminals + n_rules <= 1 << 16 else np.uint32
     return Grammar(terminals, np.concatenate(rules), lengths, seq[stays].astype(width)), np.flatnonzero(last[stays])
 
