@@ -39,9 +39,8 @@ class Grammar:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         symbols = symbols.astype(np.int64)
-        size = np.append(np.ones(self.terminals, np.int64), self.lengths)
-        if size.sum() - self.terminals <= 4 * len(symbols):  # all rules expanded are not much longer than what was asked for
-            return self._by_table(symbols, size)
+        if self.terminals <= 1 << 20 and self.lengths.sum() <= 4 * len(symbols):  # all rules expanded are not much longer than what was asked for
+            return self._by_table(symbols, np.append(np.ones(self.terminals, np.int64), self.lengths))
         while len(symbols) and symbols.max() >= self.terminals:
             rule = symbols - self.terminals
             wide = rule >= 0

@@ -80,3 +80,25 @@ def test_scores_equal_plain_bm25(monkeypatch, common, at_once):
 
 def test_empty_table(spark):
     assert packing.pack(frame(spark, []), PATH).count() == 0
+
+
+def test_terms_are_counted_while_encoding(spark):
+    rows = odd_rows() + [(100 + i, prose(i % 7, 30)) for i in range(50)]
+    library = Tokenizer.from_file(PATH)
+    ids = [library.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    encoded = packing._encoded(frame(spark, rows), PATH, 1).cache()
+    assert encoded.where("width > 0").count() == len(rows)
+    df, docs, length = packing._frequencies(encoded)
+    assert docs == len(rows) and length == pytest.approx(sum(len(x) + 1 for x in ids) / len(rows))
+    want = np.bincount([t for x in ids for t in set(x)], minlength=len(df))
+    assert df.tolist() == want[: len(df)].tolist() and want[len(df) :].sum() == 0
+    encoded.unpersist()
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_document_terms(kind):
+    rng = np.random.default_rng(11)
+    ids = [np.append(rng.integers(0, 60_000 if kind == "<u2" else 1 << 31, rng.integers(0, 40)) % 50 * 1200, 1).astype(kind) for _ in range(200)] + [np.array([1], kind)]
+    want = sorted((d, int(t), int((x[:-1] == t).sum())) for d, x in enumerate(ids) for t in set(x[:-1].tolist()))
+    assert list(zip(*(x.tolist() for x in packing._document_terms(ids)))) == want
+    assert [len(x) for x in packing._document_terms([])] == [0, 0, 0]

@@ -115,3 +115,47 @@ def test_files_round_trip(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert repair.encode_to_files(frame(spark, []), WORD).count() == 0
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_and_marks_need_no_call_of_the_whole_library(path, monkeypatch):
+    rng = random.Random(8)
+    letters = [*"abcXYZ", *"éÄñœſŒİ"[:-1], *"0123", *"'.,$%-@", "'s", "'LL ", " ", "  ", "\n", " \n "]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    encoder, calls = tokens.Encoder(path), []
+    library = encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda x: calls.extend(x) or library(x))
+    assert [x.tolist() for x in encoder(texts)] == want
+    assert not calls
+
+
+def test_chunks_are_remembered_over_generations(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    encoder, library = tokens.Encoder(WORD), Tokenizer.from_file(WORD)
+    for turn in range(30):
+        texts = ["common words stay " + prose(turn, 15), prose(turn, 3) + "."]
+        assert [x.tolist() for x in encoder(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.known) < 100 and (turn == 0 or b" words" in {**encoder.known, **encoder.before})
+
+
+def test_rounds_together_touch_each_place_a_few_times(monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [rng.integers(0, 3000, rng.integers(2, 40)) for _ in range(2000)]
+    ids = np.concatenate([words[int(i) % 2000] for i in rng.pareto(0.6, 20_000) * 3])
+    touched, pairs = [], repair._pairs
+    monkeypatch.setattr(repair, "_pairs", lambda at, *rest: touched.append(len(at)) or pairs(at, *rest))
+    grammar, _ = repair.compress(ids, np.zeros(len(ids), bool), 3000)
+    assert grammar.expand(grammar.sequence).tolist() == ids.tolist()
+    assert len(touched) > 5 and sum(touched) <= 3 * len(ids)
+
+
+def test_wide_symbols_and_deep_rules():
+    rng = np.random.default_rng(10)
+    ids = np.tile(rng.integers(0, 1 << 30, 500), 40)
+    grammar, _ = repair.compress(ids, np.zeros(len(ids), bool), 1 << 30)
+    assert grammar.expand(grammar.sequence).tolist() == ids.tolist() and len(grammar.sequence) < 1000
+    ids = np.concatenate([np.full(1 << 12, 1), rng.integers(0, 5, 3000)])
+    grammar, _ = repair.compress(ids, np.zeros(len(ids), bool), 5)
+    assert grammar.expand(grammar.sequence).tolist() == ids.tolist()
+    assert grammar.slice(0, len(grammar.sequence), 4000, 4200).tolist() == ids[4000:4200].tolist()
