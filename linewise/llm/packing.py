@@ -105,6 +105,23 @@ class Scorer:
         return self.idf[term] * (often * (K1 + 1) / (often + norm[doc])).astype(np.float32)
 
 
+def _heaviest(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """The ROUTE_TERMS heaviest terms of each document, heaviest first, ties by term; -1 where it has fewer."""
+    top = np.full((n, ROUTE_TERMS), -1, np.int32)
+    if len(doc):
+        low = np.uint64(0xFFFFFFFF)
+        # bits of floats that are not negative sort as they do; no term gives 0
+        key = weight.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | (low - term.astype(np.uint64))
+        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        own, size = doc[starts], np.diff(np.append(starts, len(doc)))
+        for place in range(ROUTE_TERMS):
+            best = np.maximum.reduceat(key, starts)
+            some = best > 0
+            top[own[some], place] = (low - (best[some] & low)).astype(np.int32)
+            key[key == np.repeat(best, size)] = 0
+    return top
+
+
 class Index:
     """Inverted index of one shard: documents and weights of each term. A document's query is all its terms."""
 
@@ -220,11 +237,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, k
             doc, term, often = _document_terms(ids)
             weight = scorer.value.weights(doc, term, often, np.array([len(x) for x in ids], np.int64))
             weight[~scorer.value.shared[term]] = 0  # no neighbour has it
-            order = np.lexsort((term, -weight, doc))
-            place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            top = np.full((len(ids), ROUTE_TERMS), -1, np.int32)
-            chosen = place < ROUTE_TERMS
-            top[doc[chosen], place[chosen]] = term[order[chosen]]
+            top = _heaviest(doc, term, weight, len(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in top.T.copy())], names=[*batch.schema.names, *route])
 
     marked = encoded.where("width > 0").mapInArrow(tidy(mark), f"doc_id {kind}, ids binary, width int, " + ", ".join(f"{x} int" for x in route))

@@ -102,3 +102,15 @@ def test_document_terms(kind):
     want = sorted((d, int(t), int((x[:-1] == t).sum())) for d, x in enumerate(ids) for t in set(x[:-1].tolist()))
     assert list(zip(*(x.tolist() for x in packing._document_terms(ids)))) == want
     assert [len(x) for x in packing._document_terms([])] == [0, 0, 0]
+
+
+def test_heaviest_terms():
+    rng = np.random.default_rng(12)
+    pairs = sorted({(int(d), int(t)) for d, t in zip(rng.integers(0, 300, 1500), rng.integers(0, 50, 1500))})
+    doc, term = (np.array(x) for x in zip(*pairs))
+    weight = rng.choice([0, 0.5, 1.25, 7.5], len(doc)).astype(np.float32)
+    top = packing._heaviest(doc, term, weight, 301)
+    for d in range(301):
+        want = [t for _, t in sorted((-w, t) for x, t, w in zip(doc.tolist(), term.tolist(), weight.tolist()) if x == d)][: packing.ROUTE_TERMS]
+        assert top[d].tolist() == want + [-1] * (packing.ROUTE_TERMS - len(want))
+    assert packing._heaviest(doc[:0], term[:0], weight[:0], 2).tolist() == [[-1] * packing.ROUTE_TERMS] * 2
