@@ -146,3 +146,18 @@ def test_dashboard_trains_on_many_rows(spark, monkeypatch):
     lines = dashboard.dashboard_features(star.sales(spark, SF).drop("ORDERDATE").withColumnRenamed("ORDERDATE_TEXT", "ORDERDATE"))
     trained = dashboard.train(lines, kind="Random Forest")
     assert trained.model.getNumTrees == 2 and trained.metrics.first()["r2"] > 0.5
+
+
+@pytest.mark.parametrize("kind", ["dashboard_forest", "feature_importance"])
+def test_dashboard_learners_write_the_lines_twice(spark, kind, monkeypatch):
+    """As they are and with their features; columns that are dropped before training are not among them."""
+    from linewise import session
+
+    fit, written = models.fit, {}
+    monkeypatch.setattr(models, "fit", lambda learner, train: fit(learner.using(trees=1, depth=1), train))
+    kept = session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda s, label: (lambda path: written.update({path: label}) or path)(kept(s, label)))
+    assert QUERIES[kind](spark, SF).count() > 0
+    lines = {label: spark.read.parquet(path).columns for path, label in written.items() if label in ("lines", "features", "dashboard")}
+    assert sorted(lines) == ["features", "lines"]
+    assert not {"POSTALCODE", "ADDRESSLINE1", "TERRITORY"} & {c for columns in lines.values() for c in columns}
